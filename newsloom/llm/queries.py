@@ -5,9 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import chat_format, quality_rules
-from newsloom.llm.common import table
+from newsloom.llm import (
+    chat_format,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    language_id,
+    lm_scoring,
+    packing,
+    quality_rules,
+    span_dedup,
+    suffix_dedup,
+)
+from newsloom.llm.common import crc_mod, table
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +35,47 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chat(rows.unionByName(chat_format.probe(rows))))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces_of(table(spark, sf_dir, "documents")))
+
+
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = language_id.predict(docs, language_id.fit(docs.where(~held_out)))
+    return found.withColumn("held_out", held_out)
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
+    "op4_packing": op4_packing,
+    "op5_span_dedup": op5_span_dedup,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat_format.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat_format.ORACLE, "op5_span_dedup": span_dedup.ORACLE}
