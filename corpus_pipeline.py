@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings are cut from the texts; a cut character goes whole. Texts with nothing left go."""
     cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
-    text = F.regexp_replace(F.col("kept").try_to_utf8() if hasattr(F.col("kept"), "try_to_utf8") else F.expr("decode(kept, 'UTF-8')"), "�", "")
+    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
     changed = F.size("removed") > 0
     out = cut.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
