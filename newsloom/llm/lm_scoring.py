@@ -192,7 +192,7 @@ def score_documents(
 
     known = counts.mapInPandas(scored, "token string, c long, log_p double")
     answers = lists.select("block", "place", "token").join(known, "token").select("block", "place", "c", "log_p")
-    texts = coded.where(F.col("counts").isNotNull()).select("block", "doc_id", "held_out", "n_tokens", "counts")
+    texts = coded.where(F.col("counts").isNotNull()).select(F.col("block").alias("of_block"), "doc_id", "held_out", "n_tokens", "counts")
 
     def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         c, p = np.zeros(len(left)), np.zeros(len(left))
@@ -209,4 +209,4 @@ def score_documents(
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(summed, schema)
+    return answers.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(summed, schema)

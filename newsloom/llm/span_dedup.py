@@ -76,8 +76,8 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
 
 ORACLE = r"""
 WITH parts AS (
-  SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t\n\x0B\f\r]+|\n+)', '\1' || chr(1), 'g'), chr(1)), s -> s <> '') AS p FROM documents
-), plain AS (SELECT doc_id, list_transform(p, s -> lower(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS s FROM parts WHERE len(p) > 0),
+  SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t\n\x0B\f\r]+|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS p FROM documents
+), plain AS (SELECT doc_id, list_transform(p, lambda s: lower(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS s FROM parts WHERE len(p) > 0),
 starts AS (SELECT doc_id, s, unnest(range(greatest(len(s) - 3, 0) + 1)) AS at_ FROM plain),
 runs AS (SELECT doc_id, at_, least(len(s), 3) AS n, array_to_string(s[at_ + 1 : at_ + 3], ' ') AS run FROM starts),
 long_ AS (SELECT * FROM runs WHERE len(string_split_regex(run, '[\x20\x09-\x0D]+')) >= 15),
@@ -85,6 +85,6 @@ firsts AS (SELECT run, min((doc_id, at_)) AS f FROM long_ GROUP BY run HAVING co
 gone AS (SELECT DISTINCT doc_id, unnest(range(at_, at_ + n)) AS i FROM long_ JOIN firsts USING (run) WHERE (doc_id, at_) <> f),
 lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
 SELECT doc_id, len(p)::BIGINT AS n_sentences, coalesce(len(g), 0)::BIGINT AS n_removed,
-  CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(p, (s, i) -> NOT list_contains(g, i - 1)), '') END AS text
+  CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(p, lambda s, i: NOT list_contains(g, i - 1)), '') END AS text
 FROM parts LEFT JOIN lists USING (doc_id)
 """
