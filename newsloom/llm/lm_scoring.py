@@ -1,28 +1,26 @@
-"""LM scoring by a probabilistic suffix tree over the characters of a token.
-
-A token's symbols are a start mark, its characters, and an end mark; the end of a text is a token of its own whose only
-symbol is END. The tree keeps a context (a suffix of the symbols read so far, up to `depth` long) if its share of all
-symbols is at least `min_share` and its next-symbol distribution diverges from that of its own longest kept suffix:
-share times Kullback-Leibler divergence of at least `min_gain`. Its distribution is smoothed with that of the suffix,
-which is weighed as `prior` symbols; the empty context is smoothed with a uniform distribution over Unicode's code
-points. A symbol is scored in the longest suffix state. So the scores of all texts sum to at most one, and every text
-has one.
-
-By the share rule the tree has at most (depth + 1) / min_share contexts, however large the corpus is: that is what may
-be broadcast. Counts cover the whole training corpus. A text's score is the sum over its tokens, so a partition of
-documents is encoded once as the distinct tokens of its blocks and the documents' counts of them; tokens are counted,
-scored once each across the corpus, and sent back to their blocks.
-
-Edge cases: null and empty texts are the end token alone; an empty training fold gives a base of one unknown type and a
-tree with the uniform distribution only; repeated rows count and are scored each; an empty table gives an empty result;
+"""LM scoring by a probabilistic suffix tree over words.
+
+Symbols are lower-cased words and one end of text. The empty context has the smoothed unigram distribution, in which all
+unknown words are one symbol. A context (the last words before a symbol, up to `depth`) is a candidate if its share of
+all training tokens is at least `min_share`; of its next symbols, those whose share together with the context is at
+least `min_joint` have probabilities of their own, and the rest have what is left, in proportion to the distribution of
+the context's longest kept suffix. A candidate is kept if its distribution diverges from that suffix's: its share times
+the Kullback-Leibler divergence, in bits, is at least `min_gain`. Every symbol is scored in its longest suffix state.
+
+By the share rules the tree has at most depth / min_share contexts and depth / min_joint probabilities, however large
+the corpus is: that, and the at most 1 / min_joint symbols in them, may be broadcast. Counts cover the whole training
+corpus. The unigram counts of all words are not bounded, so they aren't broadcast: a partition of documents is encoded
+once as the distinct words of its blocks and the documents' places in those; words are counted across the corpus and
+their counts sent back to their blocks, where the documents are scored.
+
+Edge cases: null and empty texts are the end alone; an empty training fold gives one unknown symbol with probability
+one; null ids are in the training fold; repeated rows count and are scored each; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +34,7 @@ from newsloom.llm.common import crc_mod, materialized
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Marks. White space is never in a token, so these are no characters of one.
-BEGIN, CLOSE, END = "\t", " ", "\n"
-SYMBOLS = 1_114_112
+END = "\n"  # white space is never in a word
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -46,136 +42,199 @@ def tokens_of(text: str | None) -> list[str]:
 
 
 def encode(docs: DataFrame, block_tokens: int = 2_000_000) -> DataFrame:
-    """Two kinds of rows by block: `token` with its count in the block's training documents, and `doc_id` with its
-    tokens' places in the block's list and their counts. docs: doc_id, text, held_out."""
+    """Two kinds of rows by block: `token` with its place in the block's list and its count in training documents, and
+    `doc_id` with the places of its tokens, in order. docs: doc_id, text, held_out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number = TaskContext.get().partitionId(), 0
         packer = zstandard.ZstdCompressor(level=1)
-        place: dict[str, int] = {}
-        trained: list[int] = []
-        rows, held = [], 0
+        place = Places()
+        rows, trained, held = [], [], 0
 
         def emit() -> pd.DataFrame:
-            words = pd.DataFrame({"place": range(len(place)), "token": list(place), "trained": trained}).assign(doc_id=None, held_out=None, n_tokens=None, counts=None)
-            texts = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "counts"]).assign(place=None, token=None, trained=None)
-            out = pd.concat([words.astype(object), texts.astype(object)], ignore_index=True)
-            return out.assign(block=(part << 20) + number)
+            counts = np.zeros(len(place), np.int64)
+            for places in trained:
+                counts += np.bincount(places, minlength=len(place))
+            lists = pd.DataFrame({"place": range(len(place)), "token": list(place), "trained": counts}).assign(doc_id=None, held_out=None, n_tokens=None, places=None)
+            texts = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "places"]).assign(place=None, token=None, trained=None)
+            return pd.concat([lists.astype(object), texts.astype(object)], ignore_index=True).assign(block=(part << 20) + number)
 
         for batch in batches:
             for key, text, out in zip(batch["doc_id"], batch["text"], batch["held_out"], strict=True):
-                counts = Counter(tokens_of(text))
-                at = []
-                for token, n in counts.items():
-                    k = place.get(token)
-                    if k is None:
-                        k = place[token] = len(trained)
-                        trained.append(0)
-                    if not out:
-                        trained[k] += n
-                    at.append(k)
-                total = sum(counts.values())
-                order = np.argsort(np.array(at, "<u4"), kind="stable")
-                ids, n = np.array(at, "<u4")[order], np.array(list(counts.values()), "<u4")[order]
-                rows.append((key, out, total, packer.compress(np.concatenate([np.diff(ids, prepend=0).astype("<u4"), n]).tobytes())))
-                held += total
-            if held >= block_tokens:
-                yield emit()
-                place, trained, rows, held, number = {}, [], [], 0, number + 1
+                tokens = tokens_of(text)
+                places = np.fromiter(map(place.__getitem__, tokens), "<u4", len(tokens))
+                if not out:
+                    trained.append(places)
+                rows.append((key, out, len(tokens), packer.compress(places.tobytes())))
+                held += len(tokens)
+                if len(trained) >= 1000:
+                    most = np.concatenate(trained)
+                    trained = [most]
+                if held >= block_tokens:
+                    yield emit()
+                    place, rows, trained, held, number = Places(), [], [], 0, number + 1
         if rows:
             yield emit()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "held_out").mapInPandas(run, f"block long, place int, token string, trained long, doc_id {kind}, held_out boolean, n_tokens long, counts binary")
-
-
-def context_counts(tokens: DataFrame, length: int, parents: set[str] | None) -> DataFrame:
-    """context, next, n of all contexts of this length whose own longest suffix is among parents. tokens: token, c."""
-    shared = tokens.sparkSession.sparkContext.broadcast(parents)
+    return docs.select("doc_id", "text", "held_out").mapInPandas(run, f"block long, place int, token string, trained long, doc_id {kind}, held_out boolean, n_tokens long, places binary")
+
+
+class Places(dict):
+    def __missing__(self, token: str) -> int:
+        self[token] = k = len(self)
+        return k
+
+
+class Tree:
+    """Nodes are contexts, 0 is the empty one. A node's child is the context with one more word in front."""
+
+    def __init__(self, symbols: list[str], p0: np.ndarray) -> None:
+        self.symbols, self.size = {t: k for k, t in enumerate(symbols)}, max(1, len(symbols))
+        self.p0 = p0
+        self.parent, self.kept, self.escape = [0], [True], [0.0]
+        self.children: dict[int, int] = {}
+        self.entries: dict[int, float] = {}
+        self.by_level: list[range] = [range(1)]
+
+    def freeze(self) -> Tree:
+        order = lambda d, kind: (np.array(sorted(d), np.int64), np.array([d[k] for k in sorted(d)], kind))
+        self.child_keys, self.child_ids = order(self.children, np.int64)
+        self.entry_keys, self.entry_log = order(self.entries, np.float64)
+        self.up, self.is_kept, self.esc = np.array(self.parent), np.array(self.kept), np.array(self.escape)
+        return self
+
+    def kept_parent(self, node: int) -> int:
+        node = self.parent[node]
+        while not self.kept[node]:
+            node = self.parent[node]
+        return node
+
+    def probability(self, node: int, symbol: int) -> float:
+        factor = 1.0
+        while node:
+            found = self.entries.get(node * self.size + symbol)
+            if found is not None:
+                return factor * 10**found
+            factor *= 10 ** self.escape[node]
+            node = self.kept_parent(node)
+        return factor * float(self.p0[symbol])
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), missing, values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], missing)
+
+
+def states(tree: Tree, ids: np.ndarray, age: np.ndarray, depth: int) -> list[np.ndarray]:
+    """For each place, the node of the context of 1, 2, ... depth words before it, or -1. age: place within its text."""
+    out, node = [], np.zeros(len(ids), np.int64)
+    for d in range(1, depth + 1):
+        word = np.concatenate([np.full(min(d, len(ids)), -1, np.int64), ids[:-d]])[: len(ids)]
+        there = (node >= 0) & (age >= d) & (word >= 0)
+        node = np.where(there, look_up(tree.child_keys, tree.child_ids, node * tree.size + word, -1), -1)
+        out.append(node)
+    return out
+
+
+def next_counts(train: DataFrame, tree: Tree, depth: int) -> DataFrame:
+    """key (node * symbols + next symbol; of the rest -1 - node), n: of the contexts of this depth."""
+    shared = train.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        counts: dict[tuple[str, str], int] = defaultdict(int)
+        t = shared.value
         for batch in batches:
-            for token, c in zip(batch["token"], batch["c"], strict=True):
-                s = BEGIN + (token if token == END else token + CLOSE)
-                for i in range(max(1, length), len(s)):
-                    context = s[i - length : i]
-                    if known is None or context[1:] in known:
-                        counts[context, s[i]] += c
-            if len(counts) > 500_000:
-                yield frame(counts)
-                counts.clear()
-        yield frame(counts)
-
-    def frame(counts: dict[tuple[str, str], int]) -> pd.DataFrame:
-        return pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["context", "next", "n"])
-
-    out = tokens.mapInPandas(run, "context string, next string, n long")
-    return out.groupBy("context", "next").agg(F.sum("n").alias("n"))
-
-
-def grow(tokens: DataFrame, depth: int, min_share: float, min_gain: float, prior: float) -> dict[str, dict[str, float]]:
-    """Kept contexts and the log10 probabilities of the symbols seen in them; the key "" of each is that of its escape."""
-    total = tokens.agg(F.sum(F.col("c") * (F.when(F.col("token") == END, 1).otherwise(F.length("token") + 1)))).first()[0] or 0
-    tree: dict[str, dict[str, float]] = {}
-    kept: dict[str, dict[str, float]] = {}  # probabilities, with "" for the weight of the suffix state
-    level: set[str] | None = None
-
-    def probability(context: str, symbol: str) -> float:
-        while context not in kept:
-            context = context[1:]
-        p = kept[context]
-        if context == "":
-            return p.get(symbol, 0.0) + p[""] / SYMBOLS
-        return p.get(symbol, 0.0) + p[""] * probability(context[1:], symbol)
-
-    kept[""] = {"": 1.0}
-    for length in range(depth + 1) if total else ():
-        counts = context_counts(tokens, length, level)
-        large = counts.groupBy("context").agg(F.sum("n").alias("all"), F.collect_list(F.struct("next", "n")).alias("nexts"))
-        found = large.where(F.col("all") >= min_share * total).collect()
-        level, new = set(), {}
-        for row in found:
-            level.add(row["context"])
-            new[row["context"]] = {x["next"]: x["n"] for x in row["nexts"]}
-        for context, nexts in new.items():
-            n = sum(nexts.values())
-            gain = sum(k / n * math.log2(k / n / probability(context[1:], a)) for a, k in nexts.items()) if context else math.inf
-            if n / total * gain >= min_gain:
-                kept[context] = {a: k / (n + prior) for a, k in nexts.items()} | {"": prior / (n + prior)}
-        if not level:
+            texts = [tokens_of(x) for x in batch["text"]]
+            lengths = np.array([len(x) for x in texts])
+            ids = np.fromiter((t.symbols.get(w, -1) for x in texts for w in x), np.int64, int(lengths.sum()))
+            age = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            node = states(t, ids, age, depth)[-1]
+            there = node >= 0
+            keys, n = np.unique(np.where(ids[there] >= 0, node[there] * t.size + ids[there], -1 - node[there]), return_counts=True)
+            yield pd.DataFrame({"key": keys, "n": n})
+
+    return train.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int, min_share: float, min_joint: float, min_gain: float, prior: float) -> Tree:
+    found = counts.where((F.col("c") > 0) & (F.col("c") >= min_joint * n)).select("token", "c").collect()
+    found = sorted(((r["token"], r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
+    c = np.array([x[1] for x in found], np.float64)
+    tree = Tree([x[0] for x in found], (c + 0.5) / (n + 0.5 * (v + 1)))
+    grown = [(0, k) for k in range(len(found)) if c[k] >= min_share * n and found[k][0] != END]
+    for d in range(1, depth + 1):
+        if not grown:
             break
-    for context, p in kept.items():
-        tree[context] = {a: math.log10(probability(context, a)) for a in p if a} | {"": math.log10(p[""])}
-    return tree
-
-
-def token_score(tree: dict[str, dict[str, float]], token: str, depth: int) -> float:
-    s = BEGIN + (token if token == END else token + CLOSE)
-    score = 0.0
-    for i in range(1, len(s)):
-        context, symbol = s[max(0, i - depth) : i], s[i]
-        while context not in tree:
-            context = context[1:]
-        while True:
-            state = tree[context]
-            if symbol in state:
-                score += state[symbol]
-                break
-            score += state[""]
-            if not context:
-                score -= math.log10(SYMBOLS)
-                break
-            context = context[1:]
-            while context not in tree:
-                context = context[1:]
-    return score
+        first = len(tree.parent)
+        for up, symbol in grown:
+            tree.children[up * tree.size + symbol] = len(tree.parent)
+            tree.parent.append(up)
+            tree.kept.append(False)
+            tree.escape.append(0.0)
+        own = next_counts(train, tree.freeze(), d)
+        totals = own.groupBy(F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.floor(F.col("key") / tree.size)).alias("node")).agg(F.sum("n").alias("n"))
+        totals = {r["node"]: r["n"] for r in totals.collect()}
+        nexts: dict[int, list[tuple[int, int]]] = {}
+        for r in own.where((F.col("key") >= 0) & (F.col("n") >= min_joint * n) & (F.col("n") > 1)).collect():
+            nexts.setdefault(r["key"] // tree.size, []).append((r["key"] % tree.size, r["n"]))
+        for node in range(first, len(tree.parent)):
+            total, own_nexts, up = totals.get(node, 0), nexts.get(node, []), tree.kept_parent(node)
+            if not own_nexts:
+                continue
+            q = [tree.probability(up, a) for a, _ in own_nexts]
+            p = [k / (total + prior) for _, k in own_nexts]
+            rest, rest_q = 1 - sum(p), max(1e-9, 1 - sum(q))
+            gain = sum(x * np.log2(x / y) for x, y in zip(p, q, strict=True)) + rest * np.log2(rest / rest_q)
+            if total / n * gain >= min_gain:
+                tree.kept[node] = True
+                tree.escape[node] = float(np.log10(rest / rest_q))
+                tree.entries |= {node * tree.size + a: float(np.log10(x)) for (a, _), x in zip(own_nexts, p, strict=True)}
+        # A longer context has one more word in front: the count of (a, then this context) is one of a's next counts.
+        grown = [(node, a) for node, a in longer(tree, nexts, first, min_share * n) if tree.symbols and a != tree.symbols.get(END)]
+    return tree.freeze()
+
+
+def longer(tree: Tree, nexts: dict[int, list[tuple[int, int]]], first: int, least: float) -> Iterator[tuple[int, int]]:
+    """(suffix node, word in front) of the contexts one word longer whose count is at least `least`."""
+    words: dict[int, tuple[int, ...]] = {0: ()}
+    for key, node in tree.children.items():
+        words[node] = (key % tree.size, *words[key // tree.size])
+    ids = {w: node for node, w in words.items()}
+    for node in range(first, len(tree.parent)):
+        for last, k in nexts.get(node, []):
+            context = (*words[node], last)
+            if k >= least and context[1:] in ids:
+                yield ids[context[1:]], context[0]
+
+
+def log_scores(tree: Tree, ids: np.ndarray, age: np.ndarray, log_p0: np.ndarray, depth: int) -> np.ndarray:
+    """The log10 probability of each symbol in its longest suffix state."""
+    state = np.zeros(len(ids), np.int64)
+    for node in states(tree, ids, age, depth):
+        state = np.where((node >= 0) & tree.is_kept[np.maximum(node, 0)], node, state)
+    out = np.zeros(len(ids))
+    live = np.flatnonzero(state > 0)
+    while len(live):
+        at = state[live]
+        own = np.where(ids[live] >= 0, look_up(tree.entry_keys, tree.entry_log, at * tree.size + ids[live], np.nan), np.nan)
+        hit = ~np.isnan(own)
+        out[live[hit]] += own[hit]
+        state[live[hit]] = -1
+        live = live[~hit]
+        out[live] += tree.esc[state[live]]
+        at = tree.up[state[live]]
+        while not tree.is_kept[at].all():
+            at = np.where(tree.is_kept[at], at, tree.up[at])
+        state[live] = at
+        live = live[at > 0]
+    return out + np.where(state == 0, log_p0, 0.0)
 
 
 def score_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1,
-    depth: int = 8, min_share: float = 2e-5, min_gain: float = 2e-7, prior: float = 2.0,
+    depth: int = 3, min_share: float = 1e-4, min_joint: float = 1e-6, min_gain: float = 1e-5, prior: float = 2.0,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     key = F.col(doc_id)
@@ -184,28 +243,27 @@ def score_documents(
     lists = coded.where(F.col("token").isNotNull()).select("block", "place", "token", "trained")
     counts = materialized(lists.groupBy("token").agg(F.sum("trained").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    tree = docs.sparkSession.sparkContext.broadcast(grow(counts.where(F.col("c") > 0), depth, min_share, min_gain, prior))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(log_p=[token_score(tree.value, t, depth) for t in batch["token"]])
-
-    known = counts.mapInPandas(scored, "token string, c long, log_p double")
-    answers = lists.select("block", "place", "token").join(known, "token").select("block", "place", "c", "log_p")
-    texts = coded.where(F.col("counts").isNotNull()).select(F.col("block").alias("of_block"), "doc_id", "held_out", "n_tokens", "counts")
+    tree = docs.sparkSession.sparkContext.broadcast(grow(slim.where(~F.col("held_out")), counts, n, v, depth, min_share, min_joint, min_gain, prior))
+    answers = lists.select("block", "place", "token").join(counts, "token")
+    texts = coded.where(F.col("places").isNotNull()).select(F.col("block").alias("of_block"), "doc_id", "held_out", "n_tokens", "places")
 
     def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        c, p = np.zeros(len(left)), np.zeros(len(left))
-        at = left["place"].to_numpy()
-        c[at], p[at] = left["c"].to_numpy(), left["log_p"].to_numpy()
+        c, at = np.zeros(len(left)), left["place"].to_numpy()
+        c[at] = left["c"].to_numpy()
+        symbol = np.empty(len(left), np.int64)
+        symbol[at] = [tree.value.symbols.get(t, -1) for t in left["token"]]
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        unpack, rows = zstandard.ZstdDecompressor(), []
-        for blob in right["counts"]:
-            ids, times = np.split(np.frombuffer(unpack.decompress(blob), "<u4"), 2)
-            ids = np.cumsum(ids, dtype=np.int64)
-            rows.append((int(times[c[ids] > 0].sum()), float(base[ids] @ times), float(p[ids] @ times)))
-        out = pd.DataFrame(rows, columns=["n_known", "base_score", "score"])
-        return out.assign(doc_id=right["doc_id"].to_numpy(), held_out=right["held_out"].to_numpy(), n_tokens=right["n_tokens"].to_numpy(), train_tokens=n)
+        unpack = zstandard.ZstdDecompressor()
+        lengths = right["n_tokens"].to_numpy(np.int64)
+        places = np.frombuffer(b"".join(map(unpack.decompress, right["places"])), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        age = np.arange(len(places)) - np.repeat(starts, lengths)
+        scores = log_scores(tree.value, symbol[places], age, base[places], depth)
+        total = lambda x: np.add.reduceat(x, starts)
+        return pd.DataFrame({
+            "doc_id": right["doc_id"].to_numpy(), "held_out": right["held_out"].to_numpy(), "n_tokens": lengths,
+            "n_known": total((c[places] > 0).astype(np.int64)), "train_tokens": n, "base_score": total(base[places]), "score": total(scores),
+        })
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
