@@ -118,7 +118,7 @@ def distinct_ignoring_case(values: Column) -> Column:
     """The trimmed, non-empty strings of an array; of those equal but for case the first stays."""
     first = lambda pair: F.filter(pair["clean"], lambda x, i: F.array_position(pair["lows"], F.lower(x)) == i + 1)
     both = lambda clean: let(F.struct(clean.alias("clean"), F.transform(clean, F.lower).alias("lows")), first)
-    return let(F.filter(F.transform(values, F.trim), lambda x: x != ""), both)
+    return let(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""), both)
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -133,7 +133,8 @@ def clamp(c: Column, low: float, high: float, fallback: float) -> Column:
 
 def clamp_int(c: Column, low: int, high: int, fallback: int) -> Column:
     number = c.cast("double")
-    return clamp(F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)), low, high, fallback).cast("long")
+    whole = F.when(F.isnan(number), F.lit(None)).when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
+    return clamp(whole, low, high, fallback).cast("long")
 
 
 def blank_to_null(c: Column) -> Column:

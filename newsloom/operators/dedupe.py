@@ -159,7 +159,7 @@ def sequential_dedupe(items: DataFrame, request: list[str], sport: Column, confi
     """items with verdict. Columns: id, ordinal (ties of equal times keep this order), title, url, source, published_at,
     quality and preference (of the source), entities, teams and people (arrays of ids)."""
     config = config or DedupeConfig()
-    ready = prepared(items, sport)
+    ready, columns = prepared(items, sport), items.columns
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_ms", "ordinal"], ascending=[False, True], na_position="last", kind="stable").reset_index(drop=True)
@@ -169,7 +169,7 @@ def sequential_dedupe(items: DataFrame, request: list[str], sport: Column, confi
             none = lambda v: None if pd.isna(v) else v
             made.append(Candidate(k, float(r["_ms"]) if none(r["_ms"]) is not None else 0.0, r["_title"] or "", r["source"] or "", r["quality"], r["preference"], none(r["_event"]), r["_angle"], frozenset(r["entities"]), frozenset(r["teams"]), frozenset(r["people"])))
         clean = lambda c: [None if pd.isna(v) else v for v in group[c]]
-        return group[items.columns].assign(verdict=decide(made, clean("_event_key"), clean("_rule"), config))
+        return group[columns].assign(verdict=decide(made, clean("_event_key"), clean("_rule"), config))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", verdict string"
     return ready.groupBy(*request).applyInPandas(scan, schema)

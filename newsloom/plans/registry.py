@@ -167,7 +167,7 @@ def x22_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), ' ') AS tags FROM (SELECT doc_id, l[1:12] AS l FROM w)"""
 )
 def x26_distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.transform(F.split("text", " "), F.trim), lambda x: x != "")
+    words = F.filter(F.transform(F.split("text", " "), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, 12).alias("w")).select("doc_id", F.array_join(X.distinct_ignoring_case(F.col("w")), " ").alias("tags"))
 
 
