@@ -21,7 +21,6 @@ sets; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,19 +43,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-SPACE_TO_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
 def shingles(text: str | None, width: int, known: WordHash) -> np.ndarray:
     """The sorted distinct hashes of all windows of `width` words; of all words if they are fewer."""
-    words = [w for w in text.translate(SPACE_TO_BLANK).split(" ") if w] if text else []
+    words = text.encode().split() if text else []  # bytes know of ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -79,13 +75,31 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return (mix(least) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def chosen(path: int, tokens: np.ndarray, branch: float) -> np.ndarray:
-    """The paths below this one that a set of tokens chooses."""
-    seed = mix(np.array([path], np.uint64))[0]
-    h = (tokens ^ seed) * ODD
+def chosen(paths: np.ndarray, tokens: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the paths, the path below it) for all that a set of tokens chooses."""
+    if not len(paths):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    seeds = mix(paths)
+    h = (tokens[None, :] ^ seeds[:, None]) * ODD
     h ^= h >> np.uint64(29)
     limit = np.uint64(min(1.0, branch / max(1, len(tokens))) * 18446744073709549568.0)
-    return mix(h[h <= limit] ^ seed)
+    at, token = np.nonzero(h <= limit)
+    return at, mix(h[at, token] ^ seeds[at])
+
+
+def walk(tokens: np.ndarray, runs: int, levels: int, branch: float) -> list[int]:
+    """All paths of a set: for each first path its number of second ones, and for each of those its third ones."""
+    _, first = chosen(np.arange(runs, dtype=np.uint64), tokens, branch)
+    at2, second = chosen(first if levels > 1 else first[:0], tokens, branch)
+    at3, third = chosen(second if levels > 2 else second[:0], tokens, branch)
+    first, second, third = first.view(np.int64).tolist(), second.view(np.int64).tolist(), third.view(np.int64).tolist()
+    end2, end3 = np.searchsorted(at2, np.arange(len(first) + 1)).tolist(), np.searchsorted(at3, np.arange(len(second) + 1)).tolist()
+    out: list[int] = []
+    for i, p in enumerate(first):
+        out += (p, end2[i + 1] - end2[i])
+        for j in range(end2[i], end2[i + 1]):
+            out += (second[j], end3[j + 1] - end3[j], *third[end3[j] : end3[j + 1]])
+    return out
 
 
 def survival(levels: int, branch: float, threshold: float) -> float:
@@ -112,23 +126,49 @@ def blocks(df: DataFrame, key: str, node: str, size: int) -> DataFrame:
     return df.withColumn("_pair", F.explode(others)).select(*df.columns, F.col("_pair.low").alias("low"), F.col("_pair.high").alias("high"), F.col("_pair.side").alias("side"))
 
 
-def forest(edges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The edges that join parts not yet joined."""
-    parent: dict[int, int] = {}
+class Forest:
+    """A spanning forest of edges among n places, which come as one place and those it is linked to."""
 
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent.setdefault(p, p)
-            x = parent[x]
-        return x
+    def __init__(self, n: int) -> None:
+        self.label, self.edges = np.arange(n), []
 
-    out = []
-    for a, b in edges:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+    def link(self, i: int, others: np.ndarray) -> None:
+        apart = others[self.label[others] != self.label[i]]
+        for label, k in zip(*np.unique(self.label[apart], return_index=True), strict=True):
+            self.edges.append((i, int(apart[k])))
+            self.label[self.label == label] = self.label[i]
+
+
+def intersections(sets: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the rows, the sizes of its intersections with all sets. Tokens of a single set don't count.
+
+    By products of 0/1 matrices where many sets share few tokens, else by the tokens' postings.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(often > 1) - 1
+    shared = often[code] > 1
+    owner, code, columns = owner[shared], column[code[shared]], int((often > 1).sum())
+    order = np.argsort(code, kind="stable")
+    begin = np.searchsorted(code[order], np.arange(columns + 1))
+    if (often[often > 1].astype(np.float64) ** 2).sum() * 20 > float(len(rows)) * len(sets) * columns:
+        common = np.zeros((len(rows), len(sets)), np.float32)
+        for a in range(0, columns, 2048):
+            part = order[begin[a] : begin[min(a + 2048, columns)]]
+            x = np.zeros((len(sets), 2048), np.float32)
+            x[owner[part], code[part] - a] = 1
+            common += x[rows] @ x.T
+        for k, i in enumerate(rows.tolist()):
+            row = common[k].astype(np.int64)
+            row[i] = sizes[i]
+            yield i, row
+        return
+    of, by_owner = np.split(code, np.searchsorted(owner, np.arange(1, len(sets)))), owner[order]
+    for i in rows.tolist():
+        low, lengths = begin[of[i]], begin[of[i] + 1] - begin[of[i]]
+        at = np.repeat(low - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        yield i, np.bincount(by_owner[at], minlength=len(sets))
 
 
 def candidate_edges(leaves: DataFrame, least: float) -> DataFrame:
@@ -142,13 +182,11 @@ def candidate_edges(leaves: DataFrame, least: float) -> DataFrame:
         inner = group["low"].iloc[0] == group["high"].iloc[0]
         right = left if inner else right
 
-        def pairs() -> Iterator[tuple[int, int]]:
-            for k, i in enumerate(left):
-                others = right[k + 1 :] if inner else right
-                for j in others[(s[others] == s[i]).sum(axis=1) >= least * SKETCH]:
-                    yield int(nodes[i]), int(nodes[j])
-
-        return pd.DataFrame(forest(pairs()), columns=["a", "b"])
+        found = Forest(len(nodes))
+        for k, i in enumerate(left.tolist()):
+            others = right[k + 1 :] if inner else right
+            found.link(i, others[(s[others] == s[i]).sum(axis=1) >= least * SKETCH])
+        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found.edges], columns=["a", "b"])
 
     return leaves.groupBy("bucket", "low", "high").applyInPandas(run, "a long, b long")
 
@@ -164,27 +202,15 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
         sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
         sizes = np.array([len(x) for x in sets])
         inner = group["low"].iloc[0] == group["high"].iloc[0]
-        # Postings: which sets have a token, so one pass over a set's tokens counts all its intersections.
-        every, code = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        of = np.split(code, np.cumsum(sizes)[:-1])
-        order = np.argsort(code, kind="stable")
-        begin = np.searchsorted(code[order], np.arange(len(every) + 1))
-        owner = owner[order]
-        links, edges = np.zeros(len(sets), np.int64), []
-        for i in np.flatnonzero(~side):
-            low, high = begin[of[i]], begin[of[i] + 1]
-            lengths = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            common = np.bincount(owner[at], minlength=len(sets))
+        links, found = np.zeros(len(sets), np.int64), Forest(len(sets))
+        for i, common in intersections(sets, np.flatnonzero(~side)):
             hit = common >= threshold * (sizes + sizes[i] - common) - 1e-9
-            hit &= (np.arange(len(sets)) > i) if inner else side
-            j = np.flatnonzero(hit)
+            j = np.flatnonzero(hit & ((np.arange(len(sets)) > i) if inner else side))
             links[i] += weight[j].sum()
             links[j] += weight[i]
-            edges += [(int(nodes[i]), int(nodes[x])) for x in j] if len(j) < 64 else [*((int(nodes[i]), int(nodes[x])) for x in j)]
+            found.link(i, j)
         out = pd.DataFrame({"node": nodes, "links": links, "other": None})
-        tree = pd.DataFrame([(a, 0, b) for a, b in forest(iter(edges))], columns=["node", "links", "other"])
+        tree = pd.DataFrame([(nodes[i], 0, nodes[j]) for i, j in found.edges], columns=["node", "links", "other"])
         return pd.concat([out[out["links"] > 0].astype(object), tree.astype(object)], ignore_index=True)
 
     return members.groupBy("component", "low", "high").applyInPandas(run, "node long, links long, other long")
@@ -206,33 +232,34 @@ def jaccard_join(
                 tokens = shingles(text, shingle, known)
                 if len(tokens):
                     d = xxhash.xxh128_digest(tokens.tobytes())
-                    rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                    rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), walk(tokens, runs, levels, branch)))
                 else:
-                    rows.append((None, None))
-            yield pd.DataFrame(rows, columns=["s1", "s2"], dtype="object").assign(doc_id=batch["doc_id"])
+                    rows.append((None, None, None))
+            yield pd.DataFrame(rows, columns=["s1", "s2", "paths"], dtype="object").assign(doc_id=batch["doc_id"])
 
-    # The equal sets: one document stands for all.
-    sets = materialized(slim.mapInPandas(split, "doc_id long, s1 long, s2 long"))
+    # One pass over the texts: a hash of each set, and its paths.
+    table = materialized(slim.mapInPandas(split, "doc_id long, s1 long, s2 long, paths array<long>"))
+    sets = table.select("doc_id", "s1", "s2")
+    # Of equal sets one document stands for all.
     stands = materialized(sets.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight")).where("node IS NOT NULL"))
-    heads = slim.join(stands.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
+    heads = table.join(stands.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHash()
+    def first_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = defaultdict(list)
-            for node, text in zip(batch["doc_id"], batch["text"], strict=True):
-                tokens = shingles(text, shingle, known)
-                for r in range(runs):
-                    for p1 in chosen(r, tokens, branch).tolist():
-                        below = [(p2, chosen(p2, tokens, branch)) for p2 in chosen(p1, tokens, branch).tolist()] if levels > 1 else []
-                        flat = [x for p2, deep in below for x in (p2, len(deep), *deep.tolist())]
-                        out["node"].append(node)
-                        out["p1"].append(p1)
-                        out["below"].append(np.array(flat, np.uint64).view(np.int64).tolist())
-            frame = pd.DataFrame(out, columns=["node", "p1", "below"])
-            yield frame.assign(p1=np.array(frame["p1"].tolist(), np.uint64).view(np.int64))
-
-    steps = materialized(heads.mapInPandas(walk, "node long, p1 long, below array<long>"))
+            nodes, first, below = [], [], []
+            for node, flat in zip(batch["doc_id"], batch["paths"], strict=True):
+                flat, k = flat.tolist(), 0
+                while k < len(flat):
+                    start = k + 2
+                    k = start
+                    for _ in range(flat[start - 1]):
+                        k += 2 + flat[k + 1]
+                    nodes.append(node)
+                    first.append(flat[start - 2])
+                    below.append(flat[start:k])
+            yield pd.DataFrame({"node": nodes, "p1": first, "below": below})
+
+    steps = materialized(heads.mapInPandas(first_paths, "node long, p1 long, below array<long>"))
 
     def counted(df: DataFrame) -> DataFrame:
         """df with n, without the buckets of one row."""
@@ -243,11 +270,11 @@ def jaccard_join(
         for batch in batches:
             rows = []
             for node, flat in zip(batch["node"], batch["below"], strict=True):
-                k, flat = 0, np.asarray(flat, np.int64).tolist()
+                k, flat = 0, flat.tolist()
                 while k < len(flat):
-                    n = flat[k + 1] if levels > 2 else 0
-                    rows.append((flat[k], node, flat[k + 2 : k + 2 + n]))
-                    k += 2 + flat[k + 1]
+                    end = k + 2 + flat[k + 1]
+                    rows.append((flat[k], node, flat[k + 2 : end]))
+                    k = end
             yield pd.DataFrame(rows, columns=["bucket", "node", "deep"])
 
     one = counted(steps.select(F.col("p1").alias("bucket"), "node", "below"))
@@ -269,7 +296,7 @@ def jaccard_join(
             yield pd.DataFrame(rows, columns=["tokens", "sketch"]).assign(node=batch["doc_id"])
 
     near = last.select("node").distinct()
-    drawn = materialized(heads.join(near, F.col("doc_id") == F.col("node"), "left_semi").mapInPandas(sketched, "node long, tokens binary, sketch binary"))
+    drawn = materialized(slim.join(near, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sketched, "node long, tokens binary, sketch binary"))
     spread = 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)
     # Buckets with the same members are one.
     alike = last.groupBy("bucket", "n").agg(F.sum(F.xxhash64("node") % (1 << 40)).alias("m1"), F.bit_xor(F.xxhash64("node")).alias("m2"))

@@ -20,7 +20,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +31,15 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import crc_mod, materialized
 
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-END = "\n"  # white space is never in a word
+END = b"\n"  # white space is never in a word
 
 
-def tokens_of(text: str | None) -> list[str]:
-    return [*TOKEN.findall(text.translate(LOWER)), END] if isinstance(text, str) else [END]
+def tokens_of(text: str | None) -> list[bytes]:
+    """The words, in UTF-8, with A-Z in lower case, and END. Bytes know of ASCII letters and white space only."""
+    return [*text.encode().lower().split(), END] if isinstance(text, str) else [END]
 
 
-def encode(docs: DataFrame, block_tokens: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, block_tokens: int = 1_500_000) -> DataFrame:
     """Two kinds of rows by block: `token` with its place in the block's list and its count in training documents, and
     `doc_id` with the places of its tokens, in order. docs: doc_id, text, held_out."""
 
@@ -51,13 +49,20 @@ def encode(docs: DataFrame, block_tokens: int = 2_000_000) -> DataFrame:
         place = Places()
         rows, trained, held = [], [], 0
 
-        def emit() -> pd.DataFrame:
+        def emit() -> Iterator[pd.DataFrame]:
             counts = np.zeros(len(place), np.int64)
             for places in trained:
                 counts += np.bincount(places, minlength=len(place))
-            lists = pd.DataFrame({"place": range(len(place)), "token": list(place), "trained": counts}).assign(doc_id=None, held_out=None, n_tokens=None, places=None)
-            texts = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "places"]).assign(place=None, token=None, trained=None)
-            return pd.concat([lists.astype(object), texts.astype(object)], ignore_index=True).assign(block=(part << 20) + number)
+            block, tokens = (part << 20) + number, list(place)
+            for a in range(0, len(tokens), 50_000):
+                some = [t.decode() for t in tokens[a : a + 50_000]]
+                yield pd.DataFrame({
+                    "block": block, "place": np.arange(a, a + len(some), dtype=np.int32), "token": some, "trained": counts[a : a + 50_000],
+                    "doc_id": None, "held_out": None, "n_tokens": None, "places": None,
+                })
+            for a in range(0, len(rows), 2000):
+                some = pd.DataFrame(rows[a : a + 2000], columns=["doc_id", "held_out", "n_tokens", "places"])
+                yield some.assign(block=block, place=None, token=None, trained=None)
 
         for batch in batches:
             for key, text, out in zip(batch["doc_id"], batch["text"], batch["held_out"], strict=True):
@@ -71,17 +76,17 @@ def encode(docs: DataFrame, block_tokens: int = 2_000_000) -> DataFrame:
                     most = np.concatenate(trained)
                     trained = [most]
                 if held >= block_tokens:
-                    yield emit()
+                    yield from emit()
                     place, rows, trained, held, number = Places(), [], [], 0, number + 1
         if rows:
-            yield emit()
+            yield from emit()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", "held_out").mapInPandas(run, f"block long, place int, token string, trained long, doc_id {kind}, held_out boolean, n_tokens long, places binary")
 
 
 class Places(dict):
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: bytes) -> int:
         self[token] = k = len(self)
         return k
 
@@ -89,13 +94,12 @@ class Places(dict):
 class Tree:
     """Nodes are contexts, 0 is the empty one. A node's child is the context with one more word in front."""
 
-    def __init__(self, symbols: list[str], p0: np.ndarray) -> None:
+    def __init__(self, symbols: list[bytes], p0: np.ndarray) -> None:
         self.symbols, self.size = {t: k for k, t in enumerate(symbols)}, max(1, len(symbols))
         self.p0 = p0
         self.parent, self.kept, self.escape = [0], [True], [0.0]
         self.children: dict[int, int] = {}
         self.entries: dict[int, float] = {}
-        self.by_level: list[range] = [range(1)]
 
     def freeze(self) -> Tree:
         order = lambda d, kind: (np.array(sorted(d), np.int64), np.array([d[k] for k in sorted(d)], kind))
@@ -104,6 +108,10 @@ class Tree:
         self.up, self.is_kept, self.esc = np.array(self.parent), np.array(self.kept), np.array(self.escape)
         return self
 
+    def __getstate__(self) -> dict:
+        """What tasks need: the sorted arrays, not the dictionaries they are made from."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("children", "entries", "parent", "kept", "escape")}
+
     def kept_parent(self, node: int) -> int:
         node = self.parent[node]
         while not self.kept[node]:
@@ -145,22 +153,35 @@ def next_counts(train: DataFrame, tree: Tree, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
-        for batch in batches:
-            texts = [tokens_of(x) for x in batch["text"]]
+        known = t.symbols.get
+
+        def counted(texts: list[np.ndarray]) -> pd.DataFrame:
             lengths = np.array([len(x) for x in texts])
-            ids = np.fromiter((t.symbols.get(w, -1) for x in texts for w in x), np.int64, int(lengths.sum()))
+            ids = np.concatenate(texts).astype(np.int64)
             age = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             node = states(t, ids, age, depth)[-1]
-            there = node >= 0
-            keys, n = np.unique(np.where(ids[there] >= 0, node[there] * t.size + ids[there], -1 - node[there]), return_counts=True)
-            yield pd.DataFrame({"key": keys, "n": n})
+            ids, node = ids[node >= 0], node[node >= 0]
+            keys, n = np.unique(np.where(ids >= 0, node * t.size + ids, -1 - node), return_counts=True)
+            return pd.DataFrame({"key": keys, "n": n})
+
+        texts, held = [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                tokens = tokens_of(text)
+                texts.append(np.fromiter((known(w, -1) for w in tokens), np.int32, len(tokens)))
+                held += len(tokens)
+                if held >= 1_000_000:
+                    yield counted(texts)
+                    texts, held = [], 0
+        if texts:
+            yield counted(texts)
 
     return train.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int, min_share: float, min_joint: float, min_gain: float, prior: float) -> Tree:
     found = counts.where((F.col("c") > 0) & (F.col("c") >= min_joint * n)).select("token", "c").collect()
-    found = sorted(((r["token"], r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
+    found = sorted(((r["token"].encode(), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
     c = np.array([x[1] for x in found], np.float64)
     tree = Tree([x[0] for x in found], (c + 0.5) / (n + 0.5 * (v + 1)))
     grown = [(0, k) for k in range(len(found)) if c[k] >= min_share * n and found[k][0] != END]
@@ -251,7 +272,7 @@ def score_documents(
         c, at = np.zeros(len(left)), left["place"].to_numpy()
         c[at] = left["c"].to_numpy()
         symbol = np.empty(len(left), np.int64)
-        symbol[at] = [tree.value.symbols.get(t, -1) for t in left["token"]]
+        symbol[at] = [tree.value.symbols.get(t.encode(), -1) for t in left["token"]]
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         unpack = zstandard.ZstdDecompressor()
         lengths = right["n_tokens"].to_numpy(np.int64)

@@ -231,17 +231,22 @@ def repeated_spans(docs: DataFrame, width: int = 400, k: int = 32, shard_bytes:
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            first, second, hashes, places = [], [], [], []
             for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"], strict=True):
                 at, h = anchors(np.frombuffer(text.encode(), np.uint8), width, k)
-                out.append(pd.DataFrame({"k1": k1, "k2": k2, "place": at, "h": h.view(np.int64)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    found = long_enough.mapInPandas(marked, "k1 long, k2 long, place long, h long")
-    found = found.groupBy("h", "k1", "k2", "place").agg(F.lit(1).alias("one")).drop("one")  # copies of a text count once
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    wanted = found.join(often, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+                order = np.argsort(h, kind="stable")
+                value, begin = np.unique(h[order], return_index=True)
+                first += [k1] * len(value)
+                second += [k2] * len(value)
+                hashes += value.view(np.int64).tolist()
+                places += np.split(at[order], begin[1:]) if len(value) else []
+            yield pd.DataFrame({"k1": first, "k2": second, "h": hashes, "places": places})
+
+    # A row for a text and hash, however often the text has it; copies of a text count once.
+    found = long_enough.mapInPandas(marked, "k1 long, k2 long, h long, places array<long>")
+    found = found.groupBy("h", "k1", "k2").agg(F.first("places").alias("places"))
+    often = found.groupBy("h").agg(F.sum(F.size("places")).alias("n")).where("n > 1").drop("n")
+    wanted = found.join(often, "h", "left_semi").groupBy("k1", "k2").agg(F.flatten(F.collect_list("places")).alias("places"))
     texts = long_enough.join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("places").alias("places"))
     table = materialized(shards(texts, width, k, shard_bytes))
     total = table.agg(F.coalesce(F.sum("n_heads"), F.lit(0))).first()[0]

@@ -108,7 +108,7 @@ def test_lm_scores(spark, docs):
 
 def test_lm_states_sum_to_one():
     """In every kept context the symbols with probabilities of their own and the rest make up one."""
-    tree = lm_scoring.Tree(["a", "b", "c"], np.array([0.4, 0.3, 0.2]))
+    tree = lm_scoring.Tree([b"a", b"b", b"c"], np.array([0.4, 0.3, 0.2]))
     tree.children[0] = 1
     tree.parent.append(0)
     tree.kept.append(True)
