@@ -171,37 +171,61 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[in
         yield i, np.bincount(by_owner[at], minlength=len(sets))
 
 
-def candidate_edges(leaves: DataFrame, least: float) -> DataFrame:
+def in_deals(df: DataFrame, keys: list[str], size: int, run, schema: str, per_deal: int = 1000) -> DataFrame:  # noqa: ANN001
+    """run(columns of one group as arrays) -> rows, for all groups of the keys, by deals of about `per_deal` rows.
+
+    Most groups are a few rows; a task's cost for each deal is far above that of a group in it. size: the rows of df.
+    """
+    deals = max(1, -(-size // per_deal))
+    names = schema.replace(" long", "").split(", ")
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(keys).reset_index(drop=True)
+        edge = np.zeros(len(rows), bool)
+        for k in keys:
+            edge |= rows[k].ne(rows[k].shift()).to_numpy()
+        starts = np.append(np.flatnonzero(edge), len(rows)).tolist()
+        arrays = {c: rows[c].to_numpy() for c in rows.columns}
+        found: list[tuple] = []
+        for x, y in zip(starts, starts[1:]):
+            if y - x > 1:
+                found += run({c: v[x:y] for c, v in arrays.items()})
+        return pd.DataFrame(found, columns=names, dtype=object)
+
+    return df.withColumn("deal", F.pmod(F.xxhash64(*keys), F.lit(deals))).groupBy("deal").applyInPandas(deal, schema)
+
+
+def candidate_edges(leaves: DataFrame, size: int, least: float) -> DataFrame:
     """A spanning forest of the pairs of each bucket whose sketches agree enough. leaves: bucket, n, low, high, side, node, sketch."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["node", "side"])
-        nodes = group["node"].to_numpy()
-        s = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(-1, SKETCH)
-        left, right = np.flatnonzero(~group["side"].to_numpy()), np.flatnonzero(group["side"].to_numpy())
-        inner = group["low"].iloc[0] == group["high"].iloc[0]
+    def run(group: dict[str, np.ndarray]) -> list[tuple]:
+        _, first = np.unique(np.stack([group["node"], group["side"].astype(np.int64)]), axis=1, return_index=True)
+        nodes, side = group["node"][first], group["side"][first].astype(bool)
+        s = np.frombuffer(b"".join(group["sketch"][first]), "<u2").reshape(-1, SKETCH)
+        left, right = np.flatnonzero(~side), np.flatnonzero(side)
+        inner = group["low"][0] == group["high"][0]
         right = left if inner else right
 
         found = Forest(len(nodes))
         for k, i in enumerate(left.tolist()):
             others = right[k + 1 :] if inner else right
             found.link(i, others[(s[others] == s[i]).sum(axis=1) >= least * SKETCH])
-        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found.edges], columns=["a", "b"])
+        return [(nodes[i], nodes[j]) for i, j in found.edges]
 
-    return leaves.groupBy("bucket", "low", "high").applyInPandas(run, "a long, b long")
+    return in_deals(leaves, ["bucket", "low", "high"], size, run, "a long, b long")
 
 
-def exact_links(members: DataFrame, threshold: float) -> DataFrame:
+def exact_links(members: DataFrame, size: int, threshold: float) -> DataFrame:
     """node, links, other: links counts documents in a pair of blocks, other (one row each) an edge of a spanning forest.
 
     members: component, n, low, high, side, node, weight, tokens (sorted, binary).
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, weight, side = group["node"].to_numpy(), group["weight"].to_numpy(), group["side"].to_numpy()
+    def run(group: dict[str, np.ndarray]) -> list[tuple]:
+        nodes, weight, side = group["node"], group["weight"], group["side"].astype(bool)
         sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
         sizes = np.array([len(x) for x in sets])
-        inner = group["low"].iloc[0] == group["high"].iloc[0]
+        inner = group["low"][0] == group["high"][0]
         links, found = np.zeros(len(sets), np.int64), Forest(len(sets))
         for i, common in intersections(sets, np.flatnonzero(~side)):
             hit = common >= threshold * (sizes + sizes[i] - common) - 1e-9
@@ -209,11 +233,15 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
             links[i] += weight[j].sum()
             links[j] += weight[i]
             found.link(i, j)
-        out = pd.DataFrame({"node": nodes, "links": links, "other": None})
-        tree = pd.DataFrame([(nodes[i], 0, nodes[j]) for i, j in found.edges], columns=["node", "links", "other"])
-        return pd.concat([out[out["links"] > 0].astype(object), tree.astype(object)], ignore_index=True)
+        counts = [(nodes[i], links[i], None) for i in np.flatnonzero(links).tolist()]
+        return counts + [(nodes[i], 0, nodes[j]) for i, j in found.edges]
+
+    return in_deals(members, ["component", "low", "high"], size, run, "node long, links long, other long")
+
 
-    return members.groupBy("component", "low", "high").applyInPandas(run, "node long, links long, other long")
+def dealt_rows(df: DataFrame, size: int) -> int:
+    """How many rows `blocks` makes of df."""
+    return df.agg(F.coalesce(F.sum(F.ceil(F.col("n") / size)), F.lit(0))).first()[0]
 
 
 def jaccard_join(
@@ -302,11 +330,12 @@ def jaccard_join(
     alike = last.groupBy("bucket", "n").agg(F.sum(F.xxhash64("node") % (1 << 40)).alias("m1"), F.bit_xor(F.xxhash64("node")).alias("m2"))
     alike = alike.groupBy("n", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket")
     dealt = blocks(last.join(alike, "bucket", "left_semi"), "bucket", "node", block).join(drawn.select("node", "sketch"), "node")
-    edges = candidate_edges(dealt, threshold - spread)
+    edges = candidate_edges(dealt, dealt_rows(last, block), threshold - spread)
     member = components(edges).withColumnRenamed("root", "component")
     member = member.join(member.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").join(stands.select("node", "weight"), "node")
+    size = dealt_rows(member, block)
     dealt = blocks(member, "component", "node", block).join(drawn.select("node", "tokens"), "node")
-    found = materialized(exact_links(dealt, threshold))
+    found = materialized(exact_links(dealt, size, threshold))
     links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = stands.join(roots, "node", "left").join(links, "node", "left").select(
