@@ -194,7 +194,7 @@ def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int, min_sh
             tree.parent.append(up)
             tree.kept.append(False)
             tree.escape.append(0.0)
-        own = next_counts(train, tree.freeze(), d)
+        own = materialized(next_counts(train, tree.freeze(), d))
         totals = own.groupBy(F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.floor(F.col("key") / tree.size)).alias("node")).agg(F.sum("n").alias("n"))
         totals = {r["node"]: r["n"] for r in totals.collect()}
         nexts: dict[int, list[tuple[int, int]]] = {}
