@@ -1,17 +1,19 @@
 """LM scoring by a probabilistic suffix tree over words.
 
 Symbols are lower-cased words and one end of text. The empty context has the smoothed unigram distribution, in which all
-unknown words are one symbol. A context (the last words before a symbol, up to `depth`) is a candidate if its share of
-all training tokens is at least `min_share`; of its next symbols, those whose share together with the context is at
-least `min_joint` have probabilities of their own, and the rest have what is left, in proportion to the distribution of
-the context's longest kept suffix. A candidate is kept if its distribution diverges from that suffix's: its share times
-the Kullback-Leibler divergence, in bits, is at least `min_gain`. Every symbol is scored in its longest suffix state.
-
-By the share rules the tree has at most depth / min_share contexts and depth / min_joint probabilities, however large
-the corpus is: that, and the at most 1 / min_joint symbols in them, may be broadcast. Counts cover the whole training
-corpus. The unigram counts of all words are not bounded, so they aren't broadcast: a partition of documents is encoded
-once as the distinct words of its blocks and the documents' places in those; words are counted across the corpus and
-their counts sent back to their blocks, where the documents are scored.
+unknown words are one symbol. A context (the last words before a symbol, up to `depth`) is a candidate if the training
+texts hold it `min_context` times or more; of its next symbols, those seen there `min_next` times or more have
+probabilities of their own, and the rest have what is left, in proportion to the distribution of the context's longest
+kept suffix. A candidate is kept if its distribution diverges from that suffix's: its count times the Kullback-Leibler
+divergence, in bits, is at least `min_bits`. Every symbol is scored in its longest suffix state.
+
+The bars are counts, so the contexts and probabilities grow with the corpus. They are tables keyed by hashes of 64 bits
+of the context and of the context with its next symbol; neither the driver nor a broadcast holds any of them. A partition
+of documents is encoded once as blocks: the distinct words and the documents' places in those. The words are counted
+across the corpus and the counts sent back to their blocks; then, for each depth, the blocks send the distinct contexts
+and next symbols that can reach the bars (no part of one may be below them), with their probability in the shorter
+state, and get back the counts and probabilities of those that the corpus keeps. What a block keeps between two depths
+is a row of arrays. Counts cover the whole training corpus.
 
 Edge cases: null and empty texts are the end alone; an empty training fold gives one unknown symbol with probability
 one; null ids are in the training fold; repeated rows count and are scored each; an empty table gives an empty result;
@@ -20,6 +22,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,7 +96,8 @@ class Places(dict):
 
 
 class Tree:
-    """Nodes are contexts, 0 is the empty one. A node's child is the context with one more word in front."""
+    """A small model in memory, to compare with. Nodes are contexts, 0 is the empty one. A node's child is the context
+    with one more word in front."""
 
     def __init__(self, symbols: list[bytes], p0: np.ndarray) -> None:
         self.symbols, self.size = {t: k for k, t in enumerate(symbols)}, max(1, len(symbols))
@@ -147,89 +152,6 @@ def states(tree: Tree, ids: np.ndarray, age: np.ndarray, depth: int) -> list[np.
     return out
 
 
-def next_counts(train: DataFrame, tree: Tree, depth: int) -> DataFrame:
-    """key (node * symbols + next symbol; of the rest -1 - node), n: of the contexts of this depth."""
-    shared = train.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
-        known = t.symbols.get
-
-        def counted(texts: list[np.ndarray]) -> pd.DataFrame:
-            lengths = np.array([len(x) for x in texts])
-            ids = np.concatenate(texts).astype(np.int64)
-            age = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            node = states(t, ids, age, depth)[-1]
-            ids, node = ids[node >= 0], node[node >= 0]
-            keys, n = np.unique(np.where(ids >= 0, node * t.size + ids, -1 - node), return_counts=True)
-            return pd.DataFrame({"key": keys, "n": n})
-
-        texts, held = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                tokens = tokens_of(text)
-                texts.append(np.fromiter((known(w, -1) for w in tokens), np.int32, len(tokens)))
-                held += len(tokens)
-                if held >= 1_000_000:
-                    yield counted(texts)
-                    texts, held = [], 0
-        if texts:
-            yield counted(texts)
-
-    return train.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int, min_share: float, min_joint: float, min_gain: float, prior: float) -> Tree:
-    found = counts.where((F.col("c") > 0) & (F.col("c") >= min_joint * n)).select("token", "c").collect()
-    found = sorted(((r["token"].encode(), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
-    c = np.array([x[1] for x in found], np.float64)
-    tree = Tree([x[0] for x in found], (c + 0.5) / (n + 0.5 * (v + 1)))
-    grown = [(0, k) for k in range(len(found)) if c[k] >= min_share * n and found[k][0] != END]
-    for d in range(1, depth + 1):
-        if not grown:
-            break
-        first = len(tree.parent)
-        for up, symbol in grown:
-            tree.children[up * tree.size + symbol] = len(tree.parent)
-            tree.parent.append(up)
-            tree.kept.append(False)
-            tree.escape.append(0.0)
-        own = materialized(next_counts(train, tree.freeze(), d))
-        totals = own.groupBy(F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.floor(F.col("key") / tree.size)).alias("node")).agg(F.sum("n").alias("n"))
-        totals = {r["node"]: r["n"] for r in totals.collect()}
-        nexts: dict[int, list[tuple[int, int]]] = {}
-        for r in own.where((F.col("key") >= 0) & (F.col("n") >= min_joint * n) & (F.col("n") > 1)).collect():
-            nexts.setdefault(r["key"] // tree.size, []).append((r["key"] % tree.size, r["n"]))
-        for node in range(first, len(tree.parent)):
-            total, own_nexts, up = totals.get(node, 0), nexts.get(node, []), tree.kept_parent(node)
-            if not own_nexts:
-                continue
-            q = [tree.probability(up, a) for a, _ in own_nexts]
-            p = [k / (total + prior) for _, k in own_nexts]
-            rest, rest_q = 1 - sum(p), max(1e-9, 1 - sum(q))
-            gain = sum(x * np.log2(x / y) for x, y in zip(p, q, strict=True)) + rest * np.log2(rest / rest_q)
-            if total / n * gain >= min_gain:
-                tree.kept[node] = True
-                tree.escape[node] = float(np.log10(rest / rest_q))
-                tree.entries |= {node * tree.size + a: float(np.log10(x)) for (a, _), x in zip(own_nexts, p, strict=True)}
-        # A longer context has one more word in front: the count of (a, then this context) is one of a's next counts.
-        grown = [(node, a) for node, a in longer(tree, nexts, first, min_share * n) if tree.symbols and a != tree.symbols.get(END)]
-    return tree.freeze()
-
-
-def longer(tree: Tree, nexts: dict[int, list[tuple[int, int]]], first: int, least: float) -> Iterator[tuple[int, int]]:
-    """(suffix node, word in front) of the contexts one word longer whose count is at least `least`."""
-    words: dict[int, tuple[int, ...]] = {0: ()}
-    for key, node in tree.children.items():
-        words[node] = (key % tree.size, *words[key // tree.size])
-    ids = {w: node for node, w in words.items()}
-    for node in range(first, len(tree.parent)):
-        for last, k in nexts.get(node, []):
-            context = (*words[node], last)
-            if k >= least and context[1:] in ids:
-                yield ids[context[1:]], context[0]
-
-
 def log_scores(tree: Tree, ids: np.ndarray, age: np.ndarray, log_p0: np.ndarray, depth: int) -> np.ndarray:
     """The log10 probability of each symbol in its longest suffix state."""
     state = np.zeros(len(ids), np.int64)
@@ -253,39 +175,146 @@ def log_scores(tree: Tree, ids: np.ndarray, age: np.ndarray, log_p0: np.ndarray,
     return out + np.where(state == 0, log_p0, 0.0)
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes; the order counts."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0xD1B54A32D192ED03))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return zstandard.ZstdCompressor(level=1).compress(out.getbuffer())
+
+
+def unpack(state: bytes) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(state))))
+
+
+def candidates(state: dict[str, np.ndarray], depth: int, least: int, least_next: int) -> tuple[np.ndarray, ...]:
+    """The places with a context of `depth` words that can reach the bar, its hashes there, those of these places whose
+    next symbol can, and the hashes of both together. `n` has the counts of the depth before, of the symbol at a place."""
+    lengths, n, words = state["lengths"], state["n"], state["hashes"][state["places"]]
+    first = np.zeros(len(n), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    at = np.flatnonzero(~first[1:] & (n[:-1] >= least)) + 1
+    context = words[at - 1]
+    for k in range(2, depth + 1):
+        context = mixed(context, words[at - k])
+    both = n[at] >= least_next
+    return at, context, at[both], mixed(context[both], words[at[both]])
+
+
+def sent(states: DataFrame, depth: int, least: int, least_next: int) -> DataFrame:
+    """block, context, key, n (in training documents), shorter (log10 of the probability in the shorter state): of a
+    context alone the key is the context, and of a context and its next symbol the hash of both."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, packed in zip(batch["block"], batch["state"], strict=True):
+                state = unpack(packed)
+                trained = np.repeat(~state["held"], state["lengths"])
+                at, context, at_next, key = candidates(state, depth, least, least_next)
+                one, back = np.unique(context, return_inverse=True)
+                n = np.bincount(back, trained[at], len(one)).astype(np.int64)
+                yield pd.DataFrame({"block": block, "context": one.view(np.int64), "key": one.view(np.int64), "n": n, "shorter": 0.0})
+                its = context[np.searchsorted(at, at_next)]
+                one, where, back = np.unique(key, return_index=True, return_inverse=True)
+                n = np.bincount(back, trained[at_next], len(one)).astype(np.int64)
+                rows = pd.DataFrame({"block": block, "context": its[where].view(np.int64), "key": one.view(np.int64), "n": n, "shorter": state["log_p"][at_next[where]]})
+                for k in range(0, len(rows), 200_000):
+                    yield rows[k : k + 200_000]
+
+    return states.select("block", "state").mapInPandas(run, "block long, context long, key long, n long, shorter double")
+
+
+def kept_contexts(found: DataFrame, least_next: int, least_bits: float, prior: float) -> DataFrame:
+    """context, key, n, log_p: of the next symbols that reach the bar the counts, and log10 of the probability if the
+    context is kept; of kept contexts alone, log10 of the factor for all other symbols."""
+    counts = materialized(found.groupBy("context", "key").agg(F.sum("n").alias("n"), F.max("shorter").alias("shorter")).where(F.col("n") >= least_next))
+    alone = F.col("key") == F.col("context")
+    totals = counts.where(alone).select("context", F.col("n").alias("total"))
+    p, q = F.col("n") / (F.col("total") + prior), F.pow(F.lit(10.0), "shorter")
+    sums = counts.where(~alone).join(totals, "context").groupBy("context", "total").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log2(p / q)).alias("gain"))
+    rest, rest_q = 1 - F.col("p"), F.greatest(F.lit(1e-9), 1 - F.col("q"))
+    gain = F.col("gain") + rest * F.log2(rest / rest_q)
+    kept = sums.where(F.col("total") * gain >= least_bits).select("context", "total", F.log10(rest / rest_q).alias("escape"))
+    log_p = F.when(alone, F.col("escape")).otherwise(F.log10(p))
+    return counts.join(kept, "context", "left").where(~alone | F.col("total").isNotNull()).select("context", "key", "n", log_p.alias("log_p"))
+
+
+def deeper_states(d: int, last: bool, least: int, least_next: int):  # noqa: ANN201
+    """The function that takes what the corpus keeps of a block's contexts of d words into its state, or its scores."""
+
+    def deeper(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        state = unpack(right["state"].iloc[0])
+        keys = left["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys, log_p, of_n = keys[order], left["log_p"].to_numpy(np.float64)[order], left["n"].to_numpy(np.int64)[order]
+        at, context, at_next, key = candidates(state, d, least, least_next)
+        now, at_n = state["log_p"].copy(), np.zeros(len(state["n"]), np.int64)
+        escape = look_up(keys, log_p, context, np.nan)
+        now[at] += np.nan_to_num(escape)
+        own = look_up(keys, log_p, key, np.nan)
+        now[at_next[~np.isnan(own)]] = own[~np.isnan(own)]
+        at_n[at_next] = look_up(keys, of_n, key, 0)
+        block = right["of_block"].to_numpy()[:1]
+        if not last:
+            return pd.DataFrame({"block": block, "state": [pack(**state | {"n": at_n, "log_p": now})]})
+        scores = np.add.reduceat(now, np.cumsum(state["lengths"]) - state["lengths"])
+        return pd.DataFrame({"block": block[0], "row": np.arange(len(scores)), "score": scores})
+
+    return deeper
+
+
 def score_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1,
-    depth: int = 3, min_share: float = 1e-4, min_joint: float = 1e-6, min_gain: float = 1e-5, prior: float = 2.0,
+    depth: int = 3, min_share: float = 0.0, min_joint: float = 0.0, min_gain: float = 0.0, prior: float = 2.0,
+    min_context: int = 8, min_next: int = 2, min_bits: float = 16.0,
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    min_share, min_joint, min_gain: higher bars for small models, as shares of all training tokens; none by default.
+    """
     key = F.col(doc_id)
     slim = docs.select(key.alias("doc_id"), F.col(text).alias("text"), F.coalesce(crc_mod(key, folds) == held_fold, F.lit(False)).alias("held_out"))
     coded = materialized(encode(slim))
     lists = coded.where(F.col("token").isNotNull()).select("block", "place", "token", "trained")
     counts = materialized(lists.groupBy("token").agg(F.sum("trained").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    tree = docs.sparkSession.sparkContext.broadcast(grow(slim.where(~F.col("held_out")), counts, n, v, depth, min_share, min_joint, min_gain, prior))
-    answers = lists.select("block", "place", "token").join(counts, "token")
+    least, least_next = max(min_context, math.ceil(min_share * n)), max(min_next, math.ceil(min_joint * n))
+    answers = lists.select("block", "place", "token").join(counts, "token").select("block", "place", F.xxhash64("token").alias("hash"), "c")
     texts = coded.where(F.col("places").isNotNull()).select(F.col("block").alias("of_block"), "doc_id", "held_out", "n_tokens", "places")
 
-    def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        c, at = np.zeros(len(left)), left["place"].to_numpy()
-        c[at] = left["c"].to_numpy()
-        symbol = np.empty(len(left), np.int64)
-        symbol[at] = [tree.value.symbols.get(t.encode(), -1) for t in left["token"]]
+    def begun(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        c, hashes, at = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64), left["place"].to_numpy()
+        c[at], hashes[at] = left["c"].to_numpy(), left["hash"].to_numpy()
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        unpack = zstandard.ZstdDecompressor()
+        unpacker = zstandard.ZstdDecompressor()
         lengths = right["n_tokens"].to_numpy(np.int64)
-        places = np.frombuffer(b"".join(map(unpack.decompress, right["places"])), "<u4")
-        starts = np.cumsum(lengths) - lengths
-        age = np.arange(len(places)) - np.repeat(starts, lengths)
-        scores = log_scores(tree.value, symbol[places], age, base[places], depth)
-        total = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame({
-            "doc_id": right["doc_id"].to_numpy(), "held_out": right["held_out"].to_numpy(), "n_tokens": lengths,
-            "n_known": total((c[places] > 0).astype(np.int64)), "train_tokens": n, "base_score": total(base[places]), "score": total(scores),
+        places = np.frombuffer(b"".join(map(unpacker.decompress, right["places"])), "<u4")
+        total = lambda x: np.add.reduceat(x, np.cumsum(lengths) - lengths)
+        out = pd.DataFrame({
+            "block": right["of_block"].to_numpy(), "row": np.arange(len(right)), "doc_id": right["doc_id"].to_numpy(), "held_out": right["held_out"].to_numpy(), "n_tokens": lengths,
+            "n_known": total((c[places] > 0).astype(np.int64)), "train_tokens": n, "base_score": total(base[places]), "state": None,
         })
+        held = right["held_out"].to_numpy(bool)
+        out.loc[0, "state"] = pack(places=places, lengths=lengths, held=held, hashes=hashes.view(np.uint64), n=c[places], log_p=base[places])
+        return out
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(summed, schema)
+    schema = f"block long, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, state binary"
+    began = materialized(answers.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(begun, schema))
+    states = began.where(F.col("state").isNotNull()).select("block", "state")
+    for d in range(1, depth + 1):
+        model = materialized(kept_contexts(sent(states, d, least, least_next), least_next, max(min_bits, min_gain * n), prior))
+        known = sent(states, d, least, least_next).select("block", "context", "key").join(model, ["context", "key"]).select("block", "key", "n", "log_p")
+
+        mine = states.withColumnRenamed("block", "of_block").groupBy("of_block")
+        result = "block long, state binary" if d < depth else "block long, row long, score double"
+        states = known.groupBy("block").cogroup(mine).applyInPandas(deeper_states(d, d == depth, least, least_next), result)
+        if d < depth:
+            states = materialized(states)
+    return began.drop("state").join(states, ["block", "row"]).drop("block", "row")

@@ -123,6 +123,26 @@ def test_lm_states_sum_to_one():
     assert 10**got == pytest.approx(want)
 
 
+def test_lm_contexts_grow_with_the_corpus(spark):
+    """A context seen 12 times, a share far below 1e-4 of the tokens, has a state, and one of two words as well."""
+    rng = random.Random(5)
+    filler = [(i, " ".join(f"w{rng.randint(0, 5000)}" for _ in range(2000))) for i in range(100)]
+    rare = [(1000 + i, "zig zag zog") for i in range(12)] + [(2000 + i, "zag zug") for i in range(200)]
+    train = [(i, t) for i, t in [*filler, *rare] if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 5 == 1)
+    docs = spark.createDataFrame([*train, (held, "zig zag zog")], "doc_id long, text string")
+    r = lm_scoring.score_documents(docs).where(F.col("doc_id") == held).first()
+    texts = [[*t.split(), "\n"] for _, t in train]
+    c = Counter(w for ws in texts for w in ws)
+    c2 = Counter(x for ws in texts for x in zip(ws, ws[1:], strict=False))
+    c3 = Counter(x for ws in texts for x in zip(ws, ws[1:], ws[2:], strict=False))
+    n, v = sum(c.values()), len(c)
+    assert c["zig"] < 1e-4 * n and c2["zig", "zag"] >= 8
+    want = math.log10((c["zig"] + 0.5) / (n + 0.5 * (v + 1))) + math.log10(c2["zig", "zag"] / (c["zig"] + 2))
+    want += math.log10(c3["zig", "zag", "zog"] / (c2["zig", "zag"] + 2))
+    assert r["score"] == pytest.approx(want + math.log10(c2["zog", "\n"] / (c["zog"] + 2)), abs=1e-6)
+
+
 def test_quality_rules(spark):
     clean = [(i, " ".join(RNG.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"]) + str(RNG.randint(0, 999)) for _ in range(RNG.randint(60, 200)))) for i in range(150)]
     bad = [(500, " ".join(f"a{k}%%%" for k in range(100))), (501, "word " * 80), (502, "few words"), (503, None), (504, "")]
