@@ -1,25 +1,31 @@
 """HTML extraction by equivalence-class template deduction.
 
 A page is a list of tokens: each start or end tag with its tag path, and each text block with the path and its words.
-Over the pages of one host, tokens with the same occurrence vector (how often each page has the token) form a class; a
-class whose tokens stand in the same order in every page, and whose occurrences don't interleave, is valid. Valid
-classes are nested by position into a template; what lies between neighbouring template tokens is a slot. A text block
-that is itself a template token, or whose slot lies in a boilerplate element, is not main text. The remaining slots
-hold the page's own text, and the slots inside the main element, if any page part is one, are the article.
+Over the pages of one host, tokens with the same occurrence vector (how often each page has the token) form a class if
+at least half of the pages, and at least `least` different ones, have them: a few copies of a page are no template. The
+tokens of a valid class stand in the same order in every page and don't interleave from occurrence to occurrence; a
+token that breaks the order leaves the class, and a class that interleaves is rejected. Classes are nested by position,
+the most common first: each occurrence of a class must lie in one slot of another, the same in all pages, or the class is
+rejected. What lies between neighbouring tokens of a class is a slot.
+
+A text block that is itself a template token is not main text, wherever it stands. Elements choose among the slots'
+text: none is taken from a boilerplate element; if a page has a main element, only what is in it; if it has none, what
+lies in the slots that hold the main element's text in most pages that have one, and else all.
 
 Pages of a host are dealt by a hash into blocks of about `block_pages`, each deducing its template by itself, so a host
-can have any number of pages. Single pages have no occurrence vectors to compare; their slots are judged by elements
-alone.
+can have any number of pages. A block of too few pages is one slot, judged by elements alone.
 
 Edge cases: null html is empty and gives an empty text; pages without tags are one block; null or broken urls are one
-host; repeated rows are extracted each, and count as one page in occurrence vectors; unclosed elements end with their
+host; repeated rows are extracted each, and count as one page in occurrence vectors; blocks of fewer than
+`least` different pages have no template, and elements alone judge them; unclosed elements end with their
 parent; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -113,42 +119,84 @@ class Page(HTMLParser):
         self.parts.append(data)
 
 
-def template(pages: list[Page]) -> set[str]:
-    """The keys of the tokens in valid equivalence classes of the pages."""
-    if len(pages) < 2:
-        return set()
-    vectors: dict[str, dict[int, int]] = defaultdict(dict)
+def in_order(order: list[str], seen: list[str]) -> list[str]:
+    """The longest part of order that stands in this order in seen, which has the same tokens."""
+    place = {key: k for k, key in enumerate(seen)}
+    ends: list[int] = []  # of the best part of each length, the place of its last token
+    last: list[str] = []
+    before: dict[str, str | None] = {}
+    for key in order:
+        k = bisect_left(ends, place[key])
+        before[key] = last[k - 1] if k else None
+        ends[k : k + 1], last[k : k + 1] = [place[key]], [key]
+    out, at = [], last[-1] if last else None
+    while at is not None:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
+
+
+def template(pages: list[Page], least: int) -> tuple[set[str], list[list[tuple]]]:
+    """The keys of the tokens in the template, and of each page the slot of each token: class, gap and occurrence."""
+    slots: list[list[tuple]] = [[()] * len(page.tokens) for page in pages]
+    found: set[str] = set()
+    if len(pages) < least:
+        return found, slots
+    places: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for i, page in enumerate(pages):
-        for key, n in Counter(key for key, _ in page.tokens).items():
-            vectors[key][i] = n
+        for at, (key, _) in enumerate(page.tokens):
+            places[key][i].append(at)
     classes: dict[tuple, list[str]] = defaultdict(list)
-    for key, at in vectors.items():
-        if len(at) >= max(2, 0.5 * len(pages)):  # seen in enough pages to be the host's, not a page's
-            classes[tuple(sorted(at.items()))].append(key)
-    found: set[str] = set()
-    for vector, keys in classes.items():
-        members, orders = set(keys), set()
+    for key, at in places.items():
+        if len(at) >= max(least, 0.5 * len(pages)):  # seen in enough pages to be the host's, not a page's
+            classes[tuple((i, len(x)) for i, x in sorted(at.items()))].append(key)
+    for vector, keys in sorted(classes.items(), key=lambda c: (-len(c[0]), sum(n for _, n in c[0]), -len(c[1]), c[1][0])):
+        order: list[str] | None = None
         for i, n in vector:
-            seen = [key for key, _ in pages[i].tokens if key in members]
-            # A valid class repeats its tokens in one order, occurrence by occurrence.
-            rounds = {tuple(seen[k * len(keys) : (k + 1) * len(keys)]) for k in range(n)}
-            orders |= rounds
-        if len(orders) == 1:
-            found |= members
-        else:  # tokens of one vector that interleave: each alone is still a class
-            found |= {key for key in keys if "#" not in key} | {key for key in keys if "#" in key and all(n == 1 for _, n in vector)}
-    return found
-
-
-def main_text(page: Page, known: set[str]) -> str:
-    """The slots of the template that hold the article."""
-    slots = [(text, main) for key, block in page.tokens if block is not None for text, dropped, main in [page.blocks[block]] if not dropped and (main or key not in known)]
-    if any(main for _, main in slots):
-        slots = [x for x in slots if x[1]]
-    return "\n\n".join(text for text, _ in slots)
-
-
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", block_pages: int = 64) -> DataFrame:
+            for k in range(n):
+                seen = sorted(keys if order is None else order, key=lambda key: places[key][i][k])  # noqa: B023
+                order = seen if order is None else in_order(order, seen)
+        rounds = [(i, k, [places[key][i][k] for key in order]) for i, n in vector for k in range(n)]
+        interleaved = any(a[0] == b[0] and a[2][-1] > b[2][0] for a, b in zip(rounds, rounds[1:], strict=False))
+        within = [{slots[i][at] for at in held} for i, _, held in rounds]
+        if interleaved or any(len(x) > 1 for x in within) or len({next(iter(x))[:2] for x in within}) > 1:
+            continue
+        found.update(order)
+        for i, k, held in rounds:
+            outer = slots[i][held[0]]
+            for gap, (start, end) in enumerate(zip(held, held[1:], strict=False)):
+                for at in range(start + 1, end):
+                    if slots[i][at] == outer:
+                        slots[i][at] = (order[0], gap, k)
+    return found, slots
+
+
+def main_texts(pages: list[Page], known: set[str], slots: list[list[tuple]]) -> list[str]:
+    """Of each page the text in the slots of the template that hold the article."""
+    kept = []
+    votes: dict[tuple, set[int]] = defaultdict(set)
+    for i, (page, labels) in enumerate(zip(pages, slots, strict=True)):
+        kept.append([])
+        for (key, block), label in zip(page.tokens, labels, strict=True):
+            if block is not None and key not in known and not page.blocks[block][1]:
+                text, _, main = page.blocks[block]
+                kept[i].append((text, main, label[:2]))
+                if main:
+                    votes[label[:2]].add(i)
+    # Whether a page has a main element counts, not whether it has text of its own there.
+    has_main = [any(main and not dropped for _, dropped, main in page.blocks) for page in pages]
+    chosen = {label for label, of in votes.items() if label and 2 * len(of) > sum(has_main)}
+    out = []
+    for mine, main_here in zip(kept, has_main, strict=True):
+        if main_here:
+            mine = [x for x in mine if x[1]]
+        elif any(x[2] in chosen for x in mine):
+            mine = [x for x in mine if x[2] in chosen]
+        out.append("\n\n".join(text for text, *_ in mine))
+    return out
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", block_pages: int = 64, least: int = 6) -> DataFrame:
     """page_id, url, text, n_chars and template_tokens (how many of the page's tokens the template has)."""
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
@@ -162,12 +210,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, block in group.groupby(["host", "block"]):
-            parsed = [Page(h) for h in block["html"]]
-            known = template(list({h: p for h, p in zip(block["html"], parsed, strict=True)}.values()))
-            texts = [main_text(p, known) for p in parsed]
+            each = list(dict.fromkeys(block["html"]))
+            parsed = [Page(h) for h in each]
+            known, slots = template(parsed, least)
+            texts = dict(zip(each, main_texts(parsed, known, slots), strict=True))
+            counts = {h: sum(key in known for key, _ in p.tokens) for h, p in zip(each, parsed, strict=True)}
+            texts, counts = [texts[h] for h in block["html"]], [counts[h] for h in block["html"]]
             out.append(pd.DataFrame({
                 "page_id": block["page_id"], "url": block["url"], "text": texts, "n_chars": [len(t) for t in texts],
-                "template_tokens": [sum(key in known for key, _ in p.tokens) for p in parsed],
+                "template_tokens": counts,
             }))
         return pd.concat(out)
 

@@ -181,3 +181,20 @@ def test_html_template_without_article(spark):
     rows = [(k, "https://a.org/x", f"<body><div><p>About this site</p></div><div><p>Own words {k * 7}</p></div></body>") for k in range(6)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in got} == {k: f"Own words {k * 7}" for k in range(6)}
+
+
+def test_html_template_decides_in_articles_too(spark):
+    """A notice in every article of a host goes; what stands in two pages, or in changing order, is no template."""
+    def page(k):
+        ends = ["<p>Left</p>", "<p>Right</p>"]
+        return f"<body><article><h1>Title {k}</h1><p>Read all our stories today</p><p>Own {k * 7}</p>{''.join(ends[:: 1 if k % 2 else -1])}</article></body>"
+
+    rows = [(k, "https://a.org/x", page(k)) for k in range(8)]
+    rows += [(20 + k, "https://b.org/x", f"<body><p>Same words</p><p>Own {k}</p></body>") for k in range(2)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k][:2] == [f"Title {k}", f"Own {k * 7}"] and len(set(got[k][2:]) & {"Left", "Right"}) == 1
+    assert got[20] == ["Same words", "Own 0"] and got[21] == ["Same words", "Own 1"]
+    pages = [html_extract.Page(h) for _, u, h in rows if u.startswith("https://a")]
+    known, slots = html_extract.template(pages, 6)
+    assert any("Read all our stories" in key for key in known) and len({x[:2] for x in slots[0]}) > 2
