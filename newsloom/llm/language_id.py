@@ -1,7 +1,9 @@
 """Language ID by compression: a text belongs to the language whose zstandard raw-content dictionary packs it smallest.
 
 The dictionaries are fitted on a bounded sample: about `sample_rows` texts of each language, chosen by a hash of the id,
-`slice_chars` characters from the middle of each, and at most `dictionary_bytes` in all. Prediction reads whole texts.
+`slice_chars` characters from the middle of each, and at most `dictionary_bytes` in all. Prediction reads whole texts, in pieces of
+`piece_bytes` that are packed each by itself and whose sizes are summed: a dictionary saves a bounded number of bytes of
+what is packed with it, so over a whole text the margin would fall with the length.
 
 Edge cases: null texts and texts without a letter are `und` with score 0 and are rejected; rows with a null language are
 not learned from but are predicted; equal sizes go to the first language by name, with score 0; with a single learned
@@ -50,7 +52,7 @@ def fit(
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", min_margin: float = 0.01, level: int = 9, keep: bool = False) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", min_margin: float = 0.01, level: int = 9, keep: bool = False, piece_bytes: int = 8192) -> DataFrame:
     """doc_id, lang_pred, score (the share by which the second smallest size exceeds the smallest) and rejected.
 
     keep: with all columns of docs; theirs of the same names go.
@@ -70,7 +72,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
                 if not body or not packers:
                     rows.append(("und", 0.0, True))
                     continue
-                sizes = sorted((len(p.compress(body)), name) for name, p in packers)
+                pieces = [body[k : k + piece_bytes] for k in range(0, len(body), piece_bytes)]
+                sizes = sorted((sum(len(p.compress(x)) for x in pieces), name) for name, p in packers)
                 score = 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
                 rows.append((sizes[0][1], score, score < min_margin))
             yield batch[others].assign(**dict(zip(made, zip(*rows, strict=True), strict=True)) if rows else {k: [] for k in made})

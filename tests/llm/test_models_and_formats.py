@@ -198,3 +198,15 @@ def test_html_template_decides_in_articles_too(spark):
     pages = [html_extract.Page(h) for _, u, h in rows if u.startswith("https://a")]
     known, slots = html_extract.template(pages, 6)
     assert any("Read all our stories" in key for key in known) and len({x[:2] for x in slots[0]}) > 2
+
+
+def test_language_margin_keeps_in_long_texts(spark, docs):
+    """A clean text of several MB is told with about the margin of a short one."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(STEMS["bb"]) for _ in range(rng.randint(1, 3)))
+    short = " ".join(word() for _ in range(1500))
+    long = " ".join(word() for _ in range(450_000))
+    assert len(long) > 3_000_000
+    rows = spark.createDataFrame([(1, short), (2, long)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.predict(rows, language_id.fit(docs)).collect()}
+    assert got[2]["lang_pred"] == "bb" and not got[2]["rejected"] and got[2]["score"] > 0.7 * got[1]["score"] > 0.01
