@@ -10,7 +10,8 @@ fixed logarithmic grid, so what crosses the network are counts and sums per grou
 share of all rows.
 
 Edge cases: null texts have no words and fail the base rule; groups with fewer than `min_group` documents that pass the
-base rules have no estimate and keep them all; null languages and sources are groups of their own; repeated rows each
+base rules are judged by an estimate of all documents of their language, and if those are too few, of all documents, so
+every document that passes the base rules has a distance; null languages and sources are groups of their own; repeated rows each
 count and get the same verdict; `floors` are the least standard deviations, so statistics that are constant in most
 documents don't make the estimate singular; an empty table gives an empty result; other columns are ignored.
 """
@@ -180,7 +181,7 @@ def quality_rules(
     h: float = 0.75,
     steps: int = 4,
 ) -> DataFrame:
-    """doc_id, the base statistics, base_failed, distance (null: no estimate) and kept.
+    """doc_id, the base statistics, base_failed, distance (null: base_failed) and kept.
 
     limit: the largest squared distance kept. For four statistics the chi-square quantile of 0.9999 is 23.5; the
     default leaves room for the heavy tails of clean text.
@@ -190,11 +191,24 @@ def quality_rules(
     keys = [f"g{i}" for i in range(len(group))]
     base = materialized(base.select("doc_id", *keys, *stats))
     vectors = base.where(~F.col("base_failed")).withColumns({k: f() for k, (f, _) in VECTOR.items()})
-    large = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= min_group)
-    scored = mcd_distances(vectors.join(large.drop("members"), keys, "left_semi"), keys, list(VECTOR), [f for _, f in VECTOR.values()], h, steps)
-    scored = scored.select("doc_id", *keys, *stats, F.col("d2").alias("distance"))
-    rest = base.join(large, keys, "left").where(F.col("base_failed") | F.col("members").isNull()).select(
-        "doc_id", *keys, *stats, F.lit(None).cast("double").alias("distance")
-    )
-    out = scored.unionByName(rest)
+    # The level of a group: by how many of its keys the smallest large enough group is made that holds it.
+    groups = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n{len(keys)}"))
+    level = F.lit(0)
+    for k in range(1, len(keys) + 1):
+        if k < len(keys):
+            groups = groups.join(groups.groupBy(*keys[:k]).agg(F.sum(f"n{len(keys)}").alias(f"n{k}")), keys[:k])
+        level = F.when(F.col(f"n{k}") >= min_group, F.lit(k)).otherwise(level)
+    groups = materialized(groups.select(*keys, level.alias("level")))
+    vectors = vectors.join(groups, keys)
+    # Each level's estimate is of all documents of a group that judges some, and tells the distances of those alone.
+    own = [f"e{i}" for i in range(len(keys))]
+    parts = []
+    for k in range(len(keys) + 1):
+        wanted = groups.where(F.col("level") == k).select(F.col("level").alias("at"), *keys[:k]).distinct()
+        rows = vectors.join(wanted, keys[:k]) if k else vectors.crossJoin(wanted)
+        parts.append(rows.withColumns({own[i]: F.col(keys[i]) if i < k else F.lit("") for i in range(len(keys))}))
+    rows = reduce(DataFrame.unionByName, parts)
+    scored = mcd_distances(rows, ["at", *own], list(VECTOR), [f for _, f in VECTOR.values()], h, steps).where(F.col("at") == F.col("level"))
+    failed = base.where("base_failed").select("doc_id", *stats, F.lit(None).cast("double").alias("distance"))
+    out = scored.select("doc_id", *stats, F.col("d2").alias("distance")).unionByName(failed)
     return out.select("doc_id", *stats, "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)).alias("kept"))

@@ -210,3 +210,15 @@ def test_language_margin_keeps_in_long_texts(spark, docs):
     rows = spark.createDataFrame([(1, short), (2, long)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in language_id.predict(rows, language_id.fit(docs)).collect()}
     assert got[2]["lang_pred"] == "bb" and not got[2]["rejected"] and got[2]["score"] > 0.7 * got[1]["score"] > 0.01
+
+
+def test_quality_of_small_groups(spark):
+    """Groups too small for an estimate are judged by their language, and small languages by all documents."""
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "zeta"]) + str(rng.randint(0, 999)) for _ in range(rng.randint(60, 150)))
+    junk = " ".join(f"a{k}%%%" for k in range(100))
+    rows = [(i, text(), "en", f"s{i % 20}") for i in range(120)] + [(200 + i, text(), "fi", "x") for i in range(5)]
+    rows += [(500, junk, "en", "s3"), (501, junk, "fi", "x"), (502, junk, "xx", None), (503, "few", "en", "s3")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all((r["distance"] is None) == r["base_failed"] for r in got.values())
+    assert all(got[i]["kept"] == (i < 500) for i in got)
