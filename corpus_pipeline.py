@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.pack(packing.pieces_of(docs))
+    return packing.pack(packing.pieces_of(docs, added_tokens=True))
 
 
 STAGES = [

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import materialized
 
 SPACE_RUN = re.compile(r" \s")
+#: The only added token of byte_bpe_50k.json, and its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 
 
 class PartIds(dict):
@@ -52,6 +54,10 @@ class PartIds(dict):
             self[part] = found
         return found
 
+    def with_added(self, text: str) -> bytes:
+        """The ids of a text in which the added token has its own id, as the tokenizer gives them."""
+        return np.array([ADDED_ID], "<u4").tobytes().join(self.text(x) if x else b"" for x in text.split(ADDED))
+
     def text(self, text: str) -> bytes:
         """The ids of a text. The tokenizer's pattern lets no token cross a space that isn't beside other white space."""
         if SPACE_RUN.search(text):
@@ -66,18 +72,22 @@ def part_ids(path: str) -> PartIds:
     return PartIds(path)
 
 
-def pieces_of(docs: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and ids (little-endian, binary) if asked for."""
+def pieces_of(docs: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, tokenizer: str | None = None, keep_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and ids (little-endian, binary) if asked for.
+
+    added_tokens: the string of the tokenizer's added token is that token, else ordinary text.
+    """
     path = tokenizer or str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = part_ids(path)
+        encode = known.with_added if added_tokens else known.text
         for batch in batches:
             rows = []
             for key, value in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (known.text(value) if isinstance(value, str) else b"") + end
+                ids = (encode(value) if isinstance(value, str) else b"") + end
                 n, at, k = len(ids) // 4, 0, 0
                 length = n % capacity or capacity
                 while at < n:

@@ -36,7 +36,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces_of(table(spark, sf_dir, "documents")))
+    return packing.pack(packing.pieces_of(table(spark, sf_dir, "documents"), added_tokens=True))
 
 
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

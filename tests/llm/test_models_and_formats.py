@@ -222,3 +222,11 @@ def test_quality_of_small_groups(spark):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert len(got) == len(rows) and all((r["distance"] is None) == r["base_failed"] for r in got.values())
     assert all(got[i]["kept"] == (i < 500) for i in got)
+
+
+def test_packing_gives_the_added_token_its_id(spark):
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n  y  <|endoftext|>", "<|endoftext", "a  b <|endoftext|>  c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pieces_of(rows, keep_ids=True, added_tokens=True).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*t.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
