@@ -18,10 +18,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    classes = jaccard_join.jaccard_join(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each class of near-duplicates the document with the smallest id stays, null ids last. Rows are told apart by
+    numbers of their own, so shared and null ids don't decide what is a near-duplicate."""
+    rows = materialized(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    classes = jaccard_join.jaccard_join(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "class_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    stay = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(F.min(place)["row"].alias("_row"))
+    return rows.join(stay.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,12 @@ def test_stages_take_effect(spark, kept):
                 seen |= mine
     _, before, packed = kept[-1]
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(before)
+
+
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    """Different texts with null ids or one id all stay, and a copy with a null id goes."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (7, text(5)), (None, text(5)), (8, text(6)), (9, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == {(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (7, text(5)), (8, text(6))}
