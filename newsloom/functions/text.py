@@ -116,9 +116,10 @@ def title_similarity(a: Column, b: Column, collapsed: bool = False) -> Column:
 
 def distinct_ignoring_case(values: Column) -> Column:
     """The trimmed, non-empty strings of an array; of those equal but for case the first stays."""
-    first = lambda pair: F.filter(pair["clean"], lambda x, i: F.array_position(pair["lows"], F.lower(x)) == i + 1)
-    both = lambda clean: let(F.struct(clean.alias("clean"), F.transform(clean, F.lower).alias("lows")), first)
-    return let(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""), both)
+    clean = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
+    ranked = F.sort_array(F.transform(clean, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    firsts = let(ranked, lambda r: F.filter(r, lambda x, k: (k == 0) | (F.get(r, k - 1)["low"] != x["low"])))
+    return F.transform(F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"], x["x"]))), lambda x: x["x"])
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

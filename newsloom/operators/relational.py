@@ -64,7 +64,7 @@ def phrase_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: st
     """Pairs of texts and terms that stand in them between word boundaries, by an equi-join of word n-grams.
 
     Both are normalised. Each text is exploded once into its n-grams of the lengths that terms have (up to most_words);
-    no pair is looked at that doesn't share one.
+    no pair is looked at that doesn't share one. Longer terms are joined by their first most_words words and then verified.
     """
     t = terms.withColumn("_term", normalize(F.col(term))).where("_term <> ''").withColumn("_words", F.size(tokens(F.col("_term"))))
     words = tokens(normalize(F.col(text)))
@@ -74,11 +74,23 @@ def phrase_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: st
             lambda n: F.when(F.size("_list") >= n, F.transform(F.sequence(F.lit(0), F.size("_list") - n), lambda i: F.array_join(F.slice("_list", i + 1, n), " "))).otherwise(F.array().cast("array<string>")),
         )
     )
-    x = texts.withColumn("_list", words).withColumn("_gram", F.explode(F.array_distinct(grams))).drop("_list")
+    listed = texts.withColumn("_list", words)
+    x = listed.withColumn("_gram", F.explode(F.array_distinct(grams))).drop("_list")
     short = x.join(t.where(F.col("_words") <= most_words), [F.col("_gram") == F.col("_term"), *[x[c] == t[c] for c in on]])
     for c in on:
         short = short.drop(t[c])
-    return short.drop("_gram", "_term", "_words")
+    short = short.drop("_gram", "_term", "_words")
+    more = t.where(F.col("_words") > most_words).withColumn("_first", F.array_join(F.slice(tokens(F.col("_term")), 1, most_words), " "))
+    if more.isEmpty():
+        return short
+    firsts = F.transform(F.sequence(F.lit(0), F.size("_list") - most_words), lambda i: F.array_join(F.slice("_list", i + 1, most_words), " "))
+    y = listed.where(F.size("_list") > most_words).withColumn("_gram", F.explode(F.array_distinct(firsts)))
+    found = y.join(more, [F.col("_gram") == F.col("_first"), *[y[c] == more[c] for c in on]])
+    for c in on:
+        found = found.drop(more[c])
+    padded = F.concat(F.lit(" "), F.array_join("_list", " "), F.lit(" "))
+    found = found.where(F.contains(padded, F.concat(F.lit(" "), F.col("_term"), F.lit(" "))))
+    return short.unionByName(found.drop("_list", "_gram", "_first", "_term", "_words"))
 
 
 def longest_per(rows: DataFrame, keys: Sequence[str], term: str) -> DataFrame:

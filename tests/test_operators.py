@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions import text
 from newsloom.operators import dedupe, graph, rank, relational
 
 T0 = dt.datetime(2026, 9, 21, 12)
@@ -88,3 +89,18 @@ def test_relational(spark):
     assert [r["id"] for r in found.collect()] == [1]
     log = spark.createDataFrame([("d", T0 + dt.timedelta(seconds=s)) for s in (0, 100, 700)], "device string, at timestamp")
     assert [r["n"] for r in relational.trailing_counts(log, "device", "at", {"n": 600}).orderBy("at").collect()] == [1, 2, 2]
+
+
+def test_phrase_join_finds_terms_of_any_length(spark):
+    long = "one two three four five six seven eight"
+    texts = spark.createDataFrame([(1, f"Now {long}, and {long}"), (2, "one two three four five six seven"), (3, "one two three four five six sevenfold eight")], "id int, text string")
+    terms = spark.createDataFrame([(long,), ("six seven",)], "term string")
+    got = sorted((r["id"], r["term"]) for r in relational.phrase_join(texts, terms, most_words=3).collect())
+    assert got == [(1, long), (1, "six seven"), (2, "six seven")]
+
+
+def test_distinct_ignoring_case_keeps_first_of_many(spark):
+    """The work doesn't grow with the square of the list: 300,000 different words are one row."""
+    words = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(599_999)), lambda i: F.concat(F.when(i % 2 == 0, F.lit("W")).otherwise(F.lit("w")), (i % 300_000).cast("string"))).alias("w"))
+    got = words.select(text.distinct_ignoring_case(F.col("w")).alias("d")).first()["d"]
+    assert got == [("W" if i % 2 == 0 else "w") + str(i) for i in range(300_000)]
