@@ -183,14 +183,23 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack(**arrays: np.ndarray) -> bytes:
+def pack(state: dict[str, np.ndarray]) -> bytes:
+    """The arrays of a block. `n` and `log_p` go as distinct values, of which `values` has the place of each."""
+    if "values" not in state:
+        log_p, values = np.unique(state["log_p"], return_inverse=True)
+        state = state | {"log_p": log_p, "values": values.astype("<u4"), "n": state["n"].astype("<u4")}
     out = io.BytesIO()
-    np.savez(out, **arrays)
+    np.savez(out, **state)
     return zstandard.ZstdCompressor(level=1).compress(out.getbuffer())
 
 
 def unpack(state: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(state))))
+    out = dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(state))))
+    values = out.pop("values")
+    if not len(values):  # before any depth: one for each word
+        out["n"], values = out["n"][out["places"]], out["places"]
+    out["log_p"] = out["log_p"][values]
+    return out
 
 
 def candidates(state: dict[str, np.ndarray], depth: int, least: int, least_next: int) -> tuple[np.ndarray, ...]:
@@ -262,7 +271,7 @@ def deeper_states(d: int, last: bool, least: int, least_next: int):  # noqa: ANN
         at_n[at_next] = look_up(keys, of_n, key, 0)
         block = right["of_block"].to_numpy()[:1]
         if not last:
-            return pd.DataFrame({"block": block, "state": [pack(**state | {"n": at_n, "log_p": now})]})
+            return pd.DataFrame({"block": block, "state": [pack(state | {"n": at_n, "log_p": now})]})
         scores = np.add.reduceat(now, np.cumsum(state["lengths"]) - state["lengths"])
         return pd.DataFrame({"block": block[0], "row": np.arange(len(scores)), "score": scores})
 
@@ -301,12 +310,13 @@ def score_documents(
             "n_known": total((c[places] > 0).astype(np.int64)), "train_tokens": n, "base_score": total(base[places]), "state": None,
         })
         held = right["held_out"].to_numpy(bool)
-        out.loc[0, "state"] = pack(places=places, lengths=lengths, held=held, hashes=hashes.view(np.uint64), n=c[places], log_p=base[places])
+        out.loc[0, "state"] = pack({"places": places, "lengths": lengths, "held": held, "hashes": hashes.view(np.uint64), "n": c, "log_p": base, "values": np.zeros(0, "<u4")})
         return out
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"block long, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, state binary"
     began = materialized(answers.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(begun, schema))
+    docs.sparkSession.sparkContext._jvm.System.gc()
     states = began.where(F.col("state").isNotNull()).select("block", "state")
     for d in range(1, depth + 1):
         model = materialized(kept_contexts(sent(states, d, least, least_next), least_next, max(min_bits, min_gain * n), prior))
@@ -317,4 +327,5 @@ def score_documents(
         states = known.groupBy("block").cogroup(mine).applyInPandas(deeper_states(d, d == depth, least, least_next), result)
         if d < depth:
             states = materialized(states)
+        docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles of what is written
     return began.drop("state").join(states, ["block", "row"]).drop("block", "row")
