@@ -120,6 +120,12 @@ def source_authority(profiles: bool) -> Column:
     return F.when(F.col("profile_authority").isNull(), guessed).otherwise(round_half_up(F.col("profile_authority") * 10) + bonus - low)
 
 
+def evaluated(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with these columns, worked out once a row in a step of its own. The optimizer neither repeats their
+    expressions in those that use them nor infers anything from them, so plans stay as long as they are written."""
+    return rows.drop(*columns).select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def score_articles(articles: DataFrame, now: Column, favorites: list[dict] | None = None, geo: bool = False, profiles: bool = False) -> DataFrame:
     """articles with the components, core_identity, core_strength and score."""
     favorites = favorites or []
@@ -127,15 +133,16 @@ def score_articles(articles: DataFrame, now: Column, favorites: list[dict] | Non
     hours = age_hours(now)
     category, football, hockey = F.col("editorial.category"), F.col("sport") == "football", F.col("sport") == "hockey"
     allowed = F.coalesce(F.col("editorial.breaking") | (F.col("editorial.status") == "confirmed"), F.lit(False))
-    out = articles.withColumns({"title_tags": title_tags, "source_text": normalize_keep(F.col("source")), "all_text": article_text()})
+    out = evaluated(articles, {"title_tags": title_tags, "source_text": normalize_keep(F.col("source")), "all_text": article_text(), "hard_news": allowed, "age_hours": hours})
+    hours = F.col("age_hours")
     big = [
         (category == "management", BIG_NEWS["management"]),
         (category.isin(TRANSFER_CATEGORIES), BIG_NEWS["transfer"]),
         (category == "match-event", BIG_NEWS["match"]),
         (F.col("editorial.breaking") | category.isin(LIVE_CATEGORIES), BIG_NEWS["live"]),
     ]
-    out = out.withColumn("hard_news", allowed)
-    out = out.withColumns({
+    allowed = F.col("hard_news")
+    out = evaluated(out, {
         "recency": steps(hours, RECENCY_HOURS, up_to=True),
         "urgency": steps(F.when(allowed, 12).otherwise(0), URGENCY_STEPS),
         "swedish_player": hit_sum(lambda h: F.when(h["is_swedish"] & (h["type"] == "player"), 8)),
@@ -151,14 +158,14 @@ def score_articles(articles: DataFrame, now: Column, favorites: list[dict] | Non
         "daily_feature": F.when(hockey & any_word(normalize_keep(F.col("title")), ["today in hockey history"]) & any_word(F.col("source_text"), ["the hockey writers"]), 24).otherwise(0),
     })
     strong = ["swedish_player", "swedish_abroad", "swedish_league", "core_identity", "favorite_affinity", "local_geo", "big_news", "intensity"]
-    out = out.withColumn("core_strength", reduce(lambda a, b: a + b, [F.col(c) for c in strong]))
+    out = evaluated(out, {"core_strength": reduce(lambda a, b: a + b, [F.col(c) for c in strong])})
     swedish_hit = hit_exists(lambda h: h["is_swedish"] | h["is_abroad_core"])
     swedish = F.when(football, swedish_hit | hit_exists(lambda h: (h["type"] == "league") & any_word(h["name"], ["allsvenskan", "superettan"])) | any_word(F.col("all_text"), ["allsvenskan", "superettan", "svensk", "svenska", "sverige"])).otherwise(
         swedish_hit | hit_exists(lambda h: (h["type"] == "league") & any_word(h["name"], ["shl", "hockeyallsvenskan", "tre kronor"])) | any_word(F.col("all_text"), ["svensk", "svenska", "sverige", "tre kronor", "shl", "hockeyallsvenskan"])
     )
     nhl = hockey & (F.col("daily_feature") == 0) & (any_word(F.col("all_text"), NHL_TERMS) | hit_exists(lambda h: (h["type"] == "league") & any_word(h["name"], ["nhl"])))
     boosted = (F.col("favorite_affinity") > 0) | (F.col("local_geo") > 0) | (F.col("big_news") > 0)
-    out = out.withColumns({"swedish_context": swedish, "nhl": nhl, "boosted": boosted})
+    out = evaluated(out, {"swedish_context": swedish, "nhl": nhl, "boosted": boosted})
     strength = F.col("core_strength")
     level = lambda high, mid, low: steps(strength, [(28, high), (16, mid)], low)
     multiplier = (
@@ -174,7 +181,7 @@ def score_articles(articles: DataFrame, now: Column, favorites: list[dict] | Non
     exempt = any_word(F.col("title_tags"), ["today in hockey history"])
     evergreen = reduce(lambda a, b: a + b, [F.when(any_word(F.col("title_tags"), words), weight).otherwise(0) for weight, words in EVERGREEN.items()])
     stale = F.when(F.col("big_news") > 0, steps(hours, [(48, 8), (24, 4)])).otherwise(steps(hours, [(72, 8), (36, 4)]))
-    out = out.withColumn("source_multiplier", multiplier).withColumns({
+    out = evaluated(evaluated(out, {"source_multiplier": multiplier}), {
         "source_authority": round_half_up(source_authority(profiles) * F.col("source_multiplier")),
         "source_league_fit": round_half_up(fit * F.col("source_multiplier")),
         "source_country_fit": round_half_up(F.when(any_word(F.col("title_tags"), COUNTRY_TERMS), 4).otherwise(0) * F.col("source_multiplier")),
@@ -189,6 +196,6 @@ def score_articles(articles: DataFrame, now: Column, favorites: list[dict] | Non
     bounded = F.when(domestic & ~abroad, F.least(F.col("core_identity"), F.lit(12))).otherwise(F.col("core_identity"))
     plus = ["recency", "urgency", "swedish_player", "swedish_abroad", "swedish_league", "favorite_affinity", "local_geo", "source_authority", "source_league_fit", "source_country_fit", "big_news", "intensity", "priority_score", "core_contribution", "daily_feature"]
     minus = ["evergreen_penalty", "staleness_penalty", "duplicate_penalty", "foreign_football_penalty", "nhl_penalty"]
-    out = out.withColumn("core_contribution", bounded)
+    out = evaluated(out, {"core_contribution": bounded})
     total = reduce(lambda a, b: a + b, [F.col(c) for c in plus]) - reduce(lambda a, b: a + b, [F.col(c) for c in minus])
-    return out.withColumn("score", total.cast("double")).drop("title_tags", "source_text", "all_text")
+    return evaluated(out, {"score": total.cast("double")}).drop("title_tags", "source_text", "all_text", "age_hours")

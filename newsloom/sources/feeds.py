@@ -19,7 +19,7 @@ from newsloom.operators.relational import first_of
 
 # Named character references of feeds.
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": " "}
-DATE_FORMATS = ["EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+DATE_FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
 
 
 @F.pandas_udf(T.StringType())
@@ -44,8 +44,9 @@ def tag(block: Column, *names: str) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """The first format that fits; null otherwise."""
-    value = F.regexp_replace(F.trim(c), r"\b(GMT|UTC|UT)$", "+0000")
+    """The first format that fits; null otherwise. The day of the week isn't looked at."""
+    value = F.regexp_replace(F.regexp_replace(F.trim(c), r"^[A-Za-z]{3,9}\.?,?\s+(?=\d)", ""), r"\b(GMT|UTC|UT|Z)$", "+0000")
+    value = F.when(F.contains(value, F.lit("T")), F.regexp_replace(value, r"([+-]\d\d):?(\d\d)$", "$1:$2")).otherwise(value)
     return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS])
 
 
@@ -75,7 +76,7 @@ def feed_items(documents: DataFrame, feed: str = "feed", content: str = "content
     summary = F.array_distinct(F.filter(F.array(*[clean(tag(b, n), numeric) for n in ("description", "summary", "content:encoded", "content", "media:description")]), lambda s: s != ""))
     out = rows.select(
         "feed", "ordinal", clean(tag(b, "title"), numeric).alias("title"), clean(link, False).alias("url"), F.coalesce(*dates).alias("published_at"),
-        F.nullif(clean(tag(b, "source", "dc:creator", "author"), numeric), F.lit("")).alias("source"), F.nullif(F.array_join(summary, " "), F.lit("")).alias("summary"),
+        F.nullif(clean(F.coalesce(tag(b, "source"), tag(tag(b, "author"), "name")), numeric), F.lit("")).alias("source"), F.nullif(F.array_join(summary, " "), F.lit("")).alias("summary"),
         distinct_ignoring_case(F.transform(raw, lambda x: clean(x, False))).alias("tags"),
     )
     return out.where(F.col("title") != "")
