@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: The most bytes of dictionaries that are sent to the tasks: those of about 600 languages of full size.
+MOST_BYTES = 1 << 26
 
 
 def normalized(text: str) -> str:
@@ -49,7 +51,10 @@ def fit(
     for k in sorted(counts):
         chosen = sorted((r["h"], r["text"]) for r in found if r["lang"] == k)[:sample_rows]
         out[k] = " ".join(normalized(t) for _, t in chosen).encode()[:dictionary_bytes]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    out = {k: v for k, v in out.items() if len(v) >= 8}
+    if sum(map(len, out.values())) > MOST_BYTES:
+        raise ValueError(f"the dictionaries of {len(out)} languages are too large to send to every task")
+    return out
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", min_margin: float = 0.01, level: int = 9, keep: bool = False, piece_bytes: int = 8192) -> DataFrame:
@@ -59,27 +64,33 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         packers = []
         for name, content in sorted(shared.value.items()):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             packers.append((name, zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)))
-        for batch in batches:
-            rows = []
-            for value in batch["_text"]:
-                body = normalized(value).encode() if isinstance(value, str) else b""
-                if not body or not packers:
-                    rows.append(("und", 0.0, True))
-                    continue
-                pieces = [body[k : k + piece_bytes] for k in range(0, len(body), piece_bytes)]
-                sizes = sorted((sum(len(p.compress(x)) for x in pieces), name) for name, p in packers)
-                score = 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
-                rows.append((sizes[0][1], score, score < min_margin))
-            yield batch[others].assign(**dict(zip(made, zip(*rows, strict=True), strict=True)) if rows else {k: [] for k in made})
 
+        def judged(value: str | None) -> tuple[str, float, bool]:
+            body = normalized(value).encode() if isinstance(value, str) else b""
+            if not packers or not any(map(str.isalpha, body.decode())):  # number characters such as fractions are no letters
+                return "und", 0.0, True
+            totals = [0] * len(packers)
+            for k in range(0, len(body), piece_bytes):
+                piece = body[k : k + piece_bytes]
+                for i, (_, packer) in enumerate(packers):
+                    totals[i] += len(packer.compress(piece))
+            sizes = sorted((n, name) for n, (name, _) in zip(totals, packers, strict=True))
+            score = 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
+            return sizes[0][1], score, score < min_margin
+
+        for texts in batches:
+            yield pd.DataFrame(map(judged, texts), columns=made)
+
+    # Only the text goes to Python, once, and only the result comes back; other columns stay where they are.
     made = ["lang_pred", "score", "rejected"]
-    slim = docs.withColumn("_text", F.col(text)).drop(*made) if keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    others = [c for c in slim.columns if c != "_text"]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "_text"]
-    return slim.mapInPandas(run, ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"]))
+    judge = F.pandas_udf(run, "lang_pred string, score double, rejected boolean").asNondeterministic()
+    slim = docs.drop(*made) if keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    found = slim.withColumn("_found", judge(docs[text] if keep and text in made else F.col(text if keep else "_text")))
+    others = [c for c in slim.columns if keep or c != "_text"]
+    return found.select(*[F.col(f"`{c}`") for c in others], "_found.lang_pred", "_found.score", "_found.rejected")
