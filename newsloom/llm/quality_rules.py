@@ -4,20 +4,25 @@ Native: DataFrame functions only.
 
 Every document becomes a vector of transformed statistics. For every language and source the MCD is approached by
 concentration steps from deterministic starts: the share `h` of documents with the smallest Mahalanobis distances gives
-the next mean and covariance, until the steps are used up; the start with the smallest determinant wins. Documents whose
-squared distance is over a chi-square quantile are rejected. The smallest distances are found exactly in steps of a
+the next mean and covariance, until no determinant falls any more; the start with the smallest determinant wins. Its
+covariance is made consistent for normal data by the usual factor, documents beyond the 0.975 quantile of chi-square
+get weight zero, and those left give the final mean and covariance, made consistent again. Documents whose squared
+distance to these is over the `quantile` of chi-square are rejected. The smallest distances are found in steps of a
 fixed logarithmic grid, so what crosses the network are counts and sums per group, never its rows; a group can hold any
-share of all rows.
+share of all rows. Estimates are sent to the tasks if there are at most `MOST_GROUPS`, else joined by shuffles.
 
 Edge cases: null texts have no words and fail the base rule; groups with fewer than `min_group` documents that pass the
 base rules are judged by an estimate of all documents of their language, and if those are too few, of all documents, so
 every document that passes the base rules has a distance; null languages and sources are groups of their own; repeated rows each
 count and get the same verdict; `floors` are the least standard deviations, so statistics that are constant in most
 documents don't make the estimate singular; an empty table gives an empty result; other columns are ignored.
+
+Building the result runs jobs: the statistics, the groups and each step's estimates are written in the shared folder.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -84,6 +89,35 @@ VECTOR = {
     "repeats": (lambda: F.sqrt(F.col("n_repeat_words") / F.col("n_words")), 0.10),
 }
 GRID = 64  # steps per doubling of a squared distance
+REWEIGHT = 0.975  # the quantile within which documents have weight one in the final estimate
+MOST_GROUPS = 100_000  # estimates of at most so many groups, of under 200 bytes each, are sent to the tasks
+
+
+def chi2_cdf(x: float, d: int) -> float:
+    """The chi-square distribution function of d degrees of freedom, by the series of the incomplete gamma function."""
+    a, y = d / 2, x / 2
+    if y <= 0:
+        return 0.0
+    term = total = 1 / a
+    for n in range(1, 1000):
+        term *= y / (a + n)
+        total += term
+        if term < total * 1e-16:
+            break
+    return min(1.0, total * math.exp(a * math.log(y) - y - math.lgamma(a)))
+
+
+def chi2_quantile(p: float, d: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_cdf(middle, d) < p else (low, middle)
+    return (low + high) / 2
+
+
+def consistency(h: float, d: int) -> float:
+    """What the covariance of the share h nearest to the mean of normal data is to be multiplied by."""
+    return 1.0 if h >= 1 else h / chi2_cdf(chi2_quantile(h, d), d + 2)
 
 
 def _cholesky(cov: dict[tuple[int, int], Column], d: int) -> dict[tuple[int, int], Column]:
@@ -121,15 +155,20 @@ def _estimate(rows: DataFrame, keys: list[str], d: int, floors: list[float]) ->
     return out.select(*keys, *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)], log_det.alias("log_det"))
 
 
-def _with_distance(rows: DataFrame, est: DataFrame, keys: list[str], d: int) -> DataFrame:
+def _met(rows: DataFrame, est: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """rows with their group's row of est. few: est is small enough to be sent to all tasks, so rows stay where they are."""
+    return rows.join(F.broadcast(est) if few else est, keys)
+
+
+def _with_distance(rows: DataFrame, est: DataFrame, keys: list[str], d: int, few: bool) -> DataFrame:
     low = {(i, j): F.col(f"l{i}_{j}") for i in range(d) for j in range(i + 1)}
     d2 = _distance([F.col(f"x{i}") for i in range(d)], [F.col(f"m{i}") for i in range(d)], low)
-    return rows.join(est, keys).withColumn("d2", d2)
+    return _met(rows, est, keys, few).withColumn("d2", d2)
 
 
-def _concentrate(rows: DataFrame, est: DataFrame, keys: list[str], d: int, floors: list[float], h: float) -> DataFrame:
+def _concentrate(rows: DataFrame, est: DataFrame, keys: list[str], d: int, floors: list[float], h: float, few: bool) -> DataFrame:
     """One concentration step: the estimate from the share h with the smallest distances."""
-    near = _with_distance(rows, est, keys, d)
+    near = _with_distance(rows, est, keys, d, few)
     near = near.withColumn("bin", F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * GRID).cast("int"))
     counts = near.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     # At most 60 * GRID bins for a key, whatever its number of rows.
@@ -143,32 +182,41 @@ def _concentrate(rows: DataFrame, est: DataFrame, keys: list[str], d: int, floor
         lambda a: a["bin"],
     )
     limits = bins.select(*keys, found.alias("limit"))
-    return _estimate(near.join(limits, keys).where(F.col("bin") <= F.col("limit")), keys, d, floors)
+    return _estimate(_met(near, limits, keys, few).where(F.col("bin") <= F.col("limit")), keys, d, floors)
 
 
 def mcd_distances(
-    rows: DataFrame, group: list[str], columns: list[str], floors: list[float], h: float = 0.75, steps: int = 4
+    rows: DataFrame, group: list[str], columns: list[str], floors: list[float], h: float = 0.75, steps: int = 12
 ) -> DataFrame:
-    """rows with d2, the squared robust distance within the row's group. Groups must not be null; columns are finite."""
+    """rows with d2, the squared robust distance within the row's group. Groups must not be null; columns are finite.
+
+    steps: the most concentration steps; fewer are done if no determinant changes any more.
+    """
     d = len(columns)
     named = rows.withColumns({f"x{i}": F.col(c) for i, c in enumerate(columns)})
+    slim = named.select(*group, *[f"x{i}" for i in range(d)])
     # Starts: all rows; the rows near the mean in units of the floors alone, which far rows don't widen.
-    moments = _estimate(named, group, d, floors).select(*group, *[f"m{i}" for i in range(d)])
+    moments = materialized(_estimate(slim, group, d, floors).select(*group, *[f"m{i}" for i in range(d)]))
+    few = moments.count() <= MOST_GROUPS
     flat = reduce(lambda a, b: a + b, [((F.col(f"x{i}") - F.col(f"m{i}")) / floors[i]) ** 2 for i in range(d)])
-    slim = named.select(*group, *[f"x{i}" for i in range(d)])
-    central = slim.join(moments, group).withColumn("flat", flat)
+    central = _met(slim, moments, group, few).withColumn("flat", flat)
     bound = central.groupBy(*group).agg(F.avg(F.sqrt("flat")).alias("bound"))
-    central = central.join(bound, group).where(F.sqrt("flat") <= F.col("bound"))
+    central = _met(central, bound, group, few).where(F.sqrt("flat") <= F.col("bound"))
     starts = slim.withColumn("start", F.lit(0)).unionByName(central.select(*slim.columns).withColumn("start", F.lit(1)))
     keys = [*group, "start"]
     est = materialized(_estimate(starts, keys, d, floors))
     both = slim.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
-        est = materialized(_concentrate(both, est, keys, d, floors, h))
+        before, est = est, materialized(_concentrate(both, est, keys, d, floors, h, few))
+        fall = _met(est, before.select(*keys, F.col("log_det").alias("was")), keys, few).agg(F.max(F.abs(F.col("was") - F.col("log_det")))).first()[0]
+        if fall is None or fall < 1e-9:
+            break
     best = est.groupBy(*group).agg(F.min_by(F.struct(*[c for c in est.columns if c not in group]), F.struct("log_det", "start")).alias("e"))
-    return _with_distance(named, best.select(*group, "e.*").drop("start", "log_det"), group, d).drop(
-        *[c for c in est.columns if c not in keys], *[f"x{i}" for i in range(d)]
-    )
+    best = best.select(*group, "e.*").drop("start", "log_det")
+    near = _with_distance(slim, best, group, d, few).where(F.col("d2") <= consistency(h, d) * chi2_quantile(REWEIGHT, d))
+    final = materialized(_estimate(near.select(*slim.columns), group, d, floors).drop("log_det"))
+    out = _with_distance(named, final, group, d, few).withColumn("d2", F.col("d2") / consistency(REWEIGHT, d))
+    return out.drop(*[c for c in final.columns if c not in group], *[f"x{i}" for i in range(d)])
 
 
 def quality_rules(
@@ -176,15 +224,14 @@ def quality_rules(
     doc_id: str = "doc_id",
     text: str = "text",
     group: tuple[str, ...] = ("lang", "source"),
-    limit: float = 60.0,
+    quantile: float = 0.9999,
     min_group: int = 50,
     h: float = 0.75,
-    steps: int = 4,
+    steps: int = 12,
 ) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance (null: base_failed) and kept.
 
-    limit: the largest squared distance kept. For four statistics the chi-square quantile of 0.9999 is 23.5; the
-    default leaves room for the heavy tails of clean text.
+    quantile: of chi-square, beyond which a squared distance is rejected.
     """
     base = statistics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"g{i}") for i, g in enumerate(group)]))
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -199,16 +246,21 @@ def quality_rules(
             groups = groups.join(groups.groupBy(*keys[:k]).agg(F.sum(f"n{len(keys)}").alias(f"n{k}")), keys[:k])
         level = F.when(F.col(f"n{k}") >= min_group, F.lit(k)).otherwise(level)
     groups = materialized(groups.select(*keys, level.alias("level")))
-    vectors = vectors.join(groups, keys)
     # Each level's estimate is of all documents of a group that judges some, and tells the distances of those alone.
     own = [f"e{i}" for i in range(len(keys))]
+    few = groups.count() <= MOST_GROUPS
+    levels = sorted(r["level"] for r in groups.select("level").distinct().collect())
+    vectors = _met(vectors, groups, keys, few)
     parts = []
-    for k in range(len(keys) + 1):
-        wanted = groups.where(F.col("level") == k).select(F.col("level").alias("at"), *keys[:k]).distinct()
-        rows = vectors.join(wanted, keys[:k]) if k else vectors.crossJoin(wanted)
+    for k in levels:
+        wanted = groups.where(F.col("level") == k).select(*keys[:k]).distinct()
+        rows = (_met(vectors, wanted, keys[:k], few) if k else vectors).withColumn("at", F.lit(k))
         parts.append(rows.withColumns({own[i]: F.col(keys[i]) if i < k else F.lit("") for i in range(len(keys))}))
-    rows = reduce(DataFrame.unionByName, parts)
-    scored = mcd_distances(rows, ["at", *own], list(VECTOR), [f for _, f in VECTOR.values()], h, steps).where(F.col("at") == F.col("level"))
+    if parts:
+        rows = reduce(DataFrame.unionByName, parts)
+        scored = mcd_distances(rows, ["at", *own], list(VECTOR), [f for _, f in VECTOR.values()], h, steps).where(F.col("at") == F.col("level"))
+    else:
+        scored = vectors.withColumn("d2", F.lit(0.0))
     failed = base.where("base_failed").select("doc_id", *stats, F.lit(None).cast("double").alias("distance"))
     out = scored.select("doc_id", *stats, F.col("d2").alias("distance")).unionByName(failed)
-    return out.select("doc_id", *stats, "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)).alias("kept"))
+    return out.select("doc_id", *stats, "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi2_quantile(quantile, len(VECTOR)))).alias("kept"))
