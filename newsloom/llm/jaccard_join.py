@@ -14,8 +14,12 @@ links is all that leaves.
 Equal sets are taken once with their number of documents; they are linked to each other and share all links.
 
 Edge cases: null and blank texts have no shingle, no link, and a class of their own; texts with fewer words than a
-shingle are one shingle of all their words; null ids are documents like others and don't crash; repeated rows are equal
+shingle are one shingle of all their words; ids of any simple type; null ids are documents like others, and a class of
+them alone has a null id; rows that share an id but not a text are documents of their own, and repeated rows are equal
 sets; an empty table gives an empty result; other columns are ignored.
+
+Bounds: what chosen paths leave large is compared in blocks of `block` sets, and so is a component of candidates: one of
+n sets ships each set n / `block` times and compares all n * n / 2 pairs in numpy. It is exact at any size, at that cost.
 """
 
 from __future__ import annotations
@@ -250,7 +254,9 @@ def jaccard_join(
 ) -> DataFrame:
     """doc_id, class_id (the smallest id of the class), n_links (other documents with a similarity of `threshold` or more)."""
     runs = runs_for(recall, levels, branch, threshold)
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Ids go through Python as strings, which nulls and large numbers don't change. A text is told by its id and hash.
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("string").alias("key"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+    kind = slim.schema["doc_id"].dataType
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHash()
@@ -263,19 +269,25 @@ def jaccard_join(
                     rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), walk(tokens, runs, levels, branch)))
                 else:
                     rows.append((None, None, None))
-            yield pd.DataFrame(rows, columns=["s1", "s2", "paths"], dtype="object").assign(doc_id=batch["doc_id"])
+            yield pd.DataFrame(rows, columns=["s1", "s2", "paths"], dtype="object").assign(key=batch["key"], t=batch["t"])
 
     # One pass over the texts: a hash of each set, and its paths.
-    table = materialized(slim.mapInPandas(split, "doc_id long, s1 long, s2 long, paths array<long>"))
-    sets = table.select("doc_id", "s1", "s2")
-    # Of equal sets one document stands for all.
-    stands = materialized(sets.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight")).where("node IS NOT NULL"))
-    heads = table.join(stands.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
+    table = materialized(slim.select("key", "t", "text").mapInPandas(split, "key string, t long, s1 long, s2 long, paths array<long>"))
+    sets = table.select(F.col("key").cast(kind).alias("doc_id"), "key", "t", "s1", "s2")
+    # Of equal sets one text stands for all, under a number that is written with it.
+    stands = sets.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "t")).alias("of"))
+    stands = materialized(stands.select("s1", "s2", "head", "weight", F.col("of.key").alias("of_key"), F.col("of.t").alias("of_t"), F.monotonically_increasing_id().alias("node")))
+
+    def chosen(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """One row of each of these texts, with its node."""
+        return rows.join(nodes.select("node", "of_key", "of_t"), F.col("key").eqNullSafe(F.col("of_key")) & (F.col("t") == F.col("of_t"))).dropDuplicates(["node"])
+
+    heads = chosen(table.where("s1 IS NOT NULL"), stands).select("node", "paths")
 
     def first_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             nodes, first, below = [], [], []
-            for node, flat in zip(batch["doc_id"], batch["paths"], strict=True):
+            for node, flat in zip(batch["node"], batch["paths"], strict=True):
                 flat, k = flat.tolist(), 0
                 while k < len(flat):
                     start = k + 2
@@ -321,10 +333,10 @@ def jaccard_join(
         known = WordHash()
         for batch in batches:
             rows = [(t.tobytes(), sketch(t).tobytes()) for t in (shingles(x, shingle, known) for x in batch["text"])]
-            yield pd.DataFrame(rows, columns=["tokens", "sketch"]).assign(node=batch["doc_id"])
+            yield pd.DataFrame(rows, columns=["tokens", "sketch"]).assign(node=batch["node"])
 
-    near = last.select("node").distinct()
-    drawn = materialized(slim.join(near, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sketched, "node long, tokens binary, sketch binary"))
+    near = stands.join(last.select("node").distinct(), "node")
+    drawn = materialized(chosen(slim, near).select("node", "text").mapInPandas(sketched, "node long, tokens binary, sketch binary"))
     spread = 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)
     # Buckets with the same members are one.
     alike = last.groupBy("bucket", "n").agg(F.sum(F.xxhash64("node") % (1 << 40)).alias("m1"), F.bit_xor(F.xxhash64("node")).alias("m2"))
@@ -338,8 +350,9 @@ def jaccard_join(
     found = materialized(exact_links(dealt, size, threshold))
     links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    classes = stands.join(roots, "node", "left").join(links, "node", "left").select(
-        "s1", "s2", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    of_root = roots.join(stands.select("node", "head"), "node").groupBy("root").agg(F.min("head").alias("class_id"))
+    classes = stands.join(roots.join(of_root, "root"), "node", "left").join(links, "node", "left").select(
+        "s1", "s2", F.when(F.col("root").isNull(), F.col("head")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
     joined = sets.join(classes, ["s1", "s2"], "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return joined.select("doc_id", F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
