@@ -3,8 +3,10 @@
 Words lose their punctuation and case; numbers, units and names become typed placeholders, so a question with other
 numbers has the same template. Windows of `width` template tokens are hash-joined between documents and benchmark
 items. In one alignment of the two, slots are consistent if equal values of the item stand for equal values in the
-document. A document holds an item if at least `share` of the item's windows are joined in consistent alignments; of an
-alignment that isn't consistent, the windows count whose values are the item's own.
+document. Inserted or lost words shift the rest of a passage, so alignments that lie at most half the item's windows
+(or `width`, if more) apart are counted together if their slots are consistent in all; alignments further apart are other places of
+the document and never add up. A document holds an item if at least `share` of the item's windows are joined at one
+place; of an alignment that isn't consistent, the windows count whose values are the item's own.
 
 A placeholder's value is kept beside it. Windows made of placeholders alone carry no question and don't count.
 
@@ -13,8 +15,8 @@ join then leave before the shuffle. With more, all windows are shuffled. The res
 
 Edge cases: null texts have no tokens; items and documents shorter than a window never match, but items of fewer tokens
 than `width` are matched whole, with windows of their own length; items without tokens match nothing; repeated items
-are each found; repeated rows of one document id are one document; an empty table gives an empty result; other columns
-are ignored.
+are each found; repeated rows of one document id and text are one document, rows of one id with other texts and of null ids are
+documents of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import materialized
+
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?(%|[a-z]{1,4})?", re.I)
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years % percent euro euros dollar dollars cent cents usd eur gbp meter meters metre metres kilometer kilometers kilometre kilometres mile miles gram grams kilogram kilograms liter liters litre litres inch inches foot feet pound pounds ounce ounces degree degrees watt watts volt volts joule joules".split()
@@ -138,38 +142,65 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     width: int = 5, share: float = 0.8, max_broadcast: int = 2_000_000,
 ) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched and n_exact (slot values are the item's own): the items held by a document."""
+    """doc_id, item_id, n_windows, n_matched and n_exact (slot values are the item's own): the items held by a document.
+
+    The benchmark's windows are written in the shared folder while the plan is built.
+    """
+    held = _held(docs, benchmark, doc_id, text, item_id, item_text, width, share, max_broadcast)
+    kind = docs.select(F.col(doc_id)).schema[0].dataType
+    own = F.when(F.startswith("key", F.lit("v")), F.regexp_extract("key", r"(?s)^v(.*):-?\d+$", 1)).cast(kind)
+    return held.select(own.alias("doc_id"), "item_id", "n_windows", "n_matched", "n_exact")
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    """A document: its id, or that it has none, and its text's hash."""
+    return F.concat(F.coalesce(F.concat(F.lit("v"), doc_id.cast("string")), F.lit("n")), F.lit(":"), F.xxhash64(text).cast("string"))
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, width: int, share: float, max_broadcast: int) -> DataFrame:
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
-    made = template_windows(items, width, [width], None, True).select(
+    made = template_windows(items, width, [width], None, True)
+    made = materialized(made.select(
         F.col("id").alias("item_id"), "width", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("windows").alias("n_windows")
-    )
+    ))
     widths = sorted(r["width"] for r in made.select("width").distinct().collect())  # at most `width` values
     wanted = None
     if made.count() <= max_broadcast:
         wanted = np.unique(np.array([r["window"] for r in made.select("window").distinct().collect()], np.int64).view(np.uint64))
         if not len(wanted):
             wanted = np.zeros(1, np.uint64)
-    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    found = template_windows(slim, width, widths, wanted, False).drop("windows").withColumnRenamed("id", "doc_id")
+    slim = docs.select(_key(F.col(doc_id), F.col(text)).alias("id"), F.col(text).alias("text"))
+    found = template_windows(slim, width, widths, wanted, False).drop("windows").withColumnRenamed("id", "key")
     joined = found.join(made, ["width", "window"])
     same = F.col("item_slots") == F.col("slots")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
     # An alignment holds at most the item's windows.
-    aligned = joined.withColumn("shift", F.col("at") - F.col("item_at")).groupBy("doc_id", "item_id", "shift", "n_windows").agg(
+    aligned = joined.withColumn("shift", F.col("at") - F.col("item_at")).groupBy("key", "item_id", "shift", "n_windows").agg(
         F.collect_set("item_at").alias("places"),
         F.collect_set(F.when(same, F.col("item_at"))).alias("same"),
         F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"),
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"])))
-    # Inserted or lost words shift the rest of a passage, so the alignments of a document and item are counted together.
-    total = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    out = aligned.groupBy("doc_id", "item_id", "n_windows").agg(
-        total(F.when(consistent, F.col("places")).otherwise(F.col("same"))).alias("n_matched"), total(F.col("same")).alias("n_exact")
+    functional = lambda pairs: F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda x: x["item"])))
+    consistent = functional(F.col("pairs"))
+    # Two rows of tiles that overlap by half: alignments within half a tile are in one tile together.
+    tile = F.greatest(F.col("n_windows"), F.lit(2 * width))
+    tiles = F.array(F.floor(F.col("shift") / tile) * 2, F.floor((F.col("shift") + tile / 2) / tile) * 2 + 1)
+    placed = aligned.withColumn("fits", consistent).withColumn("tile", F.explode(F.array_distinct(tiles)))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    places = placed.groupBy("key", "item_id", "n_windows", "tile").agg(
+        union(F.when(F.col("fits"), F.col("places")).otherwise(F.col("same"))).alias("all"), union(F.col("same")).alias("same"),
+        union(F.when(F.col("fits"), F.col("pairs"))).alias("pairs"), F.max(F.when(F.col("fits"), F.size("places")).otherwise(0)).alias("best"),
     )
+    # Alignments that contradict each other don't add up: the best of them counts, or what is the item's own.
+    matched = F.when(functional(F.col("pairs")), F.size("all")).otherwise(F.greatest("best", F.size("same"))).cast("long")
+    out = places.groupBy("key", "item_id", "n_windows").agg(F.max(matched).alias("n_matched"), F.max(F.size("same").cast("long")).alias("n_exact"))
     return out.where(F.col("n_matched") >= F.col("n_windows") * share)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    width: int = 5, share: float = 0.8, max_broadcast: int = 2_000_000,
+) -> DataFrame:
     """docs without those that hold an item; all columns."""
-    found = contamination(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(found, doc_id, "left_anti")
+    held = _held(docs, benchmark, doc_id, text, item_id, item_text, width, share, max_broadcast).select(F.col("key").alias("_held")).distinct()
+    return docs.join(held, _key(docs[doc_id], docs[text]) == F.col("_held"), "left_anti")
