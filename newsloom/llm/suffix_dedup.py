@@ -26,10 +26,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.llm.common import materialized
+from newsloom.llm.common import discard, materialized, packed_sorted, release, unpacked_sorted
 
 BLOCK = 1 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -223,8 +224,11 @@ def bits(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
 
 
-def repeated_spans(docs: DataFrame, width: int = 400, k: int = 32, shard_bytes: int = 2_000_000, range_windows: int = 2_000_000) -> DataFrame:
-    """k1, k2, copies, spans (start, length of removed bytes, sorted): texts that lose bytes. docs: k1, k2, text."""
+def repeated_spans(docs: DataFrame, width: int = 400, k: int = 32, shard_bytes: int = 2_000_000, range_windows: int = 2_000_000, tables: list[DataFrame] | None = None) -> DataFrame:
+    """k1, k2, copies, spans (start, length of removed bytes, sorted): texts that lose bytes. docs: k1, k2, text.
+
+    tables: a list that gets the tables which the result reads.
+    """
     n_bytes = F.octet_length("text")
     long_enough = docs.where(n_bytes >= width)
     copies = long_enough.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
@@ -247,8 +251,14 @@ def repeated_spans(docs: DataFrame, width: int = 400, k: int = 32, shard_bytes:
     found = found.groupBy("h", "k1", "k2").agg(F.first("places").alias("places"))
     often = found.groupBy("h").agg(F.sum(F.size("places")).alias("n")).where("n > 1").drop("n")
     wanted = found.join(often, "h", "left_semi").groupBy("k1", "k2").agg(F.flatten(F.collect_list("places")).alias("places"))
+    # Written, its size is known: Spark sends it to the tasks if it is small, and else shuffles the texts to it.
+    wanted = materialized(wanted)
     texts = long_enough.join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("places").alias("places"))
     table = materialized(shards(texts, width, k, shard_bytes))
+    discard(wanted)
+    release(docs.sparkSession)
+    if tables is not None:
+        tables.append(table)
     total = table.agg(F.coalesce(F.sum("n_heads"), F.lit(0))).first()[0]
     ranges = max(1, -(-total // range_windows))
 
@@ -258,11 +268,11 @@ def repeated_spans(docs: DataFrame, width: int = 400, k: int = 32, shard_bytes:
                 data = np.frombuffer(blob, np.uint8)
                 _, prints, to = sent(data, bits(heads, len(data)), width, ranges)
                 ends = np.searchsorted(to, np.arange(ranges + 1))
-                runs = [(r, shard, prints[ends[r] : ends[r + 1]].tobytes()) for r in np.unique(to).tolist()]
+                runs = [(r, shard, packed_sorted(prints[ends[r] : ends[r + 1]])) for r in np.unique(to).tolist()]
                 yield pd.DataFrame(runs, columns=["range", "shard", "prints"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        runs = [np.frombuffer(p, np.uint64) for p in group["prints"]]
+        runs = [unpacked_sorted(p) for p in group["prints"]]
         merged = np.sort(np.concatenate(runs), kind="stable")
         twice = np.unique(merged[1:][merged[1:] == merged[:-1]])
         if not len(twice):
@@ -293,48 +303,59 @@ def repeated_spans(docs: DataFrame, width: int = 400, k: int = 32, shard_bytes:
         return pd.DataFrame({"k1": origin("k1"), "k2": origin("k2"), "start": origin("starts") + a - np.asarray(row["offsets"])[part], "length": b - a})
 
     spans = table.drop("n_heads").groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(close, "k1 long, k2 long, start long, length long")
-    found = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    found = maximal(spans)
     return copies.join(found, ["k1", "k2"], "left").where((F.col("copies") > 1) | F.col("spans").isNotNull())
 
 
-def removed_ranges(spans: Column) -> Column:
-    """Sorted spans that may touch or overlap, as maximal ones."""
-    kind = "array<struct<start:bigint,length:bigint>>"
-    last = lambda acc: F.get(acc, F.size(acc) - 1)
-    end = lambda s: s["start"] + s["length"]
+def maximal(spans: DataFrame) -> DataFrame:
+    """k1, k2, spans: spans that touch or overlap as one, sorted. spans: k1, k2, start, length."""
+    end = F.col("start") + F.col("length")
+    before = Window.partitionBy("k1", "k2").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = spans.withColumn("apart", F.coalesce(F.col("start") > F.max(end).over(before), F.lit(True)).cast("int"))
+    run = F.sum("apart").over(Window.partitionBy("k1", "k2").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, 0))
+    joined = ahead.withColumn("run", run).groupBy("k1", "k2", "run").agg(F.min("start").alias("start"), F.max(end).alias("end"))
+    return joined.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("end") - F.col("start")).alias("length")))).alias("spans"))
+
+
+@F.pandas_udf(T.BinaryType())
+def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
+    """The bytes of each text outside its removed spans; null texts stay null."""
 
-    def merge(acc: Column, s: Column) -> Column:
-        joined = F.struct(last(acc)["start"].alias("start"), (F.greatest(end(last(acc)), end(s)) - last(acc)["start"]).alias("length"))
-        apart = (F.size(acc) == 0) | (s["start"] > end(last(acc)))
-        return F.when(apart, F.concat(acc, F.array(s))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined)))
+    def cut(text: str | None, spans: np.ndarray) -> bytes | None:
+        if text is None:
+            return None
+        body, at, kept = text.encode(), 0, []
+        for span in spans:
+            kept.append(body[at : span["start"]])
+            at = span["start"] + span["length"]
+        return b"".join([*kept, body[at:]])
 
-    return F.aggregate(spans, F.array().cast(kind), merge)
+    return pd.Series([cut(t, s) for t, s in zip(texts, removed, strict=True)], dtype=object)
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", **options) -> DataFrame:  # noqa: ANN003
-    """docs with n_bytes, removed (start and length of each maximal removed run) and kept (the other bytes)."""
+    """docs with n_bytes, removed (start and length of each maximal removed run) and kept (the other bytes).
+
+    Building it runs jobs: anchors, shards and the removed spans are written in the shared folder.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_body", body).withColumn("_k1", F.xxhash64("_body")).withColumn("_k2", F.xxhash64(F.lit(1), "_body"))
-    found = repeated_spans(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_body").alias("text")), **options)
-    n = F.octet_length("_body").cast("long")
+    k1, k2 = F.xxhash64(body), F.xxhash64(F.lit(1), body)
+    kept: list[DataFrame] = []
+    found = repeated_spans(docs.select(k1.alias("k1"), k2.alias("k2"), body.alias("text")), tables=kept, **options)
+    # Written, so that only a large table of spans makes the documents meet it by a shuffle.
+    found = materialized(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("copies").alias("_copies"), F.col("spans").alias("_spans")))
+    for used in kept:
+        discard(used)
+    release(docs.sparkSession)
+    joined = docs.drop("n_bytes", "removed", "kept").withColumns({"_k1": k1, "_k2": k2}).join(found, ["_k1", "_k2"], "left")
+    n = F.octet_length(body).cast("long")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("length")))
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    joined = keyed.join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("copies").alias("_copies"), F.col("spans").alias("_spans")), ["_k1", "_k2"], "left")
-    joined = joined.withColumn("n_bytes", n).withColumn(
-        "removed", F.when(F.col("_copies") > 1, whole).when(F.col("_spans").isNotNull(), removed_ranges(F.col("_spans"))).otherwise(none)
-    )
-    raw = F.col("_body").cast("binary")
-    cut = F.aggregate(
-        "removed",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("kept")),
-        lambda acc, s: F.struct(
-            (s["start"] + s["length"]).alias("at"),
-            F.concat(acc["kept"], F.substring(F.col("_raw"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))).alias("kept"),
-        ),
-        lambda acc: F.concat(acc["kept"], F.substring(F.col("_raw"), acc["at"].cast("int") + 1, F.col("n_bytes").cast("int"))),
-    )
-    joined = joined.withColumn("_raw", raw).withColumn("kept", F.when(F.size("removed") == 0, F.col("_raw")).otherwise(cut))
-    return joined.drop("_body", "_raw", "_k1", "_k2", "_copies", "_spans")
+    joined = joined.withColumn("n_bytes", n).withColumn("removed", F.when(F.col("_copies") > 1, whole).when(F.col("_spans").isNotNull(), F.col("_spans")).otherwise(none))
+    # Only texts that lose bytes go to Python.
+    cut = without(F.when((F.size("removed") > 0) & (F.coalesce(F.col("_copies"), F.lit(0)) <= 1), F.col(text)), F.col("removed"))
+    joined = joined.withColumn("kept", F.coalesce(cut, F.when(F.col("_copies") > 1, F.lit(b"")).otherwise(body.cast("binary"))))
+    return joined.drop("_k1", "_k2", "_copies", "_spans")
 
 
 def digest(deduped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
