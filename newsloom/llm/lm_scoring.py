@@ -10,10 +10,11 @@ divergence, in bits, is at least `min_bits`. Every symbol is scored in its longe
 The bars are counts, so the contexts and probabilities grow with the corpus. They are tables keyed by hashes of 64 bits
 of the context and of the context with its next symbol; neither the driver nor a broadcast holds any of them. A partition
 of documents is encoded once as blocks: the distinct words and the documents' places in those. The words are counted
-across the corpus and the counts sent back to their blocks; then, for each depth, the blocks send the distinct contexts
-and next symbols that can reach the bars (no part of one may be below them), with their probability in the shorter
-state, and get back the counts and probabilities of those that the corpus keeps. What a block keeps between two depths
-is a row of arrays. Counts cover the whole training corpus.
+across the corpus and the counts sent back to their blocks. Then, for each depth, the blocks first send the sorted
+hashes of their distinct contexts and next symbols to ranges of hashes, which answer with a bit for each whether the
+corpus has it often enough; then they send those alone, with their probability in the shorter state, and get back the
+counts and probabilities of what the corpus keeps. What a block keeps between two depths is a row of arrays. Tables are
+deleted when the next one is written. Counts cover the whole training corpus.
 
 Edge cases: null and empty texts are the end alone; an empty training fold gives one unknown symbol with probability
 one; null ids are in the training fold; repeated rows count and are scored each; an empty table gives an empty result;
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import crc_mod, materialized
+from newsloom.llm.common import crc_mod, discard, materialized, packed_sorted, release, unpacked_sorted
 
 END = b"\n"  # white space is never in a word
 
@@ -216,33 +217,76 @@ def candidates(state: dict[str, np.ndarray], depth: int, least: int, least_next:
     return at, context, at[both], mixed(context[both], words[at[both]])
 
 
-def sent(states: DataFrame, depth: int, least: int, least_next: int) -> DataFrame:
-    """block, context, key, n (in training documents), shorter (log10 of the probability in the shorter state): of a
-    context alone the key is the context, and of a context and its next symbol the hash of both."""
+def entries(state: dict[str, np.ndarray], depth: int, least: int, least_next: int) -> tuple[np.ndarray, ...]:
+    """Of a block's distinct contexts and contexts with a next symbol, by key: the key, its context, its count in
+    training documents, and log10 of the probability in the shorter state. Of a context alone the key is the context."""
+    trained = np.repeat(~state["held"], state["lengths"])
+    at, context, at_next, key = candidates(state, depth, least, least_next)
+    one, back = np.unique(context, return_inverse=True)
+    n = np.bincount(back, trained[at], len(one)).astype(np.int64)
+    its = context[np.searchsorted(at, at_next)]
+    two, where, back = np.unique(key, return_index=True, return_inverse=True)
+    n_two = np.bincount(back, trained[at_next], len(two)).astype(np.int64)
+    keys, contexts = np.concatenate([one, two]), np.concatenate([one, its[where]])
+    order = np.argsort(keys)
+    log_p = np.concatenate([np.zeros(len(one)), state["log_p"][at_next[where]]])
+    return keys[order], contexts[order], np.concatenate([n, n_two])[order], log_p[order]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def often_enough(states: DataFrame, depth: int, least: int, least_next: int, ranges: int) -> DataFrame:
+    """block, range, bits: of a block's sorted keys in a range, those that the training texts hold `least_next` times."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, packed in zip(batch["block"], batch["state"], strict=True):
-                state = unpack(packed)
-                trained = np.repeat(~state["held"], state["lengths"])
-                at, context, at_next, key = candidates(state, depth, least, least_next)
-                one, back = np.unique(context, return_inverse=True)
-                n = np.bincount(back, trained[at], len(one)).astype(np.int64)
-                yield pd.DataFrame({"block": block, "context": one.view(np.int64), "key": one.view(np.int64), "n": n, "shorter": 0.0})
-                its = context[np.searchsorted(at, at_next)]
-                one, where, back = np.unique(key, return_index=True, return_inverse=True)
-                n = np.bincount(back, trained[at_next], len(one)).astype(np.int64)
-                rows = pd.DataFrame({"block": block, "context": its[where].view(np.int64), "key": one.view(np.int64), "n": n, "shorter": state["log_p"][at_next[where]]})
+                keys, _, n, _ = entries(unpack(packed), depth, least, least_next)
+                for r, a, b in range_bounds(keys, ranges):
+                    counts = zstandard.ZstdCompressor(level=1).compress(np.minimum(n[a:b], least_next).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+                    yield pd.DataFrame({"block": [block], "range": [r], "keys": [packed_sorted(keys[a:b])], "counts": [counts]})
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpacked_sorted(k) for k in group["keys"]]
+        n = [np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint8).reshape(4, -1).T).view("<u4").ravel() for c in group["counts"]]
+        one, back = np.unique(np.concatenate(keys), return_inverse=True)
+        enough = (np.bincount(back, np.concatenate(n), len(one)) >= least_next)[back]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        return pd.DataFrame({"block": group["block"], "range": group["range"], "bits": [np.packbits(x).tobytes() for x in np.split(enough, ends)]})
+
+    sent = states.select("block", "state").mapInPandas(send, "block long, range int, keys binary, counts binary")
+    return sent.groupBy("range").applyInPandas(answer, "block long, range int, bits binary")
+
+
+def range_bounds(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """The ranges of equal width that hold sorted keys, and where the keys of each begin and end."""
+    edges = [((1 << 64) * r // ranges) for r in range(1, ranges)]
+    ends = [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
+    return ((r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a)
+
+
+def sent(states: DataFrame, often: DataFrame, depth: int, least: int, least_next: int, ranges: int) -> DataFrame:
+    """block, context, key, n, shorter: the entries of the blocks that the corpus has often enough. states with bits."""
+    bits = often.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("bits"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, packed, found in zip(batch["block"], batch["state"], batch["bits"], strict=True):
+                keys, context, n, log_p = entries(unpack(packed), depth, least, least_next)
+                bits = {x["range"]: x["bits"] for x in found}
+                enough = np.zeros(len(keys), bool)
+                for r, a, b in range_bounds(keys, ranges):
+                    enough[a:b] = np.unpackbits(np.frombuffer(bits[r], np.uint8), count=b - a)
+                rows = pd.DataFrame({"block": block, "context": context[enough].view(np.int64), "key": keys[enough].view(np.int64), "n": n[enough], "shorter": log_p[enough]})
                 for k in range(0, len(rows), 200_000):
                     yield rows[k : k + 200_000]
 
-    return states.select("block", "state").mapInPandas(run, "block long, context long, key long, n long, shorter double")
+    return states.select("block", "state").join(bits, "block").mapInPandas(run, "block long, context long, key long, n long, shorter double")
 
 
 def kept_contexts(found: DataFrame, least_next: int, least_bits: float, prior: float) -> DataFrame:
     """context, key, n, log_p: of the next symbols that reach the bar the counts, and log10 of the probability if the
     context is kept; of kept contexts alone, log10 of the factor for all other symbols."""
-    counts = materialized(found.groupBy("context", "key").agg(F.sum("n").alias("n"), F.max("shorter").alias("shorter")).where(F.col("n") >= least_next))
+    counts = found.groupBy("context", "key").agg(F.sum("n").alias("n"), F.max("shorter").alias("shorter")).where(F.col("n") >= least_next)
+    counts = materialized(counts)
     alone = F.col("key") == F.col("context")
     totals = counts.where(alone).select("context", F.col("n").alias("total"))
     p, q = F.col("n") / (F.col("total") + prior), F.pow(F.lit(10.0), "shorter")
@@ -281,14 +325,16 @@ def deeper_states(d: int, last: bool, least: int, least_next: int):  # noqa: ANN
 def score_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1,
     depth: int = 3, min_share: float = 0.0, min_joint: float = 0.0, min_gain: float = 0.0, prior: float = 2.0,
-    min_context: int = 8, min_next: int = 2, min_bits: float = 16.0,
+    min_context: int = 8, min_next: int = 2, min_bits: float = 16.0, range_tokens: int = 4_000_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     min_share, min_joint, min_gain: higher bars for small models, as shares of all training tokens; none by default.
+    range_tokens: training tokens for each range of hashes. Building the result runs jobs, which write tables.
     """
     key = F.col(doc_id)
     slim = docs.select(key.alias("doc_id"), F.col(text).alias("text"), F.coalesce(crc_mod(key, folds) == held_fold, F.lit(False)).alias("held_out"))
+    spark = docs.sparkSession
     coded = materialized(encode(slim))
     lists = coded.where(F.col("token").isNotNull()).select("block", "place", "token", "trained")
     counts = materialized(lists.groupBy("token").agg(F.sum("trained").alias("c")))
@@ -316,16 +362,25 @@ def score_documents(
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"block long, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, state binary"
     began = materialized(answers.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(begun, schema))
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    discard(coded)
+    discard(counts)
+    release(spark)
     states = began.where(F.col("state").isNotNull()).select("block", "state")
+    ranges = max(1, -(-(n or 0) // range_tokens))
     for d in range(1, depth + 1):
-        model = materialized(kept_contexts(sent(states, d, least, least_next), least_next, max(min_bits, min_gain * n), prior))
-        known = sent(states, d, least, least_next).select("block", "context", "key").join(model, ["context", "key"]).select("block", "key", "n", "log_p")
+        often = materialized(often_enough(states, d, least, least_next, ranges))
+        release(spark)
+        found = sent(states, often, d, least, least_next, ranges)
+        model = materialized(kept_contexts(found, least_next, max(min_bits, min_gain * n), prior))
+        release(spark)
+        # A key is of one context, so it alone finds its row.
+        known = found.select("block", "key").join(model.select("key", "n", "log_p"), "key").select("block", "key", "n", "log_p")
 
         mine = states.withColumnRenamed("block", "of_block").groupBy("of_block")
         result = "block long, state binary" if d < depth else "block long, row long, score double"
-        states = known.groupBy("block").cogroup(mine).applyInPandas(deeper_states(d, d == depth, least, least_next), result)
-        if d < depth:
-            states = materialized(states)
-        docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles of what is written
+        deeper = materialized(known.groupBy("block").cogroup(mine).applyInPandas(deeper_states(d, d == depth, least, least_next), result))
+        for used in [often, model, *([states] if d > 1 else [])]:
+            discard(used)
+        states = deeper
+        release(spark)
     return began.drop("state").join(states, ["block", "row"]).drop("block", "row")
