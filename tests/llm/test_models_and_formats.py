@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -212,6 +213,29 @@ def test_language_margin_keeps_in_long_texts(spark, docs):
     assert got[2]["lang_pred"] == "bb" and not got[2]["rejected"] and got[2]["score"] > 0.7 * got[1]["score"] > 0.01
 
 
+def test_language_edges_against_brute_force(spark, docs):
+    """Predictions are those of whole texts packed one by one; ties go to the first name; number characters are no letters."""
+    dictionaries = language_id.fit(docs)
+    rows = spark.createDataFrame([(1, "½ ² ١"), (2, "er und keit"), (2, "er und keit"), (3, "x"), (None, "the thing")], "doc_id long, text string").withColumn("lang_pred", F.lit("own"))
+    got = language_id.predict(rows, dictionaries, keep=True, piece_bytes=16).collect()
+    assert rows.columns[:2] + ["lang_pred", "score", "rejected"] == got[0].__fields__ and len(got) == 5
+    for r in got:
+        body = language_id.normalized(r["text"]).encode()
+        if not any(c.isalpha() for c in body.decode()):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        sizes = {}
+        for name, content in dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            packer = zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(packer.compress(body[k : k + 16])) for k in range(0, len(body), 16))
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        assert r["lang_pred"] == best and abs(r["score"] - (1 - sizes[best] / sorted(sizes.values())[1])) < 1e-12
+    same = {k: b"the thing and the other thing" * 9 for k in ("zz", "aa", "mm")}
+    tied = language_id.predict(rows.where("doc_id = 3"), same).first()
+    assert (tied["lang_pred"], tied["score"], tied["rejected"]) == ("aa", 0.0, True)
+
+
 def test_quality_of_small_groups(spark):
     """Groups too small for an estimate are judged by their language, and small languages by all documents."""
     rng = random.Random(4)
@@ -224,6 +248,36 @@ def test_quality_of_small_groups(spark):
     assert all(got[i]["kept"] == (i < 500) for i in got)
 
 
+def test_quality_distances_equal_brute_force(spark):
+    """The minimum covariance determinant of two groups, step by step in numpy, with the same grid of distances."""
+    rng = random.Random(6)
+    text = lambda k: "\n".join(" ".join(rng.choice(["alpha", "beta%", "gamma", "delta", "zeta#"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(3, 30))) for _ in range(8)) + ("\nsame line" * (k % 7))
+    rows = [(i, text(i), "en", "ab"[i % 2]) for i in range(160)]
+    rows += [(500 + i, " ".join(f"a{k % 9}%%" for k in range(90 + i)), "en", "a") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"distance": F.lit("x"), "x0": F.lit(1)})
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    floors = np.array([f for _, f in quality_rules.VECTOR.values()])
+    source = {i: s for i, _, _, s in rows}
+    estimate = lambda x: (x.mean(0), (x.T @ x) / len(x) - np.outer(x.mean(0), x.mean(0)) + np.diag(floors**2))
+    distance = lambda x, e: np.einsum("ij,jk,ik->i", x - e[0], np.linalg.inv(e[1]), x - e[0])
+    for name in "ab":
+        ids = [i for i in got if source[i] == name and not got[i]["base_failed"]]
+        x = np.array([[math.log(r["word_chars"] / r["n_words"]), *[math.sqrt(r[c] / r["n_words"]) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")]] for r in (got[i] for i in ids)])
+        flat = np.sqrt((((x - x.mean(0)) / floors) ** 2).sum(1))
+        found = []
+        for e in (estimate(x), estimate(x[flat <= flat.mean()])):
+            for _ in range(12):
+                bins = np.floor(np.log2(np.maximum(distance(x, e), 1e-9)) * 64)
+                e = estimate(x[bins <= np.sort(bins)[math.ceil(0.75 * len(x)) - 1]])
+            found.append((np.linalg.det(e[1]), e))
+        e = min(found, key=lambda f: f[0])[1]
+        e = estimate(x[distance(x, e) <= quality_rules.consistency(0.75, 4) * quality_rules.chi2_quantile(0.975, 4)])
+        want = distance(x, e) / quality_rules.consistency(0.975, 4)
+        assert np.allclose([got[i]["distance"] for i in ids], want, rtol=1e-6)
+        assert [got[i]["kept"] for i in ids] == (want <= 23.512742).tolist()
+    assert abs(quality_rules.chi2_quantile(0.95, 3) - 7.814728) < 1e-5 and abs(quality_rules.chi2_quantile(0.9999, 4) - 23.512742) < 1e-5
+
+
 def test_packing_gives_the_added_token_its_id(spark):
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n  y  <|endoftext|>", "<|endoftext", "a  b <|endoftext|>  c"]

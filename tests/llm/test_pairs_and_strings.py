@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, jaccard_join, span_dedup, suffix_dedup
 
@@ -73,6 +74,18 @@ def test_jaccard_join_of_nothing(spark):
     assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(1, 1, 0), (2, 2, 0)}
 
 
+def test_jaccard_join_of_shared_null_and_other_ids(spark):
+    """Rows are documents, whatever their ids: no link of a text is lost to another text with its id."""
+    a, b = prose(80), prose(80)
+    rows = [(1, a), (1, b), (2, near(a, 1)), (3, near(b, 1)), (None, prose(60)), (None, a), ((1 << 60) + 1, "one text of its own here"), ((1 << 60) + 1, "one text of its own here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("x"), "node": F.lit(0), "t": F.lit(0.5)})
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs, small=2, block=4).collect()), key=str)
+    big = (1 << 60) + 1
+    assert got == sorted([(1, 1, 2), (1, 1, 1), (2, 1, 2), (3, 1, 1), (None, None, 0), (None, 1, 2), (big, big, 1), (big, big, 1)], key=str)
+    named = jaccard_join.jaccard_join(docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"))
+    assert {(r["doc_id"], r["class_id"]) for r in named.collect()} == {(None, None), (None, "d1"), ("d1", "d1"), ("d2", "d1"), ("d3", "d1"), (f"d{big}", f"d{big}")}
+
+
 def test_suffix_dedup_equals_brute_force(spark, texts):
     width = 60
     bodies = {i: (t or "").encode() for i, t in texts}
@@ -113,10 +126,11 @@ def test_span_dedup_equals_brute_force(spark, texts):
     runs = {}
     for i, t in texts:
         s = [p.strip(" \t\n\x0b\f\r").lower() for p in parts(t)]
-        for k in range(max(1, len(s) - 2) if s else 0):
-            run = " ".join(s[k : k + 3])
-            if len(re.split(r"[\x20\x09-\x0D]+", run)) >= 15:
-                runs.setdefault(run, []).append((i, k, min(3, len(s))))
+        lens = [len(re.split(r"[\x20\x09-\x0D]+", x)) for x in s]
+        for k in range(len(s)):
+            n = next((n for n in range(2, len(s) - k + 1) if sum(lens[k : k + n]) >= 20), len(s) if k == 0 else 0)
+            if n:
+                runs.setdefault(" ".join(s[k : k + n]), []).append((i, k, n))
     gone = {i: set() for i, _ in texts}
     for places in runs.values():
         for i, k, n in sorted(places)[1:]:
@@ -128,6 +142,26 @@ def test_span_dedup_equals_brute_force(spark, texts):
         assert got[i]["text"] == ("".join(x for k, x in enumerate(p) if k not in gone[i]) if gone[i] else t)
 
 
+def test_span_dedup_of_cut_passages_and_edges(spark):
+    """Passages of over 50 words that begin and end amid sentences go from all but the first text; the rest stays."""
+    fresh = iter(range(10**6))
+    sentence = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n)) + ". "
+    passage = "".join(sentence(n) for n in (9, 13, 11, 14, 12))[:-2] + " tail"
+    loud = "".join(f"w{next(fresh)}!! " for _ in range(60))
+    long = "".join(sentence(8) for _ in range(4000))
+    rows = [(k, sentence(12) + f"lead{k} in " + passage + f" out{k}. " + sentence(12)) for k in range(4)]
+    rows += [(10, sentence(5) + loud + sentence(5)), (11, sentence(7) + loud + sentence(7)), (12, sentence(30)), (13, long), (14, "x " + long)]
+    rows += [(None, "alone. here."), (20, None), (21, ""), (22, " \n "), (23, "Same words."), (24, "same  words.")]
+    docs = spark.createDataFrame([(i, t, 5, "c") for i, t in rows], "doc_id long, text string, n int, gone string")
+    got = {r["doc_id"]: r for r in span_dedup.dedup_spans(docs).collect()}
+    assert [got[k]["n_removed"] > 0 for k in range(4)] == [False, True, True, True]
+    assert got[10]["n_removed"] == 0 and got[11]["n_removed"] == 60
+    assert got[12]["text"] == rows[6][1] and got[None]["text"] == "alone. here." and got[20]["text"] is None
+    assert got[13]["n_removed"] == 0 and got[14]["n_removed"] == 3999
+    assert got[23]["n_removed"] == 0 and got[24]["n_removed"] in (0, 1) and got[22]["n_removed"] == 0
+    assert span_dedup.dedup_spans(docs.limit(0)).collect() == []
+
+
 def test_decontamination_finds_other_parameters(spark):
     bench = spark.createDataFrame(
         [
@@ -155,3 +189,52 @@ def test_decontamination_finds_other_parameters(spark):
         assert (13, 2) not in found  # equal numbers of the item stand for different ones
     kept = {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()}
     assert kept == {13, 14, 15, 16}
+
+
+def brute_windows(text, width):
+    """Template tokens and their values, then the windows of a text by plain slicing."""
+    known = decontaminate.Tokens()
+    _, kind, raw = decontaminate.canonical(text, known)
+    token = [decontaminate.value_of(w) if k == decontaminate.WORD else decontaminate.PLACEHOLDER[int(k)] for k, w in zip(kind, raw, strict=True)]
+    value = [None if k == decontaminate.WORD else decontaminate.value_of(w) for k, w in zip(kind, raw, strict=True)]
+    return {k: (tuple(token[k : k + width]), tuple(v for v in value[k : k + width] if v is not None)) for k in range(len(token) - width + 1) if any(v is None for v in value[k : k + width])}
+
+
+def test_decontamination_equals_brute_force(spark):
+    """At one place of a document windows add up, scattered ones don't, and slots are held together over all of a place."""
+    item = "A train from Lisbon travels 120 km in 2 hours and then 60 km in 1 hour; how far does it go in all when the wind is strong and the driver rests for 15 minutes?"
+    words = item.split()
+    filler = lambda n: " ".join(RNG.choice(WORDS) for _ in range(n))
+    scattered = " ".join(" ".join(words[k : k + 7]) + " " + filler(90) for k in range(0, len(words) - 4, 3))
+    shifted = " ".join([*words[:16], "indeed", "so", *words[16:]])
+    torn = " ".join(words[:16]).replace("120", "7") + " now " + " ".join(words[16:]).replace("60", "8")
+    texts = [item, filler(50) + " " + item + " " + filler(50), scattered, shifted, torn, item.replace("120", "300").replace("60", "90"), filler(300), None, "", (filler(400) + " ") * 40 + item, item]
+    docs = spark.createDataFrame([(None if k == 10 else k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumns({"item_id": F.lit("x"), "key": F.lit(1)})
+    bench = spark.createDataFrame([(1, item), (2, "how far does it go in all"), (3, None)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["n_matched"], r["n_exact"]) for r in decontaminate.contamination(docs, bench).collect()), key=str)
+    want = set()
+    for k, t in enumerate(texts):
+        for i, b in ((1, item), (2, "how far does it go in all")):
+            mine, its = brute_windows(t, 5), brute_windows(b, 5)
+            lines = {}
+            for at, (w, slots) in mine.items():
+                for place, (v, own) in its.items():
+                    if v == w:
+                        lines.setdefault(at - place, []).append((place, slots == own, set(zip(own, slots, strict=True))))
+            one = lambda pairs: len({a for a, _ in pairs}) == len(pairs)
+            best = exact = 0
+            size = max(len(its), 10)
+            for tile in {x for s in lines for x in (s // size * 2, int((s + size / 2) // size) * 2 + 1)}:
+                near = [v for s, v in lines.items() if tile in (s // size * 2, int((s + size / 2) // size) * 2 + 1)]
+                fits = [v for v in near if one(set().union(*(p for *_, p in v)))]
+                same = {p for v in near for p, e, _ in v if e}
+                if one(set().union(*(p for v in fits for *_, p in v))):
+                    n = len({p for v in fits for p, *_ in v} | {p for v in near if v not in fits for p, e, _ in v if e})
+                else:
+                    n = max([len({p for p, *_ in v}) for v in fits] + [len(same)])
+                best, exact = max(best, n), max(exact, len(same))
+            if best >= 0.8 * len(its):
+                want.add((None if k == 10 else k // 2, i, best, exact))
+    assert set(got) == want
+    kept = [r["text"] for r in decontaminate.decontaminate(docs, bench.where("item_id = 1")).collect()]
+    assert scattered in kept and None in kept and item not in kept and len(kept) < len(texts)
