@@ -123,7 +123,8 @@ def source_authority(profiles: bool) -> Column:
 def evaluated(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """rows with these columns, worked out once a row in a step of its own. The optimizer neither repeats their
     expressions in those that use them nor infers anything from them, so plans stay as long as they are written."""
-    return rows.drop(*columns).select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def score_articles(articles: DataFrame, now: Column, favorites: list[dict] | None = None, geo: bool = False, profiles: bool = False) -> DataFrame:

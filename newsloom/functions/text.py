@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what remains when their marks are taken away.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŠšŽž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYSsZz"
+
+
+def compatibility(first: int, last: int) -> tuple[str, str, dict[str, str]]:
+    """Of the characters in this range: those that decompose to another one (marks aside), these, and those that become several."""
+    one, other, several = [], [], {}
+    for k in range(first, last):
+        c = chr(k)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
+        if plain != c and len(plain) == 1:
+            one.append(c)
+            other.append(plain)
+        elif plain != c and plain and unicodedata.category(c)[0] == "L":
+            several[c] = plain
+    return "".join(one), "".join(other), several
+
+
+#: By rule: Latin, Greek and Cyrillic letters with marks, superscripts, letter-like signs, and full-width forms.
+ACCENTED, PLAIN = (a + b + c for a, b, c in zip(compatibility(0xA0, 0x530)[:2], compatibility(0x1E00, 0x2190)[:2], compatibility(0xFF01, 0xFF5F)[:2], strict=True))
+#: Letters that become several: ligatures and digraphs, and those of the presentation forms.
+LIGATURES = compatibility(0xA0, 0x530)[2] | compatibility(0xFB00, 0xFB07)[2]
 # Words that a title may start with and that don't belong to the story.
 STORY_PREFIXES = ["just nu", "live", "klart", "officiellt", "uppgifter", "uppgift"]
 DUPLICATE_PREFIXES = ["just nu", "live", "breaking", "klart", "officiellt", "official"]
@@ -23,8 +42,14 @@ def let(value: Column, use) -> Column:  # noqa: ANN001
 
 
 def fold(c: Column) -> Column:
-    """Letters without their accents, and no combining marks."""
-    return F.regexp_replace(F.translate(text(c), ACCENTED, PLAIN), "[\\u0300-\\u036f]", "")
+    """Compatibility decomposition without combining marks, of the characters above; others stay."""
+    out = F.translate(text(c), ACCENTED, PLAIN)
+    # Most texts have none of these, and then one look is all they take.
+    split = out
+    for letter, plain in LIGATURES.items():
+        split = F.replace(split, F.lit(letter), F.lit(plain))
+    out = F.when(out.rlike(f"[{''.join(LIGATURES)}]"), split).otherwise(out)
+    return F.regexp_replace(out, "[\\u0300-\\u036f]", "")
 
 
 def collapse(c: Column) -> Column:
@@ -105,8 +130,10 @@ def jaccard(a: Column, b: Column) -> Column:
 def trigrams(c: Column, collapsed: bool = False) -> Column:
     """Distinct 3-character windows of a title padded by two spaces on each side, or by one if collapsed."""
     pad = F.lit(" " if collapsed else "  ")
-    windows = lambda padded: F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.array_distinct(let(F.concat(pad, c, pad), windows)))
+    # Split once: a substring would walk to its start in every window.
+    chars = F.split(F.concat(pad, c, pad), "")
+    windows = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.array_distinct(let(F.filter(chars, lambda x: x != ""), windows)))
 
 
 def title_similarity(a: Column, b: Column, collapsed: bool = False) -> Column:

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.classify import angle, banned_hockey, canonical_event, event_key, junior_team
+from newsloom.functions import editorial
+from newsloom.functions.classify import angle, banned_hockey, junior_team
 from newsloom.functions.text import normalize, story_title, text
 
 
@@ -140,6 +141,9 @@ def decide(candidates: list[Candidate], event_keys: list[str | None], blocked: l
     return verdicts
 
 
+NO_ASSESSMENT = "struct<version:int,title:string,category:string,status:string,badge:string,breaking:boolean,evidence:string,assessed_at:timestamp,model:string>"
+
+
 def prepared(items: DataFrame, sport: Column) -> DataFrame:
     """items (title, url, source, published_at) with what the rules need of each row."""
     title = normalize(F.col("title"))
@@ -149,9 +153,13 @@ def prepared(items: DataFrame, sport: Column) -> DataFrame:
         .when((sport == "hockey") & banned_hockey(title), "banned")
         .when(junior_team(title), "junior")
     )
+    # Of an article with an assessment that is valid for it, this tells the event.
+    tags = F.col("tags") if "tags" in items.columns else F.array().cast("array<string>")
+    a = F.col("editorial_assessment") if "editorial_assessment" in items.columns else F.lit(None).cast(NO_ASSESSMENT)
+    a = F.when(editorial.valid(a, F.col("title")), a)
     return items.withColumns({
-        "_title": story_title(F.col("title")), "_rule": rule, "_event_key": event_key(title, F.col("published_at")),
-        "_event": canonical_event(title), "_angle": angle(title), "_ms": F.unix_millis(F.col("published_at").cast("timestamp")),
+        "_title": story_title(F.col("title")), "_rule": rule, "_event_key": editorial.event_key(a, F.col("title"), tags, F.col("published_at")),
+        "_event": editorial.canonical_event(a, F.col("title"), tags), "_angle": angle(title), "_ms": F.unix_millis(F.col("published_at").cast("timestamp")),
     })
 
 

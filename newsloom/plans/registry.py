@@ -60,7 +60,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 A = r"""WITH art AS (SELECT doc_id, doc_id AS id, CASE WHEN lang = 'en' THEN 'football' ELSE 'hockey' END AS sport, string_split_regex(text, '[.!?][ \t]|\n')[1] AS title,
  'https://Example.org/' || source || '/' || (doc_id // 2)::VARCHAR || '/?q=' || doc_id::VARCHAR AS url, source,
  TIMESTAMP '2024-01-01' + to_minutes(((doc_id * 7919) % 10080)::BIGINT) AS published_at, doc_id AS ordinal, (doc_id % 100)::INT AS priority FROM documents)"""
-FROM, TO = X.ACCENTED, X.PLAIN
+FROM, TO = (t.replace("'", "''") for t in (X.ACCENTED, X.PLAIN))
 
 
 def fold_sql(c: str) -> str:
@@ -310,8 +310,7 @@ def j08_hide_read(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.u = b.u AND a.sport = b.sport AND a.doc_id < b.doc_id AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 21600000000"""
 )
 def j17_url_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = graph.similar_pairs(articles(spark, sf_dir))
-    return pairs.where("kind = 'canonical-url'").select("a", "b")
+    return graph.same_urls(articles(spark, sf_dir))
 
 
 @query("SELECT n_name, n_nationkey FROM nation GROUP BY ALL HAVING count(*) = 1")
