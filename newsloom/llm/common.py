@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Batches of rows go to Python with at most so many bytes, however long their texts are; a smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "67108864b").rstrip("b")
+    if not now.isdigit() or int(now) > limit or int(now) <= 0:
+        spark.conf.set(key, f"{limit}b")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session; where none is set, a temporary one, which only a local session can use."""
     sc = spark.sparkContext
@@ -51,6 +59,21 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write df as a table in the warehouse, in buckets of a key, and read it: grouping by the key doesn't shuffle it."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Deletes a table that `bucketed` wrote and that nothing will read again."""
+    found = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    for name in found:
+        if name.startswith("bucketed_"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of jobs whose results are written: it does so when the driver's garbage goes."""
     spark.sparkContext._jvm.System.gc()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialized
+from newsloom.llm.common import bound_batches, materialized
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?(%|[a-z]{1,4})?", re.I)
 UNITS = frozenset(
@@ -158,6 +158,7 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 
 def _held(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, width: int, share: float, max_broadcast: int) -> DataFrame:
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
     made = template_windows(items, width, [width], None, True)
     made = materialized(made.select(

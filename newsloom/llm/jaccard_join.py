@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialized
+from newsloom.llm.common import bound_batches, materialized
 from newsloom.llm.components import components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -253,6 +253,7 @@ def jaccard_join(
     levels: int = 3, branch: float = 1.25, small: int = 64, block: int = 1024,
 ) -> DataFrame:
     """doc_id, class_id (the smallest id of the class), n_links (other documents with a similarity of `threshold` or more)."""
+    bound_batches(docs.sparkSession)
     runs = runs_for(recall, levels, branch, threshold)
     # Ids go through Python as strings, which nulls and large numbers don't change. A text is told by its id and hash.
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("string").alias("key"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))

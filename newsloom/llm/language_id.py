@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import bound_batches
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: The most bytes of dictionaries that are sent to the tasks: those of about 600 languages of full size.
 MOST_BYTES = 1 << 26
@@ -62,6 +64,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
 
     keep: with all columns of docs; theirs of the same names go.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

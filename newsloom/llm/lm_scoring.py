@@ -31,12 +31,13 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import crc_mod, discard, materialized, packed_sorted, release, unpacked_sorted
+from newsloom.llm.common import bound_batches, bucketed, crc_mod, discard, drop_bucketed, materialized, packed_sorted, release, unpacked_sorted
 
 END = b"\n"  # white space is never in a word
+MOST_BUCKETS = 10_000  # of the states of blocks; a bucket holds one block, or several beyond as many
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -184,22 +185,33 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """An array, byte by byte of its numbers, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+
+def unplaned(blob: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+#: What a block keeps. Of counts only whether they reach the bars is used, so `n` stops at 255; probabilities of shorter
+#: states are kept as singles, sums are made of doubles.
+STATE = {"places": "<u4", "lengths": "<i8", "held": "|u1", "hashes": "<u8", "n": "|u1", "log_p": "<f4"}
+
+
 def pack(state: dict[str, np.ndarray]) -> bytes:
-    """The arrays of a block. `n` and `log_p` go as distinct values, of which `values` has the place of each."""
-    if "values" not in state:
-        log_p, values = np.unique(state["log_p"], return_inverse=True)
-        state = state | {"log_p": log_p, "values": values.astype("<u4"), "n": state["n"].astype("<u4")}
     out = io.BytesIO()
-    np.savez(out, **state)
-    return zstandard.ZstdCompressor(level=1).compress(out.getbuffer())
+    np.savez(out, **{k: np.frombuffer(planes(np.minimum(state[k], 255).astype(t) if k == "n" else state[k].astype(t)), np.uint8) for k, t in STATE.items()})
+    return out.getvalue()
 
 
 def unpack(state: bytes) -> dict[str, np.ndarray]:
-    out = dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(state))))
-    values = out.pop("values")
-    if not len(values):  # before any depth: one for each word
-        out["n"], values = out["n"][out["places"]], out["places"]
-    out["log_p"] = out["log_p"][values]
+    held = np.load(io.BytesIO(state))
+    out = {k: unplaned(held[k].tobytes(), t) for k, t in STATE.items()}
+    if len(out["n"]) != len(out["places"]):  # before any depth: one for each word
+        out["n"], out["log_p"] = out["n"][out["places"]], out["log_p"][out["places"]]
+    out["held"], out["log_p"] = out["held"].astype(bool), out["log_p"].astype(np.float64)
     return out
 
 
@@ -217,20 +229,34 @@ def candidates(state: dict[str, np.ndarray], depth: int, least: int, least_next:
     return at, context, at[both], mixed(context[both], words[at[both]])
 
 
+def entry_keys(context: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The keys of a block's distinct contexts and contexts with a next symbol, sorted. Of a context alone the key is the
+    context."""
+    return np.sort(np.concatenate([np.unique(context), np.unique(key)]))
+
+
 def entries(state: dict[str, np.ndarray], depth: int, least: int, least_next: int) -> tuple[np.ndarray, ...]:
-    """Of a block's distinct contexts and contexts with a next symbol, by key: the key, its context, its count in
-    training documents, and log10 of the probability in the shorter state. Of a context alone the key is the context."""
-    trained = np.repeat(~state["held"], state["lengths"])
+    """By sorted key: the key, its context, its count in training documents, and log10 of the probability in the shorter
+    state."""
+    trained = np.repeat(~state["held"], state["lengths"]).astype(np.int64)
     at, context, at_next, key = candidates(state, depth, least, least_next)
-    one, back = np.unique(context, return_inverse=True)
-    n = np.bincount(back, trained[at], len(one)).astype(np.int64)
-    its = context[np.searchsorted(at, at_next)]
-    two, where, back = np.unique(key, return_index=True, return_inverse=True)
-    n_two = np.bincount(back, trained[at_next], len(two)).astype(np.int64)
-    keys, contexts = np.concatenate([one, two]), np.concatenate([one, its[where]])
+
+    def grouped(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct values, the first place of each, and its count."""
+        if not len(values):
+            return values, places, np.zeros(0, np.int64)
+        order = np.argsort(values)
+        ordered = values[order]
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        return ordered[begin], order[begin], np.add.reduceat(trained[places][order], begin)
+
+    one, _, n = grouped(context, at)
+    two, first, n_two = grouped(key, at_next)
+    its = context[np.searchsorted(at, at_next[first])]
+    keys = np.concatenate([one, two])
     order = np.argsort(keys)
-    log_p = np.concatenate([np.zeros(len(one)), state["log_p"][at_next[where]]])
-    return keys[order], contexts[order], np.concatenate([n, n_two])[order], log_p[order]
+    log_p = np.concatenate([np.zeros(len(one)), state["log_p"][at_next[first]]])
+    return keys[order], np.concatenate([one, its])[order], np.concatenate([n, n_two])[order], log_p[order]
 
 
 def often_enough(states: DataFrame, depth: int, least: int, least_next: int, ranges: int) -> DataFrame:
@@ -241,12 +267,12 @@ def often_enough(states: DataFrame, depth: int, least: int, least_next: int, ran
             for block, packed in zip(batch["block"], batch["state"], strict=True):
                 keys, _, n, _ = entries(unpack(packed), depth, least, least_next)
                 for r, a, b in range_bounds(keys, ranges):
-                    counts = zstandard.ZstdCompressor(level=1).compress(np.minimum(n[a:b], least_next).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+                    counts = planes(np.minimum(n[a:b], least_next).astype("<u4"))
                     yield pd.DataFrame({"block": [block], "range": [r], "keys": [packed_sorted(keys[a:b])], "counts": [counts]})
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         keys = [unpacked_sorted(k) for k in group["keys"]]
-        n = [np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint8).reshape(4, -1).T).view("<u4").ravel() for c in group["counts"]]
+        n = [unplaned(c, "<u4") for c in group["counts"]]
         one, back = np.unique(np.concatenate(keys), return_inverse=True)
         enough = (np.bincount(back, np.concatenate(n), len(one)) >= least_next)[back]
         ends = np.cumsum([len(k) for k in keys])[:-1]
@@ -258,11 +284,23 @@ def often_enough(states: DataFrame, depth: int, least: int, least_next: int, ran
 
 def range_bounds(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
     """The ranges of equal width that hold sorted keys, and where the keys of each begin and end."""
-    edges = [((1 << 64) * r // ranges) for r in range(1, ranges)]
+    edges = [-(-(r << 31) // ranges) << 33 for r in range(1, ranges)]
     ends = [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
     return ((r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a)
 
 
+def range_of(key: Column, ranges: int) -> Column:
+    """The same of one key."""
+    return F.shiftright(F.shiftrightunsigned(key, 33) * ranges, 31).cast("int")
+
+
+def kept_entries(keys: np.ndarray, bits: dict[int, bytes], ranges: int) -> np.ndarray:
+    enough = np.zeros(len(keys), bool)
+    for r, a, b in range_bounds(keys, ranges):
+        enough[a:b] = np.unpackbits(np.frombuffer(bits[r], np.uint8), count=b - a)
+    return enough
+
+
 def sent(states: DataFrame, often: DataFrame, depth: int, least: int, least_next: int, ranges: int) -> DataFrame:
     """block, context, key, n, shorter: the entries of the blocks that the corpus has often enough. states with bits."""
     bits = often.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("bits"))
@@ -271,10 +309,7 @@ def sent(states: DataFrame, often: DataFrame, depth: int, least: int, least_next
         for batch in batches:
             for block, packed, found in zip(batch["block"], batch["state"], batch["bits"], strict=True):
                 keys, context, n, log_p = entries(unpack(packed), depth, least, least_next)
-                bits = {x["range"]: x["bits"] for x in found}
-                enough = np.zeros(len(keys), bool)
-                for r, a, b in range_bounds(keys, ranges):
-                    enough[a:b] = np.unpackbits(np.frombuffer(bits[r], np.uint8), count=b - a)
+                enough = kept_entries(keys, {x["range"]: x["bits"] for x in found}, ranges)
                 rows = pd.DataFrame({"block": block, "context": context[enough].view(np.int64), "key": keys[enough].view(np.int64), "n": n[enough], "shorter": log_p[enough]})
                 for k in range(0, len(rows), 200_000):
                     yield rows[k : k + 200_000]
@@ -282,11 +317,39 @@ def sent(states: DataFrame, often: DataFrame, depth: int, least: int, least_next
     return states.select("block", "state").join(bits, "block").mapInPandas(run, "block long, context long, key long, n long, shorter double")
 
 
-def kept_contexts(found: DataFrame, least_next: int, least_bits: float, prior: float) -> DataFrame:
+def answered(states: DataFrame, often: DataFrame, model: DataFrame, depth: int, least: int, least_next: int, ranges: int) -> DataFrame:
+    """block, range, bits, n, log_p: of the entries of a block that the corpus has often enough, in the order of their
+    keys, the count (up to 255) and log_p that the model has; where it has none, 0 and NaN."""
+    bits = often.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("bits"))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, packed, found in zip(batch["block"], batch["state"], batch["bits"], strict=True):
+                _, context, _, key = candidates(unpack(packed), depth, least, least_next)
+                keys = entry_keys(context, key)
+                mine = {x["range"]: x["bits"] for x in found}
+                enough = kept_entries(keys, mine, ranges)
+                for r, a, b in range_bounds(keys, ranges):
+                    yield pd.DataFrame({"block": [block], "range": [r], "bits": [mine[r]], "keys": [packed_sorted(keys[a:b][enough[a:b]])]})
+
+    def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        keys = known["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys, log_p, n = keys[order], known["log_p"].to_numpy(np.float64)[order], known["n"].to_numpy(np.int64)[order]
+        out = []
+        for block, r, bits, packed in zip(asked["block"], asked["range"], asked["bits"], asked["keys"], strict=True):
+            wanted = unpacked_sorted(packed)
+            out.append((block, r, bits, planes(np.minimum(look_up(keys, n, wanted, 0), 255).astype("|u1")), planes(look_up(keys, log_p, wanted, np.nan).astype("<f8"))))
+        return pd.DataFrame(out, columns=["block", "range", "bits", "n", "log_p"])
+
+    asked = states.select("block", "state").join(bits, "block").mapInPandas(ask, "block long, range int, bits binary, keys binary")
+    known = model.select(range_of(F.col("key"), ranges).alias("range"), "key", "n", "log_p")
+    return asked.groupBy("range").cogroup(known.groupBy("range")).applyInPandas(answer, "block long, range int, bits binary, n binary, log_p binary")
+
+
+def kept_contexts(counts: DataFrame, least_bits: float, prior: float) -> DataFrame:
     """context, key, n, log_p: of the next symbols that reach the bar the counts, and log10 of the probability if the
     context is kept; of kept contexts alone, log10 of the factor for all other symbols."""
-    counts = found.groupBy("context", "key").agg(F.sum("n").alias("n"), F.max("shorter").alias("shorter")).where(F.col("n") >= least_next)
-    counts = materialized(counts)
     alone = F.col("key") == F.col("context")
     totals = counts.where(alone).select("context", F.col("n").alias("total"))
     p, q = F.col("n") / (F.col("total") + prior), F.pow(F.lit(10.0), "shorter")
@@ -298,22 +361,24 @@ def kept_contexts(found: DataFrame, least_next: int, least_bits: float, prior: f
     return counts.join(kept, "context", "left").where(~alone | F.col("total").isNotNull()).select("context", "key", "n", log_p.alias("log_p"))
 
 
-def deeper_states(d: int, last: bool, least: int, least_next: int):  # noqa: ANN201
-    """The function that takes what the corpus keeps of a block's contexts of d words into its state, or its scores."""
+def deeper_states(d: int, last: bool, least: int, least_next: int, ranges: int):  # noqa: ANN201
+    """The function that takes the answers on a block's contexts of d words into its state, or its scores."""
 
     def deeper(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         state = unpack(right["state"].iloc[0])
-        keys = left["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        keys, log_p, of_n = keys[order], left["log_p"].to_numpy(np.float64)[order], left["n"].to_numpy(np.int64)[order]
+        left = left.sort_values("range")
         at, context, at_next, key = candidates(state, d, least, least_next)
+        keys = entry_keys(context, key)
+        keys = keys[kept_entries(keys, dict(zip(left["range"], left["bits"], strict=True)), ranges)]
+        join = lambda c, kind: np.concatenate([unplaned(x, kind) for x in left[c]]) if len(left) else np.zeros(0, kind)
+        log_p, of_n = join("log_p", "<f8"), join("n", "|u1").astype(np.int64)
         now, at_n = state["log_p"].copy(), np.zeros(len(state["n"]), np.int64)
         escape = look_up(keys, log_p, context, np.nan)
         now[at] += np.nan_to_num(escape)
         own = look_up(keys, log_p, key, np.nan)
         now[at_next[~np.isnan(own)]] = own[~np.isnan(own)]
         at_n[at_next] = look_up(keys, of_n, key, 0)
-        block = right["of_block"].to_numpy()[:1]
+        block = right["block"].to_numpy()[:1]
         if not last:
             return pd.DataFrame({"block": block, "state": [pack(state | {"n": at_n, "log_p": now})]})
         scores = np.add.reduceat(now, np.cumsum(state["lengths"]) - state["lengths"])
@@ -334,6 +399,7 @@ def score_documents(
     """
     key = F.col(doc_id)
     slim = docs.select(key.alias("doc_id"), F.col(text).alias("text"), F.coalesce(crc_mod(key, folds) == held_fold, F.lit(False)).alias("held_out"))
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     coded = materialized(encode(slim))
     lists = coded.where(F.col("token").isNotNull()).select("block", "place", "token", "trained")
@@ -356,31 +422,37 @@ def score_documents(
             "n_known": total((c[places] > 0).astype(np.int64)), "train_tokens": n, "base_score": total(base[places]), "state": None,
         })
         held = right["held_out"].to_numpy(bool)
-        out.loc[0, "state"] = pack({"places": places, "lengths": lengths, "held": held, "hashes": hashes.view(np.uint64), "n": c, "log_p": base, "values": np.zeros(0, "<u4")})
+        out.loc[0, "state"] = pack({"places": places, "lengths": lengths, "held": held, "hashes": hashes.view(np.uint64), "n": c, "log_p": base})
         return out
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"block long, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, state binary"
     began = materialized(answers.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(begun, schema))
+    # In buckets, so that a depth shuffles the answers to the states and not the states.
+    states = began.where(F.col("state").isNotNull()).select("block", "state")
+    buckets = min(MOST_BUCKETS, max(1, states.count()))
+    states, done = bucketed(states, "block", buckets), materialized(began.drop("state"))
+    discard(began)
     discard(coded)
     discard(counts)
     release(spark)
-    states = began.where(F.col("state").isNotNull()).select("block", "state")
     ranges = max(1, -(-(n or 0) // range_tokens))
     for d in range(1, depth + 1):
         often = materialized(often_enough(states, d, least, least_next, ranges))
         release(spark)
         found = sent(states, often, d, least, least_next, ranges)
-        model = materialized(kept_contexts(found, least_next, max(min_bits, min_gain * n), prior))
+        found = materialized(found.groupBy("context", "key").agg(F.sum("n").alias("n"), F.max("shorter").alias("shorter")).where(F.col("n") >= least_next))
         release(spark)
-        # A key is of one context, so it alone finds its row.
-        known = found.select("block", "key").join(model.select("key", "n", "log_p"), "key").select("block", "key", "n", "log_p")
-
-        mine = states.withColumnRenamed("block", "of_block").groupBy("of_block")
+        model = materialized(kept_contexts(found, max(min_bits, min_gain * n), prior))
+        discard(found)
+        release(spark)
+        known = answered(states, often, model, d, least, least_next, ranges)
         result = "block long, state binary" if d < depth else "block long, row long, score double"
-        deeper = materialized(known.groupBy("block").cogroup(mine).applyInPandas(deeper_states(d, d == depth, least, least_next), result))
-        for used in [often, model, *([states] if d > 1 else [])]:
+        deeper = known.groupBy("block").cogroup(states.groupBy("block")).applyInPandas(deeper_states(d, d == depth, least, least_next, ranges), result)
+        deeper = materialized(deeper) if d == depth else bucketed(deeper, "block", buckets)
+        for used in (often, model):
             discard(used)
+        drop_bucketed(states)
         states = deeper
         release(spark)
-    return began.drop("state").join(states, ["block", "row"]).drop("block", "row")
+    return done.join(states, ["block", "row"]).drop("block", "row")

@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialized
+from newsloom.llm.common import bound_batches, materialized
 
 SPACE_RUN = re.compile(r" \s")
 #: The only added token of byte_bpe_50k.json, and its id.
@@ -78,7 +78,10 @@ def pieces_of(docs: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", tex
     added_tokens: the string of the tokenizer's added token is that token, else ordinary text.
     """
     path = tokenizer or str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    bound_batches(docs.sparkSession)
+    # Ids go through Python as strings, which nulls and large numbers don't change.
+    slim = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.select(F.col(doc_id)).schema[0].dataType
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,8 +100,8 @@ def pieces_of(docs: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", tex
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
             yield out if keep_ids else out.drop(columns="ids")
 
-    schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    return slim.mapInPandas(run, schema + ", ids binary" * keep_ids)
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long"
+    return slim.mapInPandas(run, schema + ", ids binary" * keep_ids).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +131,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = 200_000) -> DataFrame:
     """pieces (doc_id, piece, length and others; lengths from 1 to capacity) with sequence_id and offset."""
-    pieces = materialized(pieces)
+    kind, pieces = pieces.schema["doc_id"].dataType, materialized(pieces.withColumn("doc_id", F.col("doc_id").cast("string")))
     small = pieces.where(F.col("length") < capacity)
     shards = max(1, -(-small.count() // shard_pieces))
     columns = pieces.columns
@@ -142,4 +145,4 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = 200_000) -
     dealt = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     full = pieces.where(F.col("length") == capacity)
     full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return dealt.groupBy("shard").applyInPandas(packed, schema).unionByName(full)
+    return dealt.groupBy("shard").applyInPandas(packed, schema).unionByName(full).withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import SPACES, materialized
+from newsloom.llm.common import SPACES, bound_batches, materialized
 
 MARK = "\x01"
 BOUNDARY = r"([.!?][ \t\n\x0B\f\r]+|\n+)"
@@ -78,6 +78,7 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
 
     Building it runs a job, which writes the first place of each repeated run.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = runs(slim, length, min_words)
     place = F.struct(F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"), F.col("at").alias("at"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import discard, materialized, packed_sorted, release, unpacked_sorted
+from newsloom.llm.common import bound_batches, discard, materialized, packed_sorted, release, unpacked_sorted
 
 BLOCK = 1 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -229,6 +229,7 @@ def repeated_spans(docs: DataFrame, width: int = 400, k: int = 32, shard_bytes:
 
     tables: a list that gets the tables which the result reads.
     """
+    bound_batches(docs.sparkSession)
     n_bytes = F.octet_length("text")
     long_enough = docs.where(n_bytes >= width)
     copies = long_enough.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
