@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.errors import InvalidInput
 from newsloom.functions.text import is_uuid, match_score, normalize, normalize_browse
 from newsloom.operators.relational import first_of
 
@@ -65,7 +66,7 @@ def search_entities(entities: DataFrame, sport: str, query: str, kind: str | Non
     """id, sport, type, name, slug, score: the search of the entity endpoint. An empty query with a kind lists that kind;
     otherwise a query needs two characters. limit: from 1 to 500, 30 by default."""
     if sport not in ("football", "hockey"):
-        raise ValueError(f"unknown sport: {sport}")
+        raise InvalidInput(f"unknown sport: {sport}", sport=sport)
     query, limit = query.strip()[:120], min(max(LIMIT if limit is None else int(limit), 1), MOST)
     own = entities.where(F.col("sport") == sport)
     own = own.where(F.col("type") == kind) if kind else own

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.errors import InvalidInput
 from newsloom.functions.scoring import score_articles
 from newsloom.operators import graph, rank, relational
 
@@ -25,9 +26,9 @@ class FeedRequest:
 
     def __post_init__(self) -> None:
         if self.sport not in self.floors:
-            raise ValueError(f"unknown sport: {self.sport}")
+            raise InvalidInput(f"unknown sport: {self.sport}", sport=self.sport)
         if not 1 <= self.limit <= 30:
-            raise ValueError("limit must be from 1 to 30")
+            raise InvalidInput("limit must be from 1 to 30", limit=self.limit)
 
 
 def ingest(items: DataFrame, known: DataFrame, now: Column, per_feed: int = 80, hours: float = 12) -> tuple[DataFrame, DataFrame]:

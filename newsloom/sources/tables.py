@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.operators.relational import merge_delete, merge_insert_ignore, merge_update_when, merge_upsert
+from newsloom.operators.relational import merge_update_when, merge_upsert
 
 
 def read(spark: SparkSession, path: str, kind: str = "parquet", **options: str) -> DataFrame:
@@ -26,49 +27,36 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-class VersionedTable:
-    """A Parquet table whose versions are folders: a merge writes the next one whole, and readers take the last that
-    has been completed (Spark's _SUCCESS file), so a lost job leaves the table as it was."""
+def rewrite(spark: SparkSession, name: str, merged: Callable[[DataFrame], DataFrame]) -> None:
+    """Replaces the rows of a catalog table by what `merged` makes of them, for instance a keyed merge of `relational`.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    The new rows are written beside the table first, so a lost job leaves it as it was. A table format with its own MERGE
+    does the same without writing unchanged rows again; the merges here are plain transforms for the others.
+    """
+    old, staged = spark.table(name), f"{name}_{uuid.uuid4().hex}"
+    merged(old).select(*old.columns).write.saveAsTable(staged)
+    try:
+        spark.table(staged).write.insertInto(name, overwrite=True)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
 
-    def _fs(self):  # noqa: ANN202
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at, jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> int:
-        fs, at, path = self._fs()
-        if not fs.exists(at):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(path(f"{s.getPath()}/_SUCCESS"))]
-        return max((int(n[1:]) for n in done if n.startswith("v")), default=0)
+def replaced_subscriptions(old: DataFrame, new: DataFrame, device: str, endpoint: str, ordinal: str) -> DataFrame:
+    """old with all subscriptions of the new ones' devices disabled, then the new ones by endpoint."""
+    off = old.join(new.select(F.col(device)).distinct().withColumn("_off", F.lit(True)), device, "left")
+    off = off.withColumn("enabled", F.col("enabled") & F.col("_off").isNull()).drop("_off")
+    return merge_upsert(off, new.withColumn("enabled", F.lit(True)), [endpoint], ordinal).select(*old.columns)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}")
 
-    def write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
+def without_gone(subscriptions: DataFrame, results: DataFrame, endpoint: str = "endpoint") -> DataFrame:
+    """Subscriptions whose endpoint answered a delivery with HTTP 404 or 410 are disabled. results: endpoint, status."""
+    gone = results.where(F.col("status").isin(404, 410)).select(endpoint).distinct().withColumn("enabled", F.lit(False))
+    return merge_update_when(subscriptions, gone, [endpoint], "enabled", F.lit(True))
 
-    def insert_ignore(self, source: DataFrame, keys: Sequence[str], ordinal: str) -> None:
-        old = self.read()
-        self.write(old.unionByName(merge_insert_ignore(old, source, keys, ordinal).select(*old.columns)))
 
-    def upsert(self, source: DataFrame, keys: Sequence[str], ordinal: str) -> None:
-        self.write(merge_upsert(self.read(), source, keys, ordinal))
-
-    def update_when(self, changes: DataFrame, keys: Sequence[str], column: str, guard) -> None:  # noqa: ANN001
-        self.write(merge_update_when(self.read(), changes, keys, column, guard))
-
-    def delete(self, gone: DataFrame, keys: Sequence[str]) -> None:
-        self.write(merge_delete(self.read(), gone, keys))
-
-    def replace_subscription(self, new: DataFrame, device: str, endpoint: str, ordinal: str) -> None:
-        """Disables a device's subscriptions, then writes the new ones by endpoint."""
-        off = self.read().join(new.select(F.col(device)).distinct().withColumn("_off", F.lit(True)), device, "left")
-        off = off.withColumn("enabled", F.col("enabled") & F.col("_off").isNull()).drop("_off")
-        self.write(merge_upsert(off, new.withColumn("enabled", F.lit(True)), [endpoint], ordinal))
+def counters(events: DataFrame, reason: str = "reason") -> DataFrame:
+    """reason, n: how often each reason was met; nulls are no reason."""
+    return events.where(F.col(reason).isNotNull()).groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
 
 
 def deliver(rows: DataFrame, send: Callable[[list[dict]], None] | None = None, batch: int = 500) -> int:

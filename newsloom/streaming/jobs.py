@@ -67,6 +67,39 @@ def rate_limited(stream: DataFrame, key: str, time: str, limits: list[tuple[floa
     )
 
 
+def within_windows(times: list[float], window: tuple[float, int] | None, seconds: float, most: int) -> tuple[list[bool], tuple[float, int]]:
+    """Which requests (seconds, ascending) a fixed window lets pass; a window opens with the first request after the last
+    one's end. And the window (start, count) that later ones still see."""
+    start, count = window if window else (float("-inf"), 0)
+    out = []
+    for t in times:
+        if t >= start + seconds:
+            start, count = t, 0
+        ok = count < most
+        count += ok
+        out.append(ok)
+    return out, (start, count)
+
+
+def window_limited(stream: DataFrame, key: str, time: str, seconds: int = 60, most: int = 60) -> DataFrame:
+    """The stream's key and time with `accepted`. The state of a key is its open window, and goes when that is over."""
+    kind = stream.schema[key].dataType.simpleString()
+
+    def run(key_value: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        window = state.get if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        ok, window = within_windows([t.timestamp() for t in rows["at"]], window, seconds, most)
+        state.update(window)
+        state.setTimeoutDuration(seconds * 1000)
+        yield pd.DataFrame({key: key_value[0], "at": rows["at"], "accepted": ok})
+
+    slim = stream.select(F.col(key), F.col(time).cast("timestamp").alias("at"))
+    return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at timestamp, accepted boolean", "start double, count int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Runs handle on every micro-batch. The handler must be idempotent by batch id, for instance a keyed merge."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
