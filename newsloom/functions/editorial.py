@@ -119,14 +119,19 @@ def event_category(a: Column, title: Column, tags: Column) -> Column:
     return F.when(a.isNotNull(), by_assessment).when(~candidate(title, F.lit(""), tags), classify.first_rule(said, EVENT_CATEGORIES))
 
 
+def json_kind(answer: Column, key: str) -> Column:
+    """What a key of a JSON object holds: BOOLEAN, STRING, a number's type; null for what is no JSON."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(answer), f"$.{key}", "variant"))
+
+
 def model_result(answer: Column, title: Column, summary: Column) -> Column:
     """The assessment fields of a model's JSON answer, or null if it isn't exactly what was asked for: these keys, known
     values, and evidence of 4 to 400 characters that stands literally in title or summary."""
     v = F.from_json(answer, "category string, status string, badge string, breaking boolean, evidence string")
     keys = F.array_sort(F.json_object_keys(answer)) == F.array(*[F.lit(k) for k in MODEL_KEYS])
-    raw = F.get_json_object(answer, "$.breaking")
+    typed = (json_kind(answer, "breaking") == "BOOLEAN") & (json_kind(answer, "evidence") == "STRING")
     evidence = (F.length(F.trim(v["evidence"])) >= 4) & (F.length(v["evidence"]) <= 400) & (F.contains(text(title), v["evidence"]) | F.contains(text(summary), v["evidence"]))
-    fits = keys & v["category"].isin(CATEGORIES) & v["status"].isin(STATUSES) & (v["badge"].isNull() | v["badge"].isin(BADGES)) & raw.isin("true", "false") & evidence
+    fits = keys & v["category"].isin(CATEGORIES) & v["status"].isin(STATUSES) & (v["badge"].isNull() | v["badge"].isin(BADGES)) & typed & evidence
     return F.when(F.coalesce(fits, F.lit(False)), v)
 
 
@@ -136,7 +141,8 @@ def story_verdict(answer: Column, title_a: Column, title_b: Column) -> Column:
     v = F.from_json(answer, "same_event boolean, material_update boolean, confidence double, evidence_a string, evidence_b string")
     keys = F.array_sort(F.json_object_keys(answer)) == F.array(*[F.lit(k) for k in VERDICT_KEYS])
     shown = lambda e, t: F.length(e).between(4, 160) & F.contains(text(t), e)
-    fits = keys & v["same_event"].isNotNull() & v["material_update"].isNotNull() & v["confidence"].between(0, 1) & shown(v["evidence_a"], title_a) & shown(v["evidence_b"], title_b)
+    typed = (json_kind(answer, "same_event") == "BOOLEAN") & (json_kind(answer, "material_update") == "BOOLEAN") & (json_kind(answer, "confidence") != "STRING")
+    fits = keys & typed & v["same_event"].isNotNull() & v["material_update"].isNotNull() & v["confidence"].between(0, 1) & shown(v["evidence_a"], title_a) & shown(v["evidence_b"], title_b)
     confirmed = v["same_event"] & ~v["material_update"] & (v["confidence"] >= 0.9)
     return F.when(F.coalesce(fits, F.lit(False)), F.struct(v["same_event"], v["material_update"], v["confidence"], confirmed.alias("confirmed")))
 

@@ -4,8 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from newsloom.sources import feeds
-from newsloom.sources.tables import VersionedTable
+from newsloom.operators import relational
+from newsloom.sources import feeds, tables
 from newsloom.streaming import jobs
 
 RSS = """<rss><channel><item><title><![CDATA[Isak &amp; co]]></title><link>https://a.se/1</link><pubDate>Mon, 21 Sep 2026 12:00:00 GMT</pubDate>
@@ -35,14 +35,39 @@ def test_registry_and_seed(spark, tmp_path):
     assert got == {("malmo-ff", None), ("mff", "malmo-ff")}
 
 
-def test_versioned_table(spark, tmp_path):
-    t = VersionedTable(spark, str(tmp_path / "t"))
-    t.write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
-    t.upsert(spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1)], "k int, v string, ordinal int"), ["k"], "ordinal")
-    t.insert_ignore(spark.createDataFrame([(3, "no", 1), (4, "d", 1)], "k int, v string, ordinal int"), ["k"], "ordinal")
-    t.delete(spark.createDataFrame([(1,)], "k int"), ["k"])
-    t.update_when(spark.createDataFrame([(2, "q"), (4, "q")], "k int, v string"), ["k"], "v", F.col("v") == "y")
-    assert {(r["k"], r["v"]) for r in t.read().collect()} == {(2, "q"), (3, "z"), (4, "d")}
+def test_rewrite_of_a_table(spark, tmp_path):
+    name = "rewritten"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.option("path", str(tmp_path / "t")).saveAsTable(name)
+    source = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1)], "k int, v string, ordinal int")
+    tables.rewrite(spark, name, lambda old: relational.merge_upsert(old, source, ["k"], "ordinal"))
+    more = spark.createDataFrame([(3, "no", 1), (4, "d", 1)], "k int, v string, ordinal int")
+    tables.rewrite(spark, name, lambda old: old.unionByName(relational.merge_insert_ignore(old, more, ["k"], "ordinal").select("k", "v")))
+    tables.rewrite(spark, name, lambda old: relational.merge_delete(old, spark.createDataFrame([(1,)], "k int"), ["k"]))
+    tables.rewrite(spark, name, lambda old: relational.merge_update_when(old, spark.createDataFrame([(2, "q"), (4, "q")], "k int, v string"), ["k"], "v", F.col("v") == "y"))
+    assert {(r["k"], r["v"]) for r in spark.table(name).collect()} == {(2, "q"), (3, "z"), (4, "d")}
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{name}_")] == []
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_subscriptions(spark):
+    old = spark.createDataFrame([("d", "e1", True), ("d", "e2", True), ("x", "e3", True)], "device string, endpoint string, enabled boolean")
+    new = spark.createDataFrame([("d", "e2", 1)], "device string, endpoint string, ordinal int")
+    got = {(r["endpoint"], r["enabled"]) for r in tables.replaced_subscriptions(old, new, "device", "endpoint", "ordinal").collect()}
+    assert got == {("e1", False), ("e2", True), ("e3", True)}
+    answers = spark.createDataFrame([("e1", 404), ("e2", 500), ("e3", 410), (None, 404)], "endpoint string, status int")
+    assert {(r["endpoint"], r["enabled"]) for r in tables.without_gone(old, answers).collect()} == {("e1", False), ("e2", True), ("e3", False)}
+
+
+def test_window_rule():
+    ok, window = jobs.within_windows([0, 10, 59, 60, 61, 200], None, 60, 2)
+    assert ok == [True, True, False, True, True, True] and window == (200, 1)
+
+
+def test_feed_dates_of_many_forms(spark):
+    values = ["Mon, 21 Sep 2026 12:00:00 GMT", "21 Sep 2026 14:00 +0200", "Monday, 21 Sep 2026 12:00:00 UT", "2026-09-21T14:00:00+02:00", "2026-09-21T14:00:00+0200", "2026-09-21T12:00:00.000Z", "2026-09-21 12:00:00", "soon", "", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(feeds.parse_date(F.col("v")).alias("at")).collect()
+    assert [r["at"] for r in rows] == [dt.datetime(2026, 9, 21, 12)] * 7 + [None] * 3
 
 
 def test_rate_rule():
@@ -54,12 +79,13 @@ def test_streams(spark, tmp_path):
     rows = [(f"u{k % 3}", "d", dt.datetime(2026, 9, 21, 12) + dt.timedelta(seconds=40 * k)) for k in range(6)]
     spark.createDataFrame(rows, "url string, device string, at timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("url string, device string, at timestamp").parquet(str(tmp_path / "in"))
-    for name, df in (("once", jobs.once_by(stream, "url", "at")), ("rate", jobs.rate_limited(stream, "device", "at", [(600, 3)]))):
+    for name, df in (("once", jobs.once_by(stream, "url", "at")), ("rate", jobs.rate_limited(stream, "device", "at", [(600, 3)])), ("windows", jobs.window_limited(stream, "device", "at", 60, 1))):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
         q.stop()
     assert spark.sql("SELECT count(*) AS n FROM once").first()["n"] == 3
     assert spark.sql("SELECT count_if(accepted) AS n, count(*) AS m FROM rate").first() == (3, 6)
+    assert spark.sql("SELECT count_if(accepted) AS n, count(*) AS m FROM windows").first() == (3, 6)
     seen = []
     jobs.each_batch(stream, lambda df, k: seen.append(df.count()), str(tmp_path / "ck")).awaitTermination(120)
     assert sum(seen) == 6
