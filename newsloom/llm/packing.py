@@ -36,7 +36,7 @@ ADDED, ADDED_ID = "<|endoftext|>", 50256
 class PartIds(dict):
     """The ids of ' ' + part as little-endian unsigned 32-bit numbers, filled on demand and bounded."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 120_000) -> None:
         super().__init__()
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

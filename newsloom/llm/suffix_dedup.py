@@ -36,19 +36,23 @@ BLOCK = 1 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
-@lru_cache(maxsize=4)
-def tables(seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random values of bytes, and the powers of an odd base and of its inverse, modulo 2 to the 64th."""
-    draw = np.frombuffer(b"".join(hashlib.sha256(f"{seed}:{i}".encode()).digest()[:8] for i in range(257)), np.uint64)
-    base = int(draw[256]) | 1
-    inverse = pow(base, -1, 1 << 64)
+@lru_cache(maxsize=2)
+def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd base and of its inverse, modulo 2 to the 64th. Workers keep two pairs of them."""
+    base = int.from_bytes(hashlib.sha256(b"base").digest()[:8], "little") | 1
     power = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(length, b, np.uint64)]))
-    return draw[:256], power(base), power(inverse)
+    return power(base), power(pow(base, -1, 1 << 64))
+
+
+@lru_cache(maxsize=8)
+def byte_values(seed: int) -> np.ndarray:
+    """Random values of bytes."""
+    return np.frombuffer(b"".join(hashlib.sha256(f"{seed}:{i}".encode()).digest()[:8] for i in range(256)), np.uint64)
 
 
 def window_hashes(data: np.ndarray, k: int, seed: int) -> np.ndarray:
     """A hash of every k bytes in a row."""
-    value, power, inverse = tables(seed, 1 << max(21, int(len(data)).bit_length()))
+    value, (power, inverse) = byte_values(seed), powers(1 << max(21, int(len(data)).bit_length()))
     n = len(data) - k + 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * power[: len(data)], dtype=np.uint64)])
     h = (sums[k:] - sums[:n]) * inverse[:n]
