@@ -63,34 +63,26 @@ def funnel(rows: DataFrame, stages: Sequence[tuple[str, Column]], keys: Sequence
 def phrase_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", most_words: int = 6, on: Sequence[str] = ()) -> DataFrame:
     """Pairs of texts and terms that stand in them between word boundaries, by an equi-join of word n-grams.
 
-    Both are normalised. Each text is exploded once into its n-grams of the lengths that terms have (up to most_words);
-    no pair is looked at that doesn't share one. Longer terms are joined by their first most_words words and then verified.
+    Both are normalised. Each text is exploded once into its n-grams of the lengths that terms have (up to most_words),
+    which a job finds first; no pair is looked at that doesn't share one. Longer terms are joined by their first
+    most_words words and then verified.
     """
     t = terms.withColumn("_term", normalize(F.col(term))).where("_term <> ''").withColumn("_words", F.size(tokens(F.col("_term"))))
-    words = tokens(normalize(F.col(text)))
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(most_words)),
-            lambda n: F.when(F.size("_list") >= n, F.transform(F.sequence(F.lit(0), F.size("_list") - n), lambda i: F.array_join(F.slice("_list", i + 1, n), " "))).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    listed = texts.withColumn("_list", words)
-    x = listed.withColumn("_gram", F.explode(F.array_distinct(grams))).drop("_list")
-    short = x.join(t.where(F.col("_words") <= most_words), [F.col("_gram") == F.col("_term"), *[x[c] == t[c] for c in on]])
+    # A term's key: itself, or its first most_words words.
+    t = t.withColumn("_size", F.least("_words", F.lit(most_words))).withColumn("_gram", F.array_join(F.slice(tokens(F.col("_term")), F.lit(1), F.col("_size")), " "))
+    sizes = sorted(r["_size"] for r in t.select("_size").distinct().collect())  # at most most_words
+    grams = [F.when(F.size("_list") >= n, F.transform(F.sequence(F.lit(0), F.size("_list") - n), lambda i: F.array_join(F.slice("_list", i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in sizes]  # noqa: B023
+    listed = texts.withColumn("_list", tokens(normalize(F.col(text))))
+    every = F.array_distinct(F.concat(*grams)) if sizes else F.array().cast("array<string>")
+    long = bool(sizes) and sizes[-1] == most_words
+    # The words of a text go along only where a longer term may have to be looked for.
+    said = F.concat(F.lit(" "), F.array_join("_list", " "), F.lit(" ")) if long else F.lit(None).cast("string")
+    x = listed.withColumn("_gram", F.explode(every)).withColumn("_said", F.when(F.size(F.split("_gram", " ")) == most_words, said)).drop("_list")
+    joined = x.join(t, [x["_gram"] == t["_gram"], *[x[c] == t[c] for c in on]])
     for c in on:
-        short = short.drop(t[c])
-    short = short.drop("_gram", "_term", "_words")
-    more = t.where(F.col("_words") > most_words).withColumn("_first", F.array_join(F.slice(tokens(F.col("_term")), 1, most_words), " "))
-    if more.isEmpty():
-        return short
-    firsts = F.transform(F.sequence(F.lit(0), F.size("_list") - most_words), lambda i: F.array_join(F.slice("_list", i + 1, most_words), " "))
-    y = listed.where(F.size("_list") > most_words).withColumn("_gram", F.explode(F.array_distinct(firsts)))
-    found = y.join(more, [F.col("_gram") == F.col("_first"), *[y[c] == more[c] for c in on]])
-    for c in on:
-        found = found.drop(more[c])
-    padded = F.concat(F.lit(" "), F.array_join("_list", " "), F.lit(" "))
-    found = found.where(F.contains(padded, F.concat(F.lit(" "), F.col("_term"), F.lit(" "))))
-    return short.unionByName(found.drop("_list", "_gram", "_first", "_term", "_words"))
+        joined = joined.drop(t[c])
+    whole = (F.col("_words") <= most_words) | F.coalesce(F.contains("_said", F.concat(F.lit(" "), F.col("_term"), F.lit(" "))), F.lit(False))
+    return joined.where(whole).drop("_gram", "_said", "_term", "_words", "_size")
 
 
 def longest_per(rows: DataFrame, keys: Sequence[str], term: str) -> DataFrame:
@@ -114,12 +106,18 @@ def two_hop(entities: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, places: DataFrame, key: str, place: str, most_km: float = 50.0, cell_degrees: float = 1.0) -> DataFrame:
     """points with the nearest place within most_km and its distance; no row for points without one.
 
-    Both sides are dealt to latitude bands of a width that covers most_km, so a point meets the places of three bands.
+    Both sides are dealt to cells of latitude and longitude that cover most_km, so a point meets the places of nine cells;
+    near the poles a band is one cell. Longitudes wrap around.
     """
     bands = max(cell_degrees, most_km / 110.0)
-    band = lambda c: F.floor(F.col(c) / bands)
-    near = places.select(F.col(place), F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).withColumn("_band", F.explode(F.array(*[F.floor(F.col("_lat") / bands) + d for d in (-1, 0, 1)])))
-    joined = points.withColumn("_band", band("lat")).join(near, "_band")
+    # The cells of a band, by the latitude of its neighbours that is nearest to a pole.
+    edge = (F.abs("_band") + 2) * bands
+    count = F.when(edge >= 85, 1).otherwise(F.greatest(F.lit(1), F.floor(360 / (1.2 * most_km / (110 * F.cos(F.radians(edge))))))).cast("int")
+    cell = lambda c: F.pmod(F.floor((F.col(c) + 180) / (360 / count)), count)
+    near = places.select(F.col(place), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    near = near.withColumn("_band", F.explode(F.array(*[F.floor(F.col("_lat") / bands) + d for d in (-1, 0, 1)])))
+    near = near.withColumn("_cell", F.explode(F.array_distinct(F.array(*[F.pmod(cell("_lng") + d, count) for d in (-1, 0, 1)]))))
+    joined = points.withColumn("_band", F.floor(F.col("lat") / bands)).withColumn("_cell", cell("lng")).join(near, ["_band", "_cell"])
     km = haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))
     return joined.withColumn("km", km).where(F.col("km") <= most_km).groupBy(key).agg(F.min_by(place, F.struct("km", place)).alias(place), F.min("km").alias("km"))
 

@@ -163,12 +163,12 @@ def x22_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
- SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), ' ') AS tags FROM (SELECT doc_id, l[1:12] AS l FROM w)"""
+    """WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM w),
+ f AS (SELECT doc_id, min(i) AS i, arg_min(x, i) AS x FROM e GROUP BY doc_id, lower(x)), g AS (SELECT doc_id, md5(array_to_string(list(x ORDER BY i), ' ')) AS tags FROM f GROUP BY doc_id) SELECT doc_id, coalesce(tags, md5('')) AS tags FROM documents LEFT JOIN g USING (doc_id)"""
 )
 def x26_distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.transform(F.split("text", " "), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, 12).alias("w")).select("doc_id", F.array_join(X.distinct_ignoring_case(F.col("w")), " ").alias("tags"))
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(X.distinct_ignoring_case(words), " ")).alias("tags"))
 
 
 @query(
@@ -291,12 +291,12 @@ def j02_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT item_id, array_to_string(string_split({norm_sql('text')}, ' ')[1:3], ' ') AS term FROM benchmark), d AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents)
- SELECT doc_id, item_id FROM d JOIN t ON contains(' ' || n || ' ', ' ' || term || ' ')"""
+    f"""WITH t AS (SELECT item_id, {norm_sql('text')} AS term FROM benchmark), d AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents)
+ SELECT doc_id, item_id FROM d JOIN t ON term <> '' AND contains(' ' || n || ' ', ' ' || term || ' ')"""
 )
 def j04_phrase_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(X.tokens(X.normalize(F.col("text"))), 1, 3), " ").alias("term"))
-    return relational.phrase_join(table(spark, sf_dir, "documents").select("doc_id", "text"), terms, most_words=3).select("doc_id", "item_id")
+    terms = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term"))
+    return relational.phrase_join(table(spark, sf_dir, "documents").select("doc_id", "text"), terms).select("doc_id", "item_id").distinct()
 
 
 @query("SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'purchase')")
