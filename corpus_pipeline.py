@@ -1,4 +1,9 @@
-"""A training-data pipeline over `documents`: every stage takes what its predecessor kept, and its decisions take effect."""
+"""A training-data pipeline over `documents`: every stage takes what its predecessor kept, and its decisions take effect.
+
+Null and shared ids: rows are documents, whatever their ids. A null text has no language and goes in the first stage; an
+empty table passes every stage. Repeated rows: one stays. Other columns than those of documents are not carried. Stages
+write tables in the shared folder while their plan is built.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,8 @@ from pyspark.sql import functions as F
 from newsloom.llm import decontaminate, jaccard_join, language_id, packing, suffix_dedup
 from newsloom.llm.common import materialized, table
 
+#: Passages of over 50 words have this many bytes, but for some of very short words.
+PASSAGE_BYTES = 300
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -28,8 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings are cut from the texts; a cut character goes whole. Texts with nothing left go."""
-    cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
+    """Strings of `PASSAGE_BYTES` that stand twice or more are cut from the texts, at every place: a passage that many
+    documents share is boilerplate of none of them. A cut character goes whole. Texts with nothing left go."""
+    cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), width=PASSAGE_BYTES)
     text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
     changed = F.size("removed") > 0
     out = cut.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
