@@ -68,6 +68,24 @@ def test_jaccard_join_equals_brute_force(spark, texts):
     assert len(got) == len(texts)
 
 
+def test_jaccard_join_loses_no_link_of_the_documents(spark):
+    """All links of 1,000 documents, found by comparing every pair."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: frozenset(map(hash, shingles(r["text"]))) for r in docs.collect()}
+    ids, links = sorted(i for i in sets if sets[i]), Counter()
+    ids.sort(key=lambda i: len(sets[i]))
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if len(sets[i]) < 0.8 * len(sets[j]):
+                break
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                links[i] += 1
+                links[j] += 1
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_join(docs).collect()}
+    assert sum(links.values()) > 100 and {i: n for i, n in got.items() if n} == dict(links)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_join(frame(spark, [])).collect() == []
     got = jaccard_join.jaccard_join(frame(spark, [(1, None), (2, "")])).collect()
