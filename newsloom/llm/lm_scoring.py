@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -45,7 +46,7 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*text.encode().lower().split(), END] if isinstance(text, str) else [END]
 
 
-def encode(docs: DataFrame, block_tokens: int = 1_500_000) -> DataFrame:
+def encode(docs: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
     """Two kinds of rows by block: `token` with its place in the block's list and its count in training documents, and
     `doc_id` with the places of its tokens, in order. docs: doc_id, text, held_out."""
 
@@ -60,10 +61,10 @@ def encode(docs: DataFrame, block_tokens: int = 1_500_000) -> DataFrame:
             for places in trained:
                 counts += np.bincount(places, minlength=len(place))
             block, tokens = (part << 20) + number, list(place)
-            for a in range(0, len(tokens), 50_000):
-                some = [t.decode() for t in tokens[a : a + 50_000]]
+            for a in range(0, len(tokens), 20_000):
+                some = [t.decode() for t in tokens[a : a + 20_000]]
                 yield pd.DataFrame({
-                    "block": block, "place": np.arange(a, a + len(some), dtype=np.int32), "token": some, "trained": counts[a : a + 50_000],
+                    "block": block, "place": np.arange(a, a + len(some), dtype=np.int32), "token": some, "trained": counts[a : a + 20_000],
                     "doc_id": None, "held_out": None, "n_tokens": None, "places": None,
                 })
             for a in range(0, len(rows), 2000):
@@ -84,6 +85,7 @@ def encode(docs: DataFrame, block_tokens: int = 1_500_000) -> DataFrame:
                 if held >= block_tokens:
                     yield from emit()
                     place, rows, trained, held, number = Places(), [], [], 0, number + 1
+                    pa.default_memory_pool().release_unused()
         if rows:
             yield from emit()
 
@@ -390,7 +392,7 @@ def deeper_states(d: int, last: bool, least: int, least_next: int, ranges: int):
 def score_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1,
     depth: int = 3, min_share: float = 0.0, min_joint: float = 0.0, min_gain: float = 0.0, prior: float = 2.0,
-    min_context: int = 8, min_next: int = 2, min_bits: float = 16.0, range_tokens: int = 4_000_000,
+    min_context: int = 8, min_next: int = 2, min_bits: float = 16.0, range_tokens: int = 2_000_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -406,7 +408,10 @@ def score_documents(
     counts = materialized(lists.groupBy("token").agg(F.sum("trained").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     least, least_next = max(min_context, math.ceil(min_share * n)), max(min_next, math.ceil(min_joint * n))
-    answers = lists.select("block", "place", "token").join(counts, "token").select("block", "place", F.xxhash64("token").alias("hash"), "c")
+    release(spark)
+    # Words meet their counts by their hashes, which is all that a block keeps of them.
+    word = F.xxhash64("token").alias("hash")
+    answers = lists.select("block", "place", word).join(counts.select(word, "c"), "hash").select("block", "place", "hash", "c")
     texts = coded.where(F.col("places").isNotNull()).select(F.col("block").alias("of_block"), "doc_id", "held_out", "n_tokens", "places")
 
     def begun(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
