@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -75,7 +76,9 @@ def drop_bucketed(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs whose results are written: it does so when the driver's garbage goes."""
+    """Lets Spark drop the shuffle files of jobs whose results are written: it does so when the driver's garbage goes, and
+    Python's frames, some of them in cycles, hold theirs until it is collected too."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
