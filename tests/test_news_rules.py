@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.errors import InvalidInput
 from newsloom.functions import editorial, policy, relevance, text
-from newsloom.operators import graph, linking, search, stories
+from newsloom.operators import graph, linking, search, selection, stories
 
 NOW = dt.datetime(2026, 9, 21, 12)
 
@@ -108,3 +108,12 @@ def test_relevance_of_nothing(spark):
     terms = spark.createDataFrame([], "sport string, kind string, term string")
     assert [tuple(r) for r in relevance.relevance(articles, terms).collect()] == [("1", 3, [])]
     assert column(spark, ['["a", ""]', "a|| b", " ", None, "[x"], relevance.label_list) == [["a"], ["a", "b"], [], [], ["[x"]]
+
+
+def test_selections(spark):
+    kind = "array<struct<type:string,is_swedish:boolean,confidence:double,name:string>>"
+    hits = [[("team", True, 0.9, "t"), ("player", None, None, "p"), ("player", True, 0.1, "q"), ("player", True, 0.1, "r")], [("league", True, 1.0, "l")], [], None]
+    assert column(spark, hits, lambda v: selection.anchor_entity(v)["name"], f"v {kind}") == ["q", None, None, None]
+    choices = spark.createDataFrame([("d", "team", "1", "AIK", 1, 1), ("d", "team", "2", "aik", 2, 2), ("d", "team", "1", "Other", 3, 3), ("d", "player", "1", "AIK", 1, 4)], "device string, type string, entity_id string, label string, at int, ordinal int")
+    got = [(r["ordinal"], r["position"]) for r in selection.recent_choices(choices, ["device"]).orderBy("position").collect()]
+    assert got == [(3, 1), (2, 2), (4, 3)] and selection.recent_choices(choices.limit(0), ["device"]).collect() == []
