@@ -14,6 +14,7 @@ from newsloom.llm import (
     jaccard_join,
     language_id,
     lm_scoring,
+    minhash_dedup,
     packing,
     quality_rules,
     span_dedup,
@@ -66,6 +67,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
@@ -77,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_minhash_dedup": op11_minhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat_format.ORACLE, "op5_span_dedup": span_dedup.ORACLE}
