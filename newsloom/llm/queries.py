@@ -11,6 +11,7 @@ from newsloom.llm import (
     chat_format,
     decontaminate,
     html_extract,
+    impact_index,
     jaccard_join,
     language_id,
     lm_scoring,
@@ -71,6 +72,10 @@ def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op12_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
@@ -83,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_impact_index": op12_impact_index,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat_format.ORACLE, "op5_span_dedup": span_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat_format.ORACLE, "op5_span_dedup": span_dedup.ORACLE, "op12_impact_index": impact_index.ORACLE}
