@@ -20,6 +20,7 @@ from newsloom.llm import (
     quality_rules,
     span_dedup,
     suffix_dedup,
+    token_alignment,
 )
 from newsloom.llm.common import crc_mod, table
 
@@ -76,6 +77,10 @@ def op12_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_index.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
@@ -89,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_minhash_dedup": op11_minhash_dedup,
     "op12_impact_index": op12_impact_index,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat_format.ORACLE, "op5_span_dedup": span_dedup.ORACLE, "op12_impact_index": impact_index.ORACLE}
