@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.relational import merge_update_when, merge_upsert
+from newsloom.sources.sink import publish
 
 
 def read(spark: SparkSession, path: str, kind: str = "parquet", **options: str) -> DataFrame:
@@ -30,15 +30,10 @@ def append(df: DataFrame, path: str) -> None:
 def rewrite(spark: SparkSession, name: str, merged: Callable[[DataFrame], DataFrame]) -> None:
     """Replaces the rows of a catalog table by what `merged` makes of them, for instance a keyed merge of `relational`.
 
-    The new rows are written beside the table first, so a lost job leaves it as it was. A table format with its own MERGE
-    does the same without writing unchanged rows again; the merges here are plain transforms for the others.
+    The name is switched to the new rows once they are written whole (`sink.publish`), so a lost job leaves the old ones.
+    A table format with its own MERGE does the same without writing unchanged rows again.
     """
-    old, staged = spark.table(name), f"{name}_{uuid.uuid4().hex}"
-    merged(old).select(*old.columns).write.saveAsTable(staged)
-    try:
-        spark.table(staged).write.insertInto(name, overwrite=True)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+    publish(merged(spark.table(name)), name)
 
 
 def replaced_subscriptions(old: DataFrame, new: DataFrame, device: str, endpoint: str, ordinal: str) -> DataFrame:
