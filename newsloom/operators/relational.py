@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,29 +64,68 @@ def funnel(rows: DataFrame, stages: Sequence[tuple[str, Column]], keys: Sequence
     return out
 
 
-def phrase_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", most_words: int = 6, on: Sequence[str] = ()) -> DataFrame:
-    """Pairs of texts and terms that stand in them between word boundaries, by an equi-join of word n-grams.
+@lru_cache(maxsize=4)
+def _automaton(padded: tuple[str, ...]) -> ahocorasick.Automaton:
+    """One for a worker process, whose tasks share it."""
+    found = ahocorasick.Automaton()
+    for phrase in padded:
+        found.add_word(phrase, phrase[1:-1])
+    found.make_automaton()
+    return found
 
-    Both are normalised. Each text is exploded once into its n-grams of the lengths that terms have (up to most_words),
-    which a job finds first; no pair is looked at that doesn't share one. Longer terms are joined by their first
-    most_words words and then verified.
+
+def _hits_by_automaton(said: Column, phrases: list[str]) -> Column:
+    """The phrases that stand in a text, both between spaces, by one pass over it."""
+    padded = tuple(f" {p} " for p in phrases)
+
+    @F.pandas_udf("array<string>")
+    def hits(texts: pd.Series) -> pd.Series:
+        iterate = _automaton(padded).iter
+        return texts.map(lambda text: sorted({p for _, p in iterate(text)}) if isinstance(text, str) else [])
+
+    return hits(said) if phrases else F.array().cast("array<string>")
+
+
+def _hits_by_rarest_word(texts: DataFrame, said: str, phrases: DataFrame, phrase: str, hits: str) -> DataFrame:
+    """texts with the phrases that stand in them. A phrase is looked for where its rarest word is.
+
+    Distinct words meet the phrases' keys under a hash of the text; a text comes in once, to the list of its candidates, and
+    is searched for each. So no more than words, hashes and phrases is ever repeated.
+    """
+    words = lambda c: F.array_distinct(tokens(F.col(c)))
+    spoken = texts.select(F.xxhash64(said).alias("h"), F.explode(words(said)).alias("word"))
+    often = spoken.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    of = phrases.select(phrase, F.size(words(phrase)).alias("size"), F.explode(words(phrase)).alias("word"))
+    keys = of.join(often, "word").groupBy(phrase, "size").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "word"))["word"].alias("word"))
+    keys = keys.where("known = size").select(phrase, "word")
+    near = spoken.join(keys, "word").groupBy("h").agg(F.collect_set(phrase).alias(hits))
+    met = texts.join(near.withColumnRenamed("h", f"{hits}_h"), F.xxhash64(said) == F.col(f"{hits}_h")).drop(f"{hits}_h")
+    return met.withColumn(hits, F.filter(hits, lambda p: F.contains(F.col(said), F.concat(F.lit(" "), p, F.lit(" ")))))
+
+
+def phrase_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", most_words: int | None = None, on: Sequence[str] = (), most_chars: int = 2_000_000) -> DataFrame:
+    """Pairs of texts and terms that stand in them between word boundaries, both normalised; terms of any length.
+
+    A first job adds up the terms' characters. Up to most_chars, an Aho-Corasick automaton of all terms goes to the tasks,
+    and a text is read once for all of them; beyond that, terms are looked for where their rarest word is. Nothing but
+    hits is joined with the terms, so texts go along only if they are asked for. on: columns that must be equal too.
+    most_words has no meaning any more. Helper columns have names of their own.
     """
-    t = terms.withColumn("_term", normalize(F.col(term))).where("_term <> ''").withColumn("_words", F.size(tokens(F.col("_term"))))
-    # A term's key: itself, or its first most_words words.
-    t = t.withColumn("_size", F.least("_words", F.lit(most_words))).withColumn("_gram", F.array_join(F.slice(tokens(F.col("_term")), F.lit(1), F.col("_size")), " "))
-    sizes = sorted(r["_size"] for r in t.select("_size").distinct().collect())  # at most most_words
-    grams = [F.when(F.size("_list") >= n, F.transform(F.sequence(F.lit(0), F.size("_list") - n), lambda i: F.array_join(F.slice("_list", i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in sizes]  # noqa: B023
-    listed = texts.withColumn("_list", tokens(normalize(F.col(text))))
-    every = F.array_distinct(F.concat(*grams)) if sizes else F.array().cast("array<string>")
-    long = bool(sizes) and sizes[-1] == most_words
-    # The words of a text go along only where a longer term may have to be looked for.
-    said = F.concat(F.lit(" "), F.array_join("_list", " "), F.lit(" ")) if long else F.lit(None).cast("string")
-    x = listed.withColumn("_gram", F.explode(every)).withColumn("_said", F.when(F.size(F.split("_gram", " ")) == most_words, said)).drop("_list")
-    joined = x.join(t, [x["_gram"] == t["_gram"], *[x[c] == t[c] for c in on]])
+    mark = f"_{uuid.uuid4().hex[:12]}_"
+    said, phrase, hits = f"{mark}said", f"{mark}phrase", f"{mark}hits"
+    t = terms.withColumn(phrase, F.array_join(tokens(normalize(F.col(term))), " ")).where(F.col(phrase) != "")
     for c in on:
-        joined = joined.drop(t[c])
-    whole = (F.col("_words") <= most_words) | F.coalesce(F.contains("_said", F.concat(F.lit(" "), F.col("_term"), F.lit(" "))), F.lit(False))
-    return joined.where(whole).drop("_gram", "_said", "_term", "_words", "_size")
+        t = t.withColumnRenamed(c, f"{mark}on_{c}")
+    x = texts.withColumn(said, F.concat(F.lit(" "), F.array_join(tokens(normalize(F.col(text))), " "), F.lit(" ")))
+    phrases = t.select(phrase).distinct()
+    chars = phrases.agg(F.coalesce(F.sum(F.length(phrase)), F.lit(0))).first()[0]
+    if chars <= most_chars:
+        found = x.withColumn(hits, _hits_by_automaton(F.col(said), sorted(r[0] for r in phrases.collect())))
+    else:
+        found = _hits_by_rarest_word(x, said, phrases, phrase, hits)
+    found = found.drop(said).withColumn(f"{mark}hit", F.explode(hits)).drop(hits)
+    joined = found.join(t, [F.col(f"{mark}hit") == t[phrase], *[found[c] == t[f"{mark}on_{c}"] for c in on]])
+    return joined.drop(f"{mark}hit", phrase, *[f"{mark}on_{c}" for c in on])
 
 
 def longest_per(rows: DataFrame, keys: Sequence[str], term: str) -> DataFrame:
