@@ -8,9 +8,11 @@ token that breaks the order leaves the class, and a class that interleaves is re
 the most common first: each occurrence of a class must lie in one slot of another, the same in all pages, or the class is
 rejected. What lies between neighbouring tokens of a class is a slot.
 
-A text block that is itself a template token is not main text, wherever it stands. Elements choose among the slots'
-text: none is taken from a boilerplate element; if a page has a main element, only what is in it; if it has none, what
-lies in the slots that hold the main element's text in most pages that have one, and else all.
+A text block that is itself a template token is not main text, wherever it stands. The other text is judged by its slot, over
+all pages of the block (`slot_scores`): articles are long, have few links, and differ from page to page. Elements are weak
+evidence beside that: whether the text stands in a main element. What boilerplate elements hold is no main text of
+any slot; by class, id or role an element is one only if a whole name is (`boilerplate`), and never if it holds most of
+the page's text in a main element. Pages without a template are judged by elements: what their main element holds, or all.
 
 Pages of a host are dealt by a hash into blocks of about `block_pages`, each deducing its template by itself, so a host
 can have any number of pages. A block of too few pages is one slot, judged by elements alone.
@@ -23,6 +25,7 @@ parent; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import defaultdict
@@ -41,39 +44,74 @@ BLOCK = frozenset(
 )
 #: Elements whose text is never part of an article.
 DROPPED = frozenset("script style noscript template head title nav header footer aside form button select textarea option iframe svg canvas dialog menu object".split())
-#: The same by name: a word of an element's class, id or role.
+#: Those that stand within a sentence; their text goes and the sentence goes on.
+INLINE = frozenset("button select textarea option iframe svg canvas object".split())
+#: The same by name: a class, the id or the role of an element, if its words are of these, and maybe of those below.
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion related recommended recommendations reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget".split()
 )
+#: Words that say nothing beside one of the above: `comments-area` is boilerplate, `has-sidebar` and `notice-period` aren't.
+NEUTRAL_NAMES = frozenset("area bar block bottom box container content entry group inner item items left links list main outer page right row section site slot text top unit wrap wrapper".split())
 MAIN_NAMES = frozenset("article main".split())
 CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 NAME_PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
+def boilerplate(names: list[str]) -> bool:
+    """Whether any of an element's names says that it is boilerplate."""
+    for name in names:
+        words = set(NAME_PARTS.findall(name))
+        if words & DROPPED_NAMES and words <= DROPPED_NAMES | NEUTRAL_NAMES:
+            return True
+    return False
+
+
+class Block:
+    """A text with what it stands in: numbers of boilerplate elements and of main elements; characters of links."""
+
+    def __init__(self, text: str, drops: tuple[int, ...], mains: tuple[int, ...], linked: int) -> None:
+        self.text, self.drops, self.mains, self.linked, self.dropped, self.main = text, drops, mains, min(linked, len(text)), bool(drops), bool(mains)
+
+
 class Page(HTMLParser):
-    """tokens: (key, block or None). blocks: [text, dropped, main]."""
+    """tokens: (key, number of the block or None)."""
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.tokens: list[tuple[str, int | None]] = []
-        self.blocks: list[list] = []
-        self.open: list[tuple[str, str, bool, bool]] = []  # tag, path, dropped, main
+        self.blocks: list[Block] = []
+        self.open: list[tuple[str, str, tuple[int, ...], tuple[int, ...], bool]] = []  # tag, path, boilerplate, main, in a link
+        self.mains: list[tuple[int, ...]] = []  # of each main element, the boilerplate that it stands in
+        self.drops = self.linked = 0
         self.parts: list[str] = []
         self.feed(html)
         self.close()
         self.flush()
+        self.judge()
+
+    def top(self) -> tuple[str, str, tuple[int, ...], tuple[int, ...], bool]:
+        return self.open[-1] if self.open else ("", "", (), (), False)
 
-    def top(self) -> tuple[str, str, bool, bool]:
-        return self.open[-1] if self.open else ("", "", False, False)
+    def judge(self) -> None:
+        """Main elements in boilerplate count if there are no others and they hold most of the text; what holds them is none then."""
+        free = {k for k, drops in enumerate(self.mains) if not drops}
+        if not free and self.mains:
+            held = sum(len(b.text) for b in self.blocks if b.mains)
+            if 2 * held > sum(len(b.text) for b in self.blocks):
+                free = set(range(len(self.mains)))
+        holders = {d for k in free for d in self.mains[k]}
+        for b in self.blocks:
+            b.dropped, b.main = not holders.issuperset(b.drops), not free.isdisjoint(b.mains)
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts = []
         if text:
-            _, path, dropped, main = self.top()
+            _, path, drops, mains, _ = self.top()
             self.tokens.append((f"{path}#{text}", len(self.blocks)))
-            self.blocks.append([text, dropped, main])
+            self.blocks.append(Block(text, drops, mains, self.linked))
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -82,7 +120,8 @@ class Page(HTMLParser):
             elif tag in ("br", "img", "wbr"):
                 self.parts.append(" " if tag != "wbr" else "")
             return
-        if tag in BLOCK or tag in DROPPED:
+        splits = tag in BLOCK or tag in DROPPED and tag not in INLINE
+        if splits:
             self.flush()
             for k in range(len(self.open) - 1, -1, -1):  # elements that this one ends
                 name = self.open[k][0]
@@ -90,15 +129,19 @@ class Page(HTMLParser):
                     del self.open[k:]
                 elif name in BLOCK:
                     break
-        _, path, dropped, main = self.top()
-        named = {p for key, value in attrs if key in ("class", "id", "role") and value for p in NAME_PARTS.findall(value.lower())}
+        _, path, drops, mains, link = self.top()
+        names = [n for key, value in attrs if key in ("class", "id", "role") and value for n in value.lower().split()]
         label = ".".join(sorted(f"{k}={v}" for k, v in attrs if k in ("class", "role") and v))
-        mine = tag in ("article", "main") or bool(named & MAIN_NAMES and not named & DROPPED_NAMES)
-        inside = main or mine
+        named = boilerplate(names) and tag not in ("html", "body")
+        if not named and (tag in MAIN_NAMES or MAIN_NAMES.intersection(names)):
+            self.mains.append(drops)
+            mains = (*mains, len(self.mains) - 1)
         # A page header is boilerplate, the header of an article holds its title.
-        drop = dropped or (tag in DROPPED and not (tag == "header" and main)) or bool(named & DROPPED_NAMES and tag not in ("html", "body"))
-        self.open.append((tag, f"{path}/{tag}{label and '[' + label + ']'}", drop, inside))
-        if tag in BLOCK or tag in DROPPED:
+        if named or tag in DROPPED and not (tag == "header" and mains):
+            drops = (*drops, self.drops)
+            self.drops += 1
+        self.open.append((tag, f"{path}/{tag}{label and '[' + label + ']'}", drops, mains, link or tag == "a"))
+        if splits:
             self.tokens.append((self.open[-1][1], None))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -107,16 +150,18 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                if tag in BLOCK or tag in DROPPED or any(t in BLOCK for t, *_ in self.open[k:]):
+                if any(t in BLOCK or t in DROPPED and t not in INLINE for t, *_ in self.open[k:]):
                     self.flush()
                     self.tokens.append((f"{self.open[k][1]}/", None))
                 del self.open[k:]
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] in ("script", "style"):
+        if self.open and (self.open[-1][0] in ("script", "style") or any(t in INLINE for t, *_ in self.open)):
             return
         self.parts.append(data)
+        if self.top()[4]:
+            self.linked += len(data.strip())
 
 
 def in_order(order: list[str], seen: list[str]) -> list[str]:
@@ -171,28 +216,47 @@ def template(pages: list[Page], least: int) -> tuple[set[str], list[list[tuple]]
     return found, slots
 
 
-def main_texts(pages: list[Page], known: set[str], slots: list[list[tuple]]) -> list[str]:
-    """Of each page the text in the slots of the template that hold the article."""
-    kept = []
-    votes: dict[tuple, set[int]] = defaultdict(set)
+def slot_scores(pages: list[Page], known: set[str], slots: list[list[tuple]]) -> dict[tuple, float]:
+    """The evidence that a slot holds articles, above 0 if it does, from its text on all pages.
+
+    Half a point for each power of ten that its characters a page are over 100; up to 1 point for texts that differ, or
+    against texts that are alike; up to 4 against links; and, if pages have main elements, 1.5 for text in them or against
+    text outside. Boilerplate elements and template tokens don't count.
+    """
+    chars, linked, main = (defaultdict(int) for _ in range(3))
+    said: dict[tuple, list[str]] = defaultdict(list)
+    seen: dict[tuple, set[int]] = defaultdict(set)
     for i, (page, labels) in enumerate(zip(pages, slots, strict=True)):
-        kept.append([])
-        for (key, block), label in zip(page.tokens, labels, strict=True):
-            if block is not None and key not in known and not page.blocks[block][1]:
-                text, _, main = page.blocks[block]
-                kept[i].append((text, main, label[:2]))
-                if main:
-                    votes[label[:2]].add(i)
-    # Whether a page has a main element counts, not whether it has text of its own there.
-    has_main = [any(main and not dropped for _, dropped, main in page.blocks) for page in pages]
-    chosen = {label for label, of in votes.items() if label and 2 * len(of) > sum(has_main)}
+        for (key, number), label in zip(page.tokens, labels, strict=True):
+            if number is None or key in known or page.blocks[number].dropped:
+                continue
+            block, slot = page.blocks[number], label[:2]
+            n = len(block.text)
+            chars[slot] += n
+            linked[slot] += block.linked
+            main[slot] += n * block.main
+            said[slot].append(block.text)
+            seen[slot].add(i)
+    share = sum(any(b.main for b in page.blocks) for page in pages) / max(1, len(pages))
+    out = {}
+    for slot, n in chars.items():
+        distinct = len(set(said[slot])) / len(said[slot])
+        out[slot] = 0.5 * math.log10(n / len(seen[slot]) / 100) + 2 * (distinct - 0.5) - 4 * linked[slot] / n + share * 3 * (main[slot] / n - 0.5)
+    return out
+
+
+def main_texts(pages: list[Page], known: set[str], slots: list[list[tuple]]) -> list[str]:
+    """Of each page the text in the slots that hold articles; where none of it does, or without a template, by elements."""
+    scores = slot_scores(pages, known, slots) if known else {}
     out = []
-    for mine, main_here in zip(kept, has_main, strict=True):
-        if main_here:
-            mine = [x for x in mine if x[1]]
-        elif any(x[2] in chosen for x in mine):
-            mine = [x for x in mine if x[2] in chosen]
-        out.append("\n\n".join(text for text, *_ in mine))
+    for page, labels in zip(pages, slots, strict=True):
+        mine = [(page.blocks[k], label[:2]) for (key, k), label in zip(page.tokens, labels, strict=True) if k is not None and key not in known and not page.blocks[k].dropped]
+        chosen = [b for b, slot in mine if scores.get(slot, -1) > 0]
+        if not chosen:
+            # Whether a page has a main element counts, not whether it has text of its own there.
+            has_main = any(b.main and not b.dropped for b in page.blocks)
+            chosen = [b for b, _ in mine if b.main or not has_main]
+        out.append("\n\n".join(b.text for b in chosen))
     return out
 
 
