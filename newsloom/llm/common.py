@@ -61,16 +61,17 @@ def materialized(df: DataFrame) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Write df as a table in the warehouse, in buckets of a key, and read it: grouping by the key doesn't shuffle it."""
-    name = f"bucketed_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    """Write df as a table in the shared folder, in buckets of a key, and read it: grouping by the key doesn't shuffle it."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", f"{checkpoint_dir(spark)}/table-{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def drop_bucketed(df: DataFrame) -> None:
     """Deletes a table that `bucketed` wrote and that nothing will read again."""
-    found = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
-    for name in found:
+    names = {f.rsplit("/", 2)[1].removeprefix("table-") for f in df.inputFiles()}
+    discard(df)
+    for name in names:
         if name.startswith("bucketed_"):
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 

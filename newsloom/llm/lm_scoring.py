@@ -9,11 +9,12 @@ divergence, in bits, is at least `min_bits`. Every symbol is scored in its longe
 
 The bars are counts, so the contexts and probabilities grow with the corpus. They are tables keyed by hashes of 64 bits
 of the context and of the context with its next symbol; neither the driver nor a broadcast holds any of them. A partition
-of documents is encoded once as blocks: the distinct words and the documents' places in those. The words are counted
-across the corpus and the counts sent back to their blocks. Then, for each depth, the blocks first send the sorted
+of documents is encoded once as blocks: the hashes of the distinct words and the documents' places in those. The words
+are counted across the corpus by ranges of hashes, which send the counts back to the blocks. Then, for each depth, the blocks first send the sorted
 hashes of their distinct contexts and next symbols to ranges of hashes, which answer with a bit for each whether the
 corpus has it often enough; then they send those alone, with their probability in the shorter state, and get back the
-counts and probabilities of what the corpus keeps. What a block keeps between two depths is a row of arrays. Tables are
+counts and probabilities of what the corpus keeps. What a block keeps between two depths is a row of arrays, with the
+probabilities of the places alone that a longer context may still change. Tables are
 deleted when the next one is written. Counts cover the whole training corpus.
 
 Edge cases: null and empty texts are the end alone; an empty training fold gives one unknown symbol with probability
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,12 +49,12 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def encode(docs: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
-    """Two kinds of rows by block: `token` with its place in the block's list and its count in training documents, and
-    `doc_id` with the places of its tokens, in order. docs: doc_id, text, held_out."""
+    """Two kinds of rows by block: one with the `hashes` of its distinct words and how often training documents have each
+    (`trained`), and `doc_id` with the places of its tokens in that list, in order. docs: doc_id, text, held_out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number = TaskContext.get().partitionId(), 0
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         place = Places()
         rows, trained, held = [], [], 0
 
@@ -60,16 +62,13 @@ def encode(docs: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
             counts = np.zeros(len(place), np.int64)
             for places in trained:
                 counts += np.bincount(places, minlength=len(place))
-            block, tokens = (part << 20) + number, list(place)
-            for a in range(0, len(tokens), 20_000):
-                some = [t.decode() for t in tokens[a : a + 20_000]]
-                yield pd.DataFrame({
-                    "block": block, "place": np.arange(a, a + len(some), dtype=np.int32), "token": some, "trained": counts[a : a + 20_000],
-                    "doc_id": None, "held_out": None, "n_tokens": None, "places": None,
-                })
+            block = (part << 20) + number
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, place), "<u8", len(place))
+            first = {"doc_id": None, "held_out": None, "n_tokens": None, "places": None, "hashes": planes(hashes), "trained": planes(counts.astype("<u4"))}
+            yield pd.DataFrame([first]).assign(block=block)
             for a in range(0, len(rows), 2000):
                 some = pd.DataFrame(rows[a : a + 2000], columns=["doc_id", "held_out", "n_tokens", "places"])
-                yield some.assign(block=block, place=None, token=None, trained=None)
+                yield some.assign(block=block, hashes=None, trained=None)
 
         for batch in batches:
             for key, text, out in zip(batch["doc_id"], batch["text"], batch["held_out"], strict=True):
@@ -89,8 +88,34 @@ def encode(docs: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
         if rows:
             yield from emit()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "held_out").mapInPandas(run, f"block long, place int, token string, trained long, doc_id {kind}, held_out boolean, n_tokens long, places binary")
+    # Ids go through pandas as strings, which nulls and large numbers don't change.
+    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out")
+    return slim.mapInPandas(run, "block long, doc_id string, held_out boolean, n_tokens long, places binary, hashes binary, trained binary")
+
+
+def word_counts(coded: DataFrame, ranges: int) -> DataFrame:
+    """block, range, counts: how often training documents of the corpus have the words of a block, by their sorted hashes;
+    and in one row of each range n and v, the sums of all and of distinct trained tokens."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, hashes, trained in zip(batch["block"], batch["hashes"], batch["trained"], strict=True):
+                keys, counts = unplaned(hashes, "<u8"), unplaned(trained, "<u4")
+                order = np.argsort(keys, kind="stable")
+                keys, counts = keys[order], counts[order]
+                for r, a, b in range_bounds(keys, ranges):
+                    yield pd.DataFrame({"block": [block], "range": [r], "keys": [packed_sorted(keys[a:b])], "counts": [planes(counts[a:b])]})
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpacked_sorted(k) for k in group["keys"]]
+        _, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(back, np.concatenate([unplaned(c, "<u4") for c in group["counts"]])).astype(np.int64)
+        out = pd.DataFrame({"block": group["block"], "range": group["range"], "counts": [planes(total[x]) for x in np.split(back, np.cumsum([len(k) for k in keys])[:-1])], "n": 0, "v": 0})
+        out.loc[out.index[0], ["n", "v"]] = int(total.sum()), int((total > 0).sum())
+        return out
+
+    sent = coded.where(F.col("hashes").isNotNull()).select("block", "hashes", "trained").mapInPandas(send, "block long, range int, keys binary, counts binary")
+    return sent.groupBy("range").applyInPandas(answer, "block long, range int, counts binary, n long, v long")
 
 
 class Places(dict):
@@ -189,7 +214,7 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """An array, byte by byte of its numbers, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def unplaned(blob: bytes, kind: str) -> np.ndarray:
@@ -197,37 +222,54 @@ def unplaned(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-#: What a block keeps. Of counts only whether they reach the bars is used, so `n` stops at 255; probabilities of shorter
-#: states are kept as singles, sums are made of doubles.
-STATE = {"places": "<u4", "lengths": "<i8", "held": "|u1", "hashes": "<u8", "n": "|u1", "log_p": "<f4"}
+#: What a block keeps. `n` has the bars that a count reaches (`levels`). log_p has the places that a longer context may
+#: change, as singles; `done` has the sums of each document's others.
+STATE = {"places": "<u4", "lengths": "<i8", "held": "|u1", "hashes": "<u8", "n": "|u1", "log_p": "<f4", "done": "<f8"}
+
+
+def levels(n: np.ndarray, least: int, least_next: int) -> np.ndarray:
+    """1 for counts that reach the bar of next symbols, and 2 more for those that reach that of contexts."""
+    return ((n >= least_next) + 2 * (n >= least)).astype(np.uint8)
+
+
+def deepens(state: dict[str, np.ndarray]) -> np.ndarray:
+    """The places whose context of one more word may reach the bar."""
+    first = np.zeros(len(state["n"]), bool)
+    first[np.cumsum(state["lengths"]) - state["lengths"]] = True
+    return np.flatnonzero(~first[1:] & (state["n"][:-1] >= 2)) + 1
+
+
+def of_documents(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums by document; each has a token at least."""
+    return np.add.reduceat(values, np.cumsum(lengths) - lengths)
 
 
 def pack(state: dict[str, np.ndarray]) -> bytes:
+    at = deepens(state)
+    final = state["log_p"].copy()
+    final[at] = 0
+    kept = state | {"log_p": state["log_p"][at], "done": state["done"] + of_documents(final, state["lengths"])}
     out = io.BytesIO()
-    np.savez(out, **{k: np.frombuffer(planes(np.minimum(state[k], 255).astype(t) if k == "n" else state[k].astype(t)), np.uint8) for k, t in STATE.items()})
+    np.savez(out, **{k: np.frombuffer(planes(kept[k].astype(t)), np.uint8) for k, t in STATE.items()})
     return out.getvalue()
 
 
 def unpack(state: bytes) -> dict[str, np.ndarray]:
     held = np.load(io.BytesIO(state))
     out = {k: unplaned(held[k].tobytes(), t) for k, t in STATE.items()}
-    if len(out["n"]) != len(out["places"]):  # before any depth: one for each word
-        out["n"], out["log_p"] = out["n"][out["places"]], out["log_p"][out["places"]]
-    out["held"], out["log_p"] = out["held"].astype(bool), out["log_p"].astype(np.float64)
-    return out
+    log_p = np.zeros(len(out["places"]))
+    log_p[deepens(out)] = out["log_p"]
+    return out | {"held": out["held"].astype(bool), "log_p": log_p}
 
 
-def candidates(state: dict[str, np.ndarray], depth: int, least: int, least_next: int) -> tuple[np.ndarray, ...]:
+def candidates(state: dict[str, np.ndarray], depth: int) -> tuple[np.ndarray, ...]:
     """The places with a context of `depth` words that can reach the bar, its hashes there, those of these places whose
-    next symbol can, and the hashes of both together. `n` has the counts of the depth before, of the symbol at a place."""
-    lengths, n, words = state["lengths"], state["n"], state["hashes"][state["places"]]
-    first = np.zeros(len(n), bool)
-    first[np.cumsum(lengths) - lengths] = True
-    at = np.flatnonzero(~first[1:] & (n[:-1] >= least)) + 1
+    next symbol can, and the hashes of both together. `n` has the levels of the depth before, of the symbol at a place."""
+    words, at = state["hashes"][state["places"]], deepens(state)
     context = words[at - 1]
     for k in range(2, depth + 1):
         context = mixed(context, words[at - k])
-    both = n[at] >= least_next
+    both = state["n"][at] % 2 == 1
     return at, context, at[both], mixed(context[both], words[at[both]])
 
 
@@ -237,11 +279,11 @@ def entry_keys(context: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([np.unique(context), np.unique(key)]))
 
 
-def entries(state: dict[str, np.ndarray], depth: int, least: int, least_next: int) -> tuple[np.ndarray, ...]:
+def entries(state: dict[str, np.ndarray], depth: int) -> tuple[np.ndarray, ...]:
     """By sorted key: the key, its context, its count in training documents, and log10 of the probability in the shorter
     state."""
     trained = np.repeat(~state["held"], state["lengths"]).astype(np.int64)
-    at, context, at_next, key = candidates(state, depth, least, least_next)
+    at, context, at_next, key = candidates(state, depth)
 
     def grouped(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
         """The distinct values, the first place of each, and its count."""
@@ -261,13 +303,13 @@ def entries(state: dict[str, np.ndarray], depth: int, least: int, least_next: in
     return keys[order], np.concatenate([one, its])[order], np.concatenate([n, n_two])[order], log_p[order]
 
 
-def often_enough(states: DataFrame, depth: int, least: int, least_next: int, ranges: int) -> DataFrame:
+def often_enough(states: DataFrame, depth: int, least_next: int, ranges: int) -> DataFrame:
     """block, range, bits: of a block's sorted keys in a range, those that the training texts hold `least_next` times."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, packed in zip(batch["block"], batch["state"], strict=True):
-                keys, _, n, _ = entries(unpack(packed), depth, least, least_next)
+                keys, _, n, _ = entries(unpack(packed), depth)
                 for r, a, b in range_bounds(keys, ranges):
                     counts = planes(np.minimum(n[a:b], least_next).astype("<u4"))
                     yield pd.DataFrame({"block": [block], "range": [r], "keys": [packed_sorted(keys[a:b])], "counts": [counts]})
@@ -303,14 +345,14 @@ def kept_entries(keys: np.ndarray, bits: dict[int, bytes], ranges: int) -> np.nd
     return enough
 
 
-def sent(states: DataFrame, often: DataFrame, depth: int, least: int, least_next: int, ranges: int) -> DataFrame:
+def sent(states: DataFrame, often: DataFrame, depth: int, ranges: int) -> DataFrame:
     """block, context, key, n, shorter: the entries of the blocks that the corpus has often enough. states with bits."""
     bits = often.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("bits"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, packed, found in zip(batch["block"], batch["state"], batch["bits"], strict=True):
-                keys, context, n, log_p = entries(unpack(packed), depth, least, least_next)
+                keys, context, n, log_p = entries(unpack(packed), depth)
                 enough = kept_entries(keys, {x["range"]: x["bits"] for x in found}, ranges)
                 rows = pd.DataFrame({"block": block, "context": context[enough].view(np.int64), "key": keys[enough].view(np.int64), "n": n[enough], "shorter": log_p[enough]})
                 for k in range(0, len(rows), 200_000):
@@ -321,13 +363,13 @@ def sent(states: DataFrame, often: DataFrame, depth: int, least: int, least_next
 
 def answered(states: DataFrame, often: DataFrame, model: DataFrame, depth: int, least: int, least_next: int, ranges: int) -> DataFrame:
     """block, range, bits, n, log_p: of the entries of a block that the corpus has often enough, in the order of their
-    keys, the count (up to 255) and log_p that the model has; where it has none, 0 and NaN."""
+    keys, the level of the count and log_p that the model has; where it has none, 0 and NaN."""
     bits = often.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("bits"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, packed, found in zip(batch["block"], batch["state"], batch["bits"], strict=True):
-                _, context, _, key = candidates(unpack(packed), depth, least, least_next)
+                _, context, _, key = candidates(unpack(packed), depth)
                 keys = entry_keys(context, key)
                 mine = {x["range"]: x["bits"] for x in found}
                 enough = kept_entries(keys, mine, ranges)
@@ -341,7 +383,7 @@ def answered(states: DataFrame, often: DataFrame, model: DataFrame, depth: int,
         out = []
         for block, r, bits, packed in zip(asked["block"], asked["range"], asked["bits"], asked["keys"], strict=True):
             wanted = unpacked_sorted(packed)
-            out.append((block, r, bits, planes(np.minimum(look_up(keys, n, wanted, 0), 255).astype("|u1")), planes(look_up(keys, log_p, wanted, np.nan).astype("<f8"))))
+            out.append((block, r, bits, planes(levels(look_up(keys, n, wanted, 0), least, least_next)), planes(look_up(keys, log_p, wanted, np.nan).astype("<f8"))))
         return pd.DataFrame(out, columns=["block", "range", "bits", "n", "log_p"])
 
     asked = states.select("block", "state").join(bits, "block").mapInPandas(ask, "block long, range int, bits binary, keys binary")
@@ -363,18 +405,18 @@ def kept_contexts(counts: DataFrame, least_bits: float, prior: float) -> DataFra
     return counts.join(kept, "context", "left").where(~alone | F.col("total").isNotNull()).select("context", "key", "n", log_p.alias("log_p"))
 
 
-def deeper_states(d: int, last: bool, least: int, least_next: int, ranges: int):  # noqa: ANN201
+def deeper_states(d: int, last: bool, ranges: int):  # noqa: ANN201
     """The function that takes the answers on a block's contexts of d words into its state, or its scores."""
 
     def deeper(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         state = unpack(right["state"].iloc[0])
         left = left.sort_values("range")
-        at, context, at_next, key = candidates(state, d, least, least_next)
+        at, context, at_next, key = candidates(state, d)
         keys = entry_keys(context, key)
         keys = keys[kept_entries(keys, dict(zip(left["range"], left["bits"], strict=True)), ranges)]
         join = lambda c, kind: np.concatenate([unplaned(x, kind) for x in left[c]]) if len(left) else np.zeros(0, kind)
-        log_p, of_n = join("log_p", "<f8"), join("n", "|u1").astype(np.int64)
-        now, at_n = state["log_p"].copy(), np.zeros(len(state["n"]), np.int64)
+        log_p, of_n = join("log_p", "<f8"), join("n", "|u1")
+        now, at_n = state["log_p"].copy(), np.zeros(len(state["n"]), np.uint8)
         escape = look_up(keys, log_p, context, np.nan)
         now[at] += np.nan_to_num(escape)
         own = look_up(keys, log_p, key, np.nan)
@@ -383,7 +425,7 @@ def deeper_states(d: int, last: bool, least: int, least_next: int, ranges: int):
         block = right["block"].to_numpy()[:1]
         if not last:
             return pd.DataFrame({"block": block, "state": [pack(state | {"n": at_n, "log_p": now})]})
-        scores = np.add.reduceat(now, np.cumsum(state["lengths"]) - state["lengths"])
+        scores = state["done"] + of_documents(now, state["lengths"])
         return pd.DataFrame({"block": block[0], "row": np.arange(len(scores)), "score": scores})
 
     return deeper
@@ -403,36 +445,36 @@ def score_documents(
     slim = docs.select(key.alias("doc_id"), F.col(text).alias("text"), F.coalesce(crc_mod(key, folds) == held_fold, F.lit(False)).alias("held_out"))
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
+    kind = slim.schema["doc_id"].dataType
     coded = materialized(encode(slim))
-    lists = coded.where(F.col("token").isNotNull()).select("block", "place", "token", "trained")
-    counts = materialized(lists.groupBy("token").agg(F.sum("trained").alias("c")))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    ranges = max(1, -(-(coded.agg(F.sum("n_tokens")).first()[0] or 0) // range_tokens))
+    counts = materialized(word_counts(coded, ranges))
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     least, least_next = max(min_context, math.ceil(min_share * n)), max(min_next, math.ceil(min_joint * n))
     release(spark)
-    # Words meet their counts by their hashes, which is all that a block keeps of them.
-    word = F.xxhash64("token").alias("hash")
-    answers = lists.select("block", "place", word).join(counts.select(word, "c"), "hash").select("block", "place", "hash", "c")
-    texts = coded.where(F.col("places").isNotNull()).select(F.col("block").alias("of_block"), "doc_id", "held_out", "n_tokens", "places")
 
     def begun(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        c, hashes, at = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64), left["place"].to_numpy()
-        c[at], hashes[at] = left["c"].to_numpy(), left["hash"].to_numpy()
+        of = right["hashes"].notna()
+        hashes, right = unplaned(right["hashes"][of].iloc[0], "<u8"), right[~of]
+        c = np.zeros(len(hashes), np.int64)
+        c[np.argsort(hashes, kind="stable")] = np.concatenate([unplaned(x, "<i8") for x in left.sort_values("range")["counts"]])
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         unpacker = zstandard.ZstdDecompressor()
         lengths = right["n_tokens"].to_numpy(np.int64)
         places = np.frombuffer(b"".join(map(unpacker.decompress, right["places"])), "<u4")
-        total = lambda x: np.add.reduceat(x, np.cumsum(lengths) - lengths)
+        base_score = of_documents(base[places], lengths)
         out = pd.DataFrame({
             "block": right["of_block"].to_numpy(), "row": np.arange(len(right)), "doc_id": right["doc_id"].to_numpy(), "held_out": right["held_out"].to_numpy(), "n_tokens": lengths,
-            "n_known": total((c[places] > 0).astype(np.int64)), "train_tokens": n, "base_score": total(base[places]), "state": None,
+            "n_known": of_documents((c[places] > 0).astype(np.int64), lengths), "train_tokens": n, "base_score": base_score, "state": None,
         })
         held = right["held_out"].to_numpy(bool)
-        out.loc[0, "state"] = pack({"places": places, "lengths": lengths, "held": held, "hashes": hashes.view(np.uint64), "n": c, "log_p": base})
+        state = {"places": places, "lengths": lengths, "held": held, "hashes": hashes, "n": levels(c, least, least_next)[places], "log_p": base[places], "done": np.zeros(len(lengths))}
+        out.loc[0, "state"] = pack(state)
         return out
 
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, state binary"
-    began = materialized(answers.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(begun, schema))
+    schema = "block long, row long, doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, state binary"
+    texts = coded.select(F.col("block").alias("of_block"), "doc_id", "held_out", "n_tokens", "places", "hashes")
+    began = materialized(counts.select("block", "range", "counts").groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(begun, schema))
     # In buckets, so that a depth shuffles the answers to the states and not the states.
     states = began.where(F.col("state").isNotNull()).select("block", "state")
     buckets = min(MOST_BUCKETS, max(1, states.count()))
@@ -441,11 +483,10 @@ def score_documents(
     discard(coded)
     discard(counts)
     release(spark)
-    ranges = max(1, -(-(n or 0) // range_tokens))
     for d in range(1, depth + 1):
-        often = materialized(often_enough(states, d, least, least_next, ranges))
+        often = materialized(often_enough(states, d, least_next, ranges))
         release(spark)
-        found = sent(states, often, d, least, least_next, ranges)
+        found = sent(states, often, d, ranges)
         found = materialized(found.groupBy("context", "key").agg(F.sum("n").alias("n"), F.max("shorter").alias("shorter")).where(F.col("n") >= least_next))
         release(spark)
         model = materialized(kept_contexts(found, max(min_bits, min_gain * n), prior))
@@ -453,11 +494,11 @@ def score_documents(
         release(spark)
         known = answered(states, often, model, d, least, least_next, ranges)
         result = "block long, state binary" if d < depth else "block long, row long, score double"
-        deeper = known.groupBy("block").cogroup(states.groupBy("block")).applyInPandas(deeper_states(d, d == depth, least, least_next, ranges), result)
+        deeper = known.groupBy("block").cogroup(states.groupBy("block")).applyInPandas(deeper_states(d, d == depth, ranges), result)
         deeper = materialized(deeper) if d == depth else bucketed(deeper, "block", buckets)
         for used in (often, model):
             discard(used)
         drop_bucketed(states)
         states = deeper
         release(spark)
-    return done.join(states, ["block", "row"]).drop("block", "row")
+    return done.join(states, ["block", "row"]).drop("block", "row").withColumn("doc_id", F.col("doc_id").cast(kind))
