@@ -77,35 +77,6 @@ def person_key(title: Column) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def event_key(title: Column, published_at: Column) -> Column:
-    """person|event|day, null without a person."""
-    person = person_key(title)
-    day = F.coalesce(F.date_format(published_at, "yyyy-MM-dd"), F.lit("unknown"))
-    return F.when(person.isNotNull(), F.concat_ws("|", person, F.coalesce(title_event(title), F.lit("unknown")), day))
-
-
-def keyword_count(text: Column, terms: list[str]) -> Column:
-    out = F.lit(0)
-    for term in terms:
-        out = out + contains_term(text, F.lit(term)).cast("int")
-    return out
-
-
-def sport_of(text: Column, leagues: dict[str, list[str]], signals: dict[str, list[str]], excluded: list[str]) -> Column:
-    """The sport a text is about: none if an excluded one is named; a league's sport, in the order given; else the
-    sport with direct signals where the other has none, or with at least two and more than the other."""
-    names = list(signals)
-    out = F.when(any_term(text, excluded), F.lit(None).cast("string"))
-    for sport in leagues:
-        out = out.when(any_term(text, leagues[sport]), sport)
-    counts = {s: keyword_count(text, signals[s]) for s in names}
-    for s in names:
-        others = [counts[o] for o in names if o != s]
-        most = F.greatest(*others, F.lit(0), F.lit(0))
-        out = out.when(((counts[s] >= 1) & (most == 0)) | ((counts[s] >= 2) & (counts[s] > most)), s)
-    return out
-
-
 def substring_any(text: Column, terms: list[str]) -> Column:
     """Any of the terms anywhere in the text, within words too."""
     out = F.lit(False)

@@ -27,7 +27,7 @@ CANDIDATE_WORDS = (
     r"|utklassning|succé\p{L}*|succe\p{L}*|red card|rött kort|rott kort|utvisning|matchstraff|silly[ _]season|ny klubb|starting xi|lineups?|startelva|laguppställning"
     r"|laguppstallning|team news"
 )
-LOOKING_BACK = r"(?iU)\b(veckans|månadens|årets|ranking|rankingen|topp\s*\d+|de\s+\d+\s+bästa|tre\s+punkter|analys|krönika|hyllning|succéstarten|succestarten)\b"
+LOOKING_BACK_WORDS = r"veckans|månadens|årets|ranking|rankingen|topp\s*\d+|de\s+\d+\s+bästa|tre\s+punkter|analys|krönika|hyllning|succéstarten|succestarten"
 PRIORITY_CATEGORIES = ["transfer", "departure", "contract", "management", "match-event", "discipline", "live"]
 VIP_CATEGORIES = ["transfer", "departure", "contract", "management", "match-event"]
 #: Of each badge the label, the variant, and the categories that it goes with.
@@ -60,6 +60,11 @@ MODEL_KEYS = ["badge", "breaking", "category", "evidence", "status"]
 VERDICT_KEYS = ["confidence", "evidence_a", "evidence_b", "material_update", "same_event"]
 
 
+#: A word's edge as the rule knows it, where letters, digits and _ of ASCII alone are word characters. So `årets` at the
+#: start of a word has none before it, and doesn't look back: "Årets mål" keeps its priority.
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
 def joined(tags: Column) -> Column:
     return F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")
 
@@ -80,7 +85,7 @@ def valid(a: Column, title: Column) -> Column:
 
 def exceptional_success(title: Column) -> Column:
     """No retrospective, ranking or commentary."""
-    return ~F.lower(text(title)).rlike(LOOKING_BACK)
+    return ~F.lower(text(title)).rlike(f"(?iu){EDGE}(?:{LOOKING_BACK_WORDS}){EDGE}")
 
 
 def priority(a: Column, title: Column) -> Column:

@@ -16,6 +16,13 @@ REASONS = [
 FIRST_TIER = ["player", "coach", "domestic"]
 SURNAME = 4
 
+# Words of the second sport detector, and the pages and names of the regional paper's rule.
+SECOND_HOCKEY = "shl|hockeyallsvenskan|hockeyallsv|allsvenskan hockey|ishockey|hockey|powerplay|boxplay|utvisning|period|tekning|pp|bp"
+SECOND_FOOTBALL = "allsvenskan|superettan|fotboll|premier league|championship|serie a|la liga|bundesliga|eredivisie|målskytt|straff|hörna|offside|xg"
+HOCKEY_ITSELF = "hockey|ishockey"
+PAPER_SPORT, PAPER_CLUB = "/sport/", ["kalmar ff", "kff"]
+PAPER_BLOCKED = ["/sport/resultat", "/kronikor/", "/ledare/", "/insandare/"]
+
 
 def presentation(title: Column, tags: Column) -> Column:
     return normalize(F.concat(text(title), F.lit(" "), F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")))
@@ -66,16 +73,16 @@ def related_terms(players: DataFrame, teams: DataFrame, staff: DataFrame) -> Dat
 
 def second_sport(said: Column) -> Column:
     """The looser detector of the top item: hockey or football words, football if neither or both but for hockey itself."""
-    hockey = said.rlike(r"(?i)\b(shl|hockeyallsvenskan|hockeyallsv|allsvenskan hockey|ishockey|hockey|powerplay|boxplay|utvisning|period|tekning|pp|bp)\b")
-    football = said.rlike(r"(?i)\b(allsvenskan|superettan|fotboll|premier league|championship|serie a|la liga|bundesliga|eredivisie|målskytt|straff|hörna|offside|xg)\b")
-    return F.when(hockey & ~football, "hockey").when(football & ~hockey, "football").when(said.rlike(r"(?i)\b(hockey|ishockey)\b"), "hockey").otherwise("football")
+    hockey = said.rlike(rf"(?i)\b({SECOND_HOCKEY})\b")
+    football = said.rlike(rf"(?i)\b({SECOND_FOOTBALL})\b")
+    return F.when(hockey & ~football, "hockey").when(football & ~hockey, "football").when(said.rlike(rf"(?i)\b({HOCKEY_ITSELF})\b"), "hockey").otherwise("football")
 
 
 def local_paper_item(title: Column, url: Column) -> Column:
     """An item of the regional paper is one of its sport pages, no results or opinion page, and names the club."""
     said = F.lower(F.concat(text(title), F.lit(" "), text(url)))
-    blocked = said.rlike("/sport/resultat|/kronikor/|/ledare/|/insandare/")
-    return F.contains(said, F.lit("/sport/")) & ~blocked & said.rlike("kalmar ff|kff")
+    blocked = said.rlike("|".join(PAPER_BLOCKED))
+    return F.contains(said, F.lit(PAPER_SPORT)) & ~blocked & said.rlike("|".join(PAPER_CLUB))
 
 
 def event_valid(event_type: Column, news_id: Column, entity_id: Column, source: Column, entity_type: Column, sport: Column) -> Column:

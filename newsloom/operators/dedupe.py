@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import editorial
+from newsloom.functions import editorial, scoring
 from newsloom.functions.classify import angle, banned_hockey, junior_team
 from newsloom.functions.text import normalize, story_title, text
 
@@ -144,6 +144,42 @@ def decide(candidates: list[Candidate], event_keys: list[str | None], blocked: l
 NO_ASSESSMENT = "struct<version:int,title:string,category:string,status:string,badge:string,breaking:boolean,evidence:string,assessed_at:timestamp,model:string>"
 
 
+# What a source's category adds to its authority, an hour's fits to its worth, and an own entity's article.
+CATEGORY_WORTH = {"official_local": 0.4, "local_media": 0.28, "public_service_local": 0.28, "aggregator_team_feed": 0.14, "fan_community": 0.04}
+LEAGUE_WORTH, COUNTRY_WORTH = 0.025, 0.02
+OWN_ENTITY_WORTH = {"official_local": 0.2, "local_media": 0.08, "public_service_local": 0.08}
+HITS = "array<struct<entity_id:string,sport:string,type:string,name:string,is_swedish:boolean,is_abroad_core:boolean>>"
+
+
+def by_category(category: Column, worth: dict[str, float]) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in worth.items() for x in kv])[category], F.lit(0.0))
+
+
+def source_quality(authority: Column, category: Column) -> Column:
+    """A source's worth by its profile: its authority and what its category adds, 0 at least; without a profile 0."""
+    return F.greatest(F.lit(0.0), F.coalesce(authority, F.lit(0.0)) + by_category(category, CATEGORY_WORTH))
+
+
+def with_source_worth(items: DataFrame, now: Column) -> DataFrame:
+    """items with quality and preference, which `sequential_dedupe` takes: the source's worth, and that with what the
+    article's league and country fit add, and more for an official or local source with an article of an entity it owns.
+
+    items: title, tags, source, sport, published_at, editorial (struct or null), profile_authority and profile_category (of
+    the source's profile), policy_entity_ids (those that the source's policy names) and entities (of the article). The fits
+    are those of the score, of title, tags, source and assessment alone.
+    """
+    bare = items.select(F.struct(*items.columns).alias("_item"), "title", "tags", "source", "sport", "published_at", "editorial").withColumns({
+        "entity_hits": F.array().cast(HITS), "priority": F.lit(0), "local_score": F.lit(0.0), "duplicate_count": F.lit(0), "event_intensity": F.lit(0),
+    })
+    scored = scoring.score_articles(bare, now)
+    category = F.col("_item.profile_category")
+    quality = source_quality(F.col("_item.profile_authority"), category)
+    owns = F.coalesce(F.arrays_overlap("_item.policy_entity_ids", "_item.entities"), F.lit(False))
+    own = F.when(owns, by_category(category, OWN_ENTITY_WORTH)).otherwise(0.0)
+    preference = F.greatest(F.lit(0.0), quality + F.col("source_league_fit") * LEAGUE_WORTH + F.col("source_country_fit") * COUNTRY_WORTH + own)
+    return scored.select("_item.*", quality.alias("quality"), preference.alias("preference"))
+
+
 def prepared(items: DataFrame, sport: Column) -> DataFrame:
     """items (title, url, source, published_at) with what the rules need of each row."""
     title = normalize(F.col("title"))

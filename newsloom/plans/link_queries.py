@@ -34,7 +34,7 @@ STORY = norm_sql("title")
 
 
 @query(
-    NEWS + f""", s AS (SELECT doc_id, sport, published_at, [(doc_id % 50)::VARCHAR, 'x' || (doc_id * 3 % 70)::VARCHAR] AS e, trim(regexp_replace({STORY}, '^(just nu|live|klart|officiellt|uppgifter|uppgift)\\s+', '')) AS t FROM news),
+    NEWS + f""", s AS (SELECT doc_id, sport, published_at, [(doc_id % 50)::VARCHAR, 'x' || (doc_id * 3 % 70)::VARCHAR] AS e, trim(regexp_replace({STORY}, '^({'|'.join(X.STORY_PREFIXES)})\\s+', '')) AS t FROM news),
  g AS (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w, {_gram_sql('t', '  ')} AS g FROM s),
  p AS (SELECT a.doc_id AS id, b.doc_id AS other, greatest({_jac_sql('a.w', 'b.w')}, {_jac_sql('a.g', 'b.g')}) AS similarity FROM g a JOIN g b ON a.sport = b.sport AND a.doc_id <> b.doc_id
  AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 10800000000 AND list_has_any(a.e, b.e))

@@ -191,10 +191,14 @@ def assessed(rows: DataFrame) -> DataFrame:
     return evaluated(made, {"a": F.when(E.valid(F.col("a"), F.col("title")), F.col("a"))})
 
 
+def in_sql(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 ASSESSED = NEWS + rf""", b AS (SELECT *, {pick_sql([*E.CATEGORIES, 'odd'], 'doc_id')} AS category, {pick_sql(E.STATUSES, 'doc_id // 3')} AS status, CASE WHEN doc_id % 4 <> 0 THEN {pick_sql(E.BADGES, 'doc_id // 2')} END AS badge, doc_id % 6 = 0 AS breaking,
  doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND (doc_id % 13 <> 0 OR title = 'other') AND {pick_sql([*E.CATEGORIES, 'odd'], 'doc_id')} <> 'odd' AND doc_id % 17 <> 0 AS ok FROM news),
- e AS (SELECT *, NOT regexp_matches(lower(title), '(^|[^\p{{L}}\p{{N}}_])(veckans|månadens|årets|ranking|rankingen|topp\s*\d+|de\s+\d+\s+bästa|tre\s+punkter|analys|krönika|hyllning|succéstarten|succestarten)($|[^\p{{L}}\p{{N}}_])') AS live_success FROM b),
- p AS (SELECT *, ok AND ((status = 'reported' AND badge IS NOT DISTINCT FROM 'HERE_WE_GO' AND category = 'transfer') OR (status = 'confirmed' AND (breaking OR category IN ('transfer', 'departure', 'contract', 'management', 'match-event', 'discipline', 'live') OR (category = 'success' AND live_success)))) AS priority FROM e)"""
+ e AS (SELECT *, NOT regexp_matches(lower(title), '\b({E.LOOKING_BACK_WORDS})\b') AS live_success FROM b),
+ p AS (SELECT *, ok AND ((status = 'reported' AND badge IS NOT DISTINCT FROM 'HERE_WE_GO' AND category = 'transfer') OR (status = 'confirmed' AND (breaking OR category IN ({in_sql(E.PRIORITY_CATEGORIES)}) OR (category = 'success' AND live_success)))) AS priority FROM e)"""
 LABEL = "CASE WHEN NOT ok OR badge IS NULL THEN NULL WHEN badge = 'HERE_WE_GO' THEN CASE WHEN status IN ('confirmed', 'reported') AND category = 'transfer' THEN '{}' END WHEN status <> 'confirmed' OR (category = 'success' AND NOT live_success) THEN NULL {} END".format(
     E.REPORTED_LABEL,
     " ".join(f"WHEN badge = '{b}' AND category IN ({', '.join(repr(c) for c in cats)}){' AND breaking' if b == 'BREAKING' else ''} THEN '{label}'" for b, (label, _, cats) in E.BADGE_RULES.items()),
@@ -202,7 +206,7 @@ LABEL = "CASE WHEN NOT ok OR badge IS NULL THEN NULL WHEN badge = 'HERE_WE_GO' T
 
 
 @query(
-    ASSESSED + f""" SELECT doc_id, ok, priority, priority AND status = 'confirmed' AND (breaking OR category IN ('transfer', 'departure', 'contract', 'management', 'match-event') OR (category = 'success' AND live_success)) AS vip,
+    ASSESSED + f""" SELECT doc_id, ok, priority, priority AND status = 'confirmed' AND (breaking OR category IN ({in_sql(E.VIP_CATEGORIES)}) OR (category = 'success' AND live_success)) AS vip,
  CASE WHEN priority THEN 12 ELSE 0 END AS urgency, {LABEL} AS label FROM p"""
 )
 def p19_p20_x35_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,8 +87,8 @@ def x01_x05_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    A + f""" SELECT doc_id, trim(regexp_replace({norm_sql("p")}, '^(just nu|live|klart|officiellt|uppgifter|uppgift)\\s+', '')) AS story,
- {norm_sql("regexp_replace(lower(" + fold_sql("p") + "), '^\\s*(just nu|live|breaking|klart|officiellt|official)\\b\\s*[:!-]*\\s*', '')")} AS duplicate
+    A + f""" SELECT doc_id, trim(regexp_replace({norm_sql("p")}, '^({'|'.join(X.STORY_PREFIXES)})\\s+', '')) AS story,
+ {norm_sql("regexp_replace(lower(" + fold_sql("p") + "), '^\\s*(" + '|'.join(X.DUPLICATE_PREFIXES) + ")\\b\\s*[:!-]*\\s*', '')")} AS duplicate
  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'JUST NU: ' WHEN doc_id % 3 = 1 THEN 'Breaking - ' ELSE '' END || title AS p FROM art)"""
 )
 def x07_x08_title_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,6 +313,36 @@ def j17_url_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.same_urls(articles(spark, sf_dir))
 
 
+# Articles that came out close together: eight ids share a time and minutes within it, and two outlets tell the same.
+CLOSE = f"""{A}, close AS (SELECT doc_id, sport, u, minute, duplicate, list_distinct(list_filter(string_split(duplicate, ' '), lambda x: x <> '')) AS w, {_gram_sql('duplicate', '  ')} AS g FROM (SELECT doc_id, sport,
+  'https://example.org/' || (doc_id // 2)::VARCHAR AS u, (doc_id // 8) * 600 + (doc_id % 8) * 60 AS minute,
+  {norm_sql("regexp_replace(lower(" + fold_sql('title') + "), '^\\s*(" + '|'.join(X.DUPLICATE_PREFIXES) + ")\\b\\s*[:!-]*\\s*', '')")} AS duplicate FROM art)),
+ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.u = b.u THEN 'canonical-url' ELSE 'title-similarity' END AS kind FROM close a JOIN close b ON a.sport = b.sport AND a.doc_id < b.doc_id 
+  WHERE CASE WHEN abs(a.minute - b.minute) > 360 THEN FALSE WHEN a.u = b.u THEN TRUE ELSE greatest({_jac_sql('a.w', 'b.w')}, {_jac_sql('a.g', 'b.g')}) >= 0.5 END)"""
+
+
+def close_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    at = F.timestamp_micros(F.lit(1704067200000000) + (F.floor(k / 8) * 600 + F.pmod(k, F.lit(8)) * 60) * 60000000)
+    url = F.concat(F.lit("https://Example.org/"), F.floor(k / 2).cast("string"), F.lit("/?q="), k.cast("string"))
+    return articles(spark, sf_dir).withColumns({"published_at": at, "url": url})
+
+
+@query(CLOSE + " SELECT a, b, kind FROM pairs")
+def j17_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.similar_pairs(close_articles(spark, sf_dir), threshold=0.5)
+
+
+@query(
+    CLOSE + """, reach AS (SELECT node, min(least(node, other)) AS low FROM (SELECT a AS node, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs) GROUP BY node)
+ SELECT node AS id, CASE WHEN node IN (SELECT a FROM pairs WHERE kind = 'canonical-url' UNION SELECT b FROM pairs WHERE kind = 'canonical-url') THEN TRUE ELSE FALSE END AS by_url FROM reach"""
+)
+def a03_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, urls = graph.duplicate_groups(close_articles(spark, sf_dir), threshold=0.5), graph.same_urls(close_articles(spark, sf_dir))
+    own = urls.select(F.col("a").alias("id")).unionByName(urls.select(F.col("b").alias("id"))).distinct().withColumn("by_url", F.lit(True))
+    return groups.select("id").join(own, "id", "left").select("id", F.coalesce("by_url", F.lit(False)).alias("by_url"))
+
+
 @query("SELECT n_name, n_nationkey FROM nation GROUP BY ALL HAVING count(*) = 1")
 def j22_unique_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.unique_lookup(table(spark, sf_dir, "nation"), "n_name", "n_nationkey")

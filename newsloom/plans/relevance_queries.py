@@ -60,9 +60,9 @@ def p24_event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    NEWS + r""" SELECT doc_id, CASE WHEN h AND NOT f THEN 'hockey' WHEN f AND NOT h THEN 'football' WHEN regexp_matches(title, '(?i)\b(hockey|ishockey)\b') THEN 'hockey' ELSE 'football' END AS sport FROM (SELECT *,
- regexp_matches(title, '(?i)\b(shl|hockeyallsvenskan|hockeyallsv|allsvenskan hockey|ishockey|hockey|powerplay|boxplay|utvisning|period|tekning|pp|bp)\b') AS h,
- regexp_matches(title, '(?i)\b(allsvenskan|superettan|fotboll|premier league|championship|serie a|la liga|bundesliga|eredivisie|målskytt|straff|hörna|offside|xg)\b') AS f FROM news)"""
+    NEWS + rf""" SELECT doc_id, CASE WHEN h AND NOT f THEN 'hockey' WHEN f AND NOT h THEN 'football' WHEN regexp_matches(title, '(?i)\b({R.HOCKEY_ITSELF})\b') THEN 'hockey' ELSE 'football' END AS sport FROM (SELECT *,
+ regexp_matches(title, '(?i)\b({R.SECOND_HOCKEY})\b') AS h,
+ regexp_matches(title, '(?i)\b({R.SECOND_FOOTBALL})\b') AS f FROM news)"""
 )
 def p28_second_sport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news(spark, sf_dir).select("doc_id", R.second_sport(F.col("title")).alias("sport"))
@@ -71,7 +71,7 @@ def p28_second_sport(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAPER = ["https://o.se/sport/kff-vinner", "https://o.se/sport/resultat/kff", "https://o.se/nyheter/kff", "https://o.se/sport/hockey"]
 
 
-@query(f"SELECT c_custkey, contains(s, '/sport/') AND NOT contains(s, '/sport/resultat') AND (contains(s, 'kalmar ff') OR contains(s, 'kff')) AS relevant FROM (SELECT c_custkey, lower({pick_sql(['Kalmar FF', 'Other'], 'c_custkey // 4')} || ' ' || {pick_sql(PAPER, 'c_custkey')}) AS s FROM customer)")
+@query(f"SELECT c_custkey, contains(s, '{R.PAPER_SPORT}') AND NOT regexp_matches(s, '{'|'.join(R.PAPER_BLOCKED)}') AND regexp_matches(s, '{'|'.join(R.PAPER_CLUB)}') AS relevant FROM (SELECT c_custkey, lower({pick_sql(['Kalmar FF', 'Other'], 'c_custkey // 4')} || ' ' || {pick_sql(PAPER, 'c_custkey')}) AS s FROM customer)")
 def p29_local_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select("c_custkey", R.local_paper_item(pick(["Kalmar FF", "Other"], F.floor(k / 4)), pick(PAPER, k)).alias("relevant"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import editorial as E
 from newsloom.functions import scoring as S
-from newsloom.operators import rank
+from newsloom.operators import dedupe, rank
 from newsloom.plans.news_queries import NAMES, NEWS, TYPES, news, pick, pick_sql
 from newsloom.plans.registry import fold_sql, now, query
 
@@ -103,3 +103,23 @@ def f04_p17_k01_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = S.score_articles(scored_news(spark, sf_dir).withColumn("ordinal", F.col("doc_id")), now(), FAVORITES)
     few = rank.top_k(rank.score_floor(scored, {"football": (0.0, -2.0), "hockey": (2.0, -3.0)}), ["sport"], 200, *rank.score_order())
     return few.select("doc_id", "sport", "score", F.col("position").cast("long").alias("position"))
+
+
+KINDS = [*dedupe.CATEGORY_WORTH, "other"]
+#: The same articles without hits, priority and intensity, as a source's worth sees them.
+BARE = SCORES.replace("doc_id % 4 = 0 THEN []", "TRUE THEN []").replace("doc_id % 100 AS priority", "0 AS priority").replace("doc_id % 3 AS intensity", "0 AS intensity")
+
+
+def worth_sql(worth: dict[str, float]) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in worth.items()) + " ELSE 0.0 END"
+
+
+@query(
+    BARE + f""", w AS (SELECT *, {pick_sql(KINDS, 'doc_id // 2')} AS kind, (doc_id % 10)::DOUBLE / 10 AS authority FROM p), q AS (SELECT *, greatest(0.0, authority + {worth_sql(dedupe.CATEGORY_WORTH)}) AS quality FROM w)
+ SELECT doc_id, round(quality, 6) AS quality, round(greatest(0.0, quality + source_league_fit * 0.025 + source_country_fit * 0.02 + CASE WHEN doc_id % 5 = doc_id % 3 THEN {worth_sql(dedupe.OWN_ENTITY_WORTH)} ELSE 0.0 END), 6) AS preference FROM q"""
+)
+def c21_source_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    entity = lambda n: F.array(F.concat(F.lit("e"), F.pmod(k, F.lit(n)).cast("string")))
+    items = scored_news(spark, sf_dir).withColumns({"profile_authority": F.pmod(k, F.lit(10)).cast("double") / 10, "profile_category": pick(KINDS, F.floor(k / 2)), "policy_entity_ids": entity(5), "entities": entity(3)})
+    return dedupe.with_source_worth(items, now()).select("doc_id", F.round("quality", 6).alias("quality"), F.round("preference", 6).alias("preference"))

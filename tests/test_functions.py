@@ -5,8 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.functions import classify, scoring
+from newsloom.functions import classify, editorial, policy, scoring
 from newsloom.functions import text as X
+from newsloom.operators.dedupe import NO_ASSESSMENT
 
 NOW = dt.datetime(2026, 9, 21, 12)
 HITS = "array<struct<entity_id:string,sport:string,type:string,name:string,is_swedish:boolean,is_abroad_core:boolean>>"
@@ -40,8 +41,12 @@ def value(spark, column):
         (lambda: classify.canonical_event(X.normalize(F.lit("Rött kort för Isak"))), "red_card"),
         (lambda: classify.angle(X.normalize(F.lit("Krönika: så var matchen"))), "analysis"),
         (lambda: classify.junior_team(F.lit("seger for u17 laget")), True),
-        (lambda: classify.event_key(X.normalize(F.lit("Nylander skadad")), F.lit("2026-01-02").cast("date")), "william_nylander|injury|2026-01-02"),
-        (lambda: classify.sport_of(F.lit("straff och mal"), {"football": ["allsvenskan"]}, {"football": ["straff", "mal"], "hockey": ["puck"]}, ["golf"]), "football"),
+        (lambda: editorial.event_key(F.lit(None).cast(NO_ASSESSMENT), F.lit("Nylander skadad"), F.array().cast("array<string>"), F.lit("2026-01-02").cast("date")), "william_nylander|injury|2026-01-02"),
+        (lambda: policy.sport_of(F.lit("allsvenskan och straff")), "football"),
+        (lambda: policy.sport_of(F.lit("ord utan sport")), None),
+        (lambda: editorial.exceptional_success(F.lit("Årets mål")), True),
+        (lambda: editorial.exceptional_success(F.lit("Krönika: en succé")), False),
+        (lambda: editorial.exceptional_success(F.lit("Lista: topp 10")), False),
     ],
 )
 def test_text_functions(spark, column, want):
