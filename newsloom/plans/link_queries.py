@@ -381,3 +381,29 @@ def s15_merge_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
     source = o.withColumn("ordinal", F.lit(1)).unionByName(o.select("k", F.lit(-1.0).alias("v"), F.lit(2).alias("ordinal")))
     return relational.merge_insert_ignore(o.where("k % 3 = 0"), source, ["k"], "ordinal").select("k", "v")
+
+
+CATALOG = f"""SELECT 'player' AS type, sport, name, aliases, abroad FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'football' ELSE 'hockey' END AS sport, c_mktsegment || ' ' || c_name AS name, [c_mktsegment || ' ' || c_name, CASE WHEN c_custkey % 3 = 0 THEN 'Åke ' || c_custkey END] AS aliases,
+  NOT (c_custkey % 2 = 0 AND c_nationkey % 3 < 2) AS abroad FROM customer)
+ UNION ALL SELECT 'staff', CASE WHEN s_suppkey % 2 = 0 THEN 'football' ELSE 'hockey' END, s_name, [s_name, s_name, 'Tränare ' || s_suppkey], TRUE FROM supplier WHERE s_suppkey % 4 > 0
+ UNION ALL SELECT 'league', CASE WHEN r_regionkey % 2 = 0 THEN 'football' ELSE 'hockey' END, r_name, [r_name], FALSE FROM region WHERE r_regionkey % 2 = 0
+ UNION ALL SELECT 'team', CASE WHEN n_nationkey % 2 = 0 THEN 'football' ELSE 'hockey' END, n_name, [n_name], FALSE FROM nation WHERE n_regionkey % 2 = 0"""
+ALIAS = norm_sql("x")
+
+
+@query(
+    f"""SELECT 'catalog-' || sport || '-' || type || '-' || replace({norm_sql("name")}, ' ', '-') AS entity_id, sport, type, name, abroad AS is_abroad_core,
+ array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(aliases, lambda x: x IS NOT NULL), lambda x: {ALIAS}), lambda x: x <> ''))), '|') AS aliases,
+ CASE type WHEN 'player' THEN 0.96 WHEN 'staff' THEN 0.97 WHEN 'league' THEN 0.94 ELSE 0.93 END::DOUBLE AS confidence FROM ({CATALOG})"""
+)
+def u10_core_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sport = lambda k: F.when(F.col(k) % 2 == 0, "football").otherwise("hockey").alias("sport")
+    country = lambda k: F.when(F.col(k) % 2 == 0, "Sverige").otherwise("Norge").alias("country")
+    k, league = F.col("c_custkey"), F.element_at(F.array(F.lit("Allsvenskan"), F.lit("Superettan"), F.lit("Serie A")), F.col("c_nationkey") % 3 + 1)
+    players = table(spark, sf_dir, "customer").select(sport("c_custkey"), F.col("c_mktsegment").alias("first_name"), F.col("c_name").alias("last_name"), F.when(k % 3 == 0, F.concat(F.lit("Åke "), k.cast("string"))).alias("nickname"), league.alias("league"))
+    s = F.col("s_suppkey")
+    staff = table(spark, sf_dir, "supplier").select(sport("s_suppkey"), F.col("s_name").alias("name"), F.array("s_name", F.concat(F.lit("Tränare "), s.cast("string"))).alias("aliases"), (s % 4 > 0).alias("active"))
+    leagues = table(spark, sf_dir, "region").select(sport("r_regionkey"), F.col("r_name").alias("name"), country("r_regionkey"))
+    teams = table(spark, sf_dir, "nation").select(sport("n_nationkey"), F.col("n_name").alias("name"), country("n_regionkey"))
+    out = linking.core_catalog(players, staff, leagues, teams)
+    return out.select("entity_id", "sport", "type", "name", "is_abroad_core", F.array_join(F.sort_array("aliases"), "|").alias("aliases"), "confidence")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from newsloom.plans import link_queries, news_queries, registry, relevance_queries, request_queries, score_queries, selection_queries  # noqa: F401  (they register their queries)
+from newsloom.plans import link_queries, news_queries, registry, relevance_queries, request_queries, score_queries, selection_queries, stream_queries  # noqa: F401  (they register their queries)
 
 DATA = "/root/testdata/sf0.001"
 
