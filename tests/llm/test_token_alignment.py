@@ -91,10 +91,10 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("chunk_chars", [8_000_000, 900])
-def test_documents_equal_whole_alignments(spark, texts, chunk_chars):
-    """In one chunk a task and in many."""
-    compare(spark, texts, chunk_chars=chunk_chars)
+@pytest.mark.parametrize("chunk_chars, range_chars", [(16_000_000, 8_000_000), (900, 500)])
+def test_documents_equal_whole_alignments(spark, texts, chunk_chars, range_chars):
+    """In one chunk a task and one range, and in many of both."""
+    compare(spark, texts, chunk_chars=chunk_chars, range_chars=range_chars)
 
 
 def test_whole_documents(spark):
