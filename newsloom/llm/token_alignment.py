@@ -259,8 +259,9 @@ def placed(left: pd.DataFrame, name: str) -> np.ndarray:
     return out
 
 
-def linked_documents(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """pair, docs: in how many of a chunk's documents each pair of ids is linked. left: what it was told, right: documents."""
+def linked_documents(left: pd.DataFrame, right: pd.DataFrame, step: int = 400_000) -> pd.DataFrame:
+    """pair, docs: in how many of a chunk's documents each pair of ids is linked. left: what it was told, right: documents.
+    step: the segments of documents that are looked at together."""
     found, lengths = documents_of(right["codes"])
     sizes = placed(left, "sizes")
     begin = np.cumsum(sizes) - sizes
@@ -269,14 +270,20 @@ def linked_documents(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ks = unpacked(ks)
         pairs[np.repeat(begin[ks] - np.cumsum(sizes[ks]) + sizes[ks], sizes[ks]) + np.arange(sizes[ks].sum())] = unpacked(blob)
     good = per_document(1 - placed(left, "spelt")[found], lengths) == 0
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    once = np.unique(((doc << 32) | found)[good[doc]])
-    doc, segment = once >> 32, once & 0xFFFFFFFF
     names, at = np.unique(pairs, return_inverse=True)
-    first, n = begin[segment], sizes[segment]
-    places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-    both = np.unique((np.repeat(doc, n) << 32) | at[places])
-    docs = np.bincount(both & 0xFFFFFFFF, minlength=len(names))
+    docs, ends, a = np.zeros(len(names), np.int64), np.cumsum(lengths), 0
+    while a < len(lengths):
+        # Some documents at a time: what is kept of each is its distinct pairs.
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - lengths[a] + step, side="right")))
+        part = found[ends[a] - lengths[a] : ends[b - 1]]
+        doc = np.repeat(np.arange(b - a), lengths[a:b])
+        once = np.unique(((doc << 32) | part)[good[a:b][doc]])
+        doc, segment = once >> 32, once & 0xFFFFFFFF
+        first, n = begin[segment], sizes[segment]
+        places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.unique((np.repeat(doc, n) << 32) | at[places])
+        docs += np.bincount(both & 0xFFFFFFFF, minlength=len(names))
+        a = b
     return pd.DataFrame({"pair": names[docs > 0], "docs": docs[docs > 0]})
 
 
@@ -332,7 +339,7 @@ def align_documents(
     aligned = materialized(align(encoded, paths))
     release(spark)
     told = aligned.where(F.col("chunk").isNotNull())
-    counts = told.select("chunk", "ks", "spelt", "sizes", "pairs").groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInPandas(linked_documents, "pair long, docs long")
+    counts = told.select("chunk", "ks", "spelt", "sizes", "pairs").groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInPandas(lambda left, right: linked_documents(left, right), "pair long, docs long")
     counts = materialized(counts.groupBy("pair").agg(F.sum("docs").alias("docs")))
     release(spark)
     of_a = F.shiftright("pair", 32).alias("a")

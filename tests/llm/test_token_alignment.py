@@ -118,3 +118,17 @@ def test_cuts_are_only_where_no_entry_merges_across():
     text = " a b　 c\r\n d;\r e\n\nf \t g "
     assert "".join(pair.segments(text)) == text
     assert [s for s in pair.segments(text) if s] == [" a", " b　 c\r\n d;\r e", "\n\nf", " \t g", " "]
+
+
+def test_documents_are_counted_alike_in_parts():
+    """Counts of pairs don't depend on how many documents are looked at together."""
+    import pandas as pd
+
+    segments = [[1, 2], [2], [], [3, 4, 1]]
+    left = pd.DataFrame({"ks": [T.packed([0, 2]), T.packed([1, 3])], "spelt": [T.packed([1, 1]), T.packed([1, 1])], "sizes": [T.packed([2, 0]), T.packed([1, 3])], "pairs": [T.packed([1, 2]), T.packed([2, 3, 4, 1])]})
+    codes = [[0, 0, 1], [1], [], [2], [3, 1, 0], [3]] * 3
+    right = pd.DataFrame({"codes": [T.packed(c) for c in codes]})
+    want = Counter(p for c in codes for p in {p for k in c for p in segments[k]})
+    for step in (1, 3, 400_000):
+        got = T.linked_documents(left, right, step)
+        assert dict(zip(got["pair"].tolist(), got["docs"].tolist(), strict=True)) == want
