@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialized
+from newsloom.llm.common import discard, materialized
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -25,7 +25,9 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         up = least.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = materialized(least.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         changed = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
+        discard(labels)
         labels = new
         if not changed:
+            discard(both)
             return labels
     raise RuntimeError(f"components still change after {max_rounds} rounds")

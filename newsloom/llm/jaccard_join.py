@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import bound_batches, materialized
+from newsloom.llm.common import bound_batches, discard, materialized
 from newsloom.llm.components import components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -274,7 +274,8 @@ def jaccard_join(
 
     # One pass over the texts: a hash of each set, and its paths.
     table = materialized(slim.select("key", "t", "text").mapInPandas(split, "key string, t long, s1 long, s2 long, paths array<long>"))
-    sets = table.select(F.col("key").cast(kind).alias("doc_id"), "key", "t", "s1", "s2")
+    # Without the paths, which are deleted as soon as they are followed.
+    sets = materialized(table.select("key", "t", "s1", "s2")).withColumn("doc_id", F.col("key").cast(kind))
     # Of equal sets one text stands for all, under a number that is written with it.
     stands = sets.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "t")).alias("of"))
     stands = materialized(stands.select("s1", "s2", "head", "weight", F.col("of.key").alias("of_key"), F.col("of.t").alias("of_t"), F.monotonically_increasing_id().alias("node")))
@@ -301,6 +302,7 @@ def jaccard_join(
             yield pd.DataFrame({"node": nodes, "p1": first, "below": below})
 
     steps = materialized(heads.mapInPandas(first_paths, "node long, p1 long, below array<long>"))
+    discard(table)
 
     def counted(df: DataFrame) -> DataFrame:
         """df with n, without the buckets of one row."""
@@ -329,6 +331,7 @@ def jaccard_join(
     else:
         last = one.where(F.col("n") <= small).select("bucket", "node", "n").unionByName(two.where(F.col("n") <= small).select("bucket", "node", "n")).unionByName(last)
     last = materialized(last)
+    discard(steps)
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHash()
@@ -349,6 +352,8 @@ def jaccard_join(
     size = dealt_rows(member, block)
     dealt = blocks(member, "component", "node", block).join(drawn.select("node", "tokens"), "node")
     found = materialized(exact_links(dealt, size, threshold))
+    for used in (last, drawn):
+        discard(used)
     links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     of_root = roots.join(stands.select("node", "head"), "node").groupBy("root").agg(F.min("head").alias("class_id"))
