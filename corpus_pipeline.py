@@ -25,13 +25,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays, null ids last. Rows are told apart by
-    numbers of their own, so shared and null ids don't decide what is a near-duplicate."""
-    rows = materialized(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    """Of each class of near-duplicates the document with the smallest id stays, null ids last. Rows are told apart by a hash
+    of id and text, so shared and null ids don't decide what is a near-duplicate; of repeated rows one stays."""
+    said = F.when(F.col("text").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("text")))
+    told = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), said).cast("binary"))
+    rows = docs.select(*COLUMNS).withColumn("_row", told)
     classes = jaccard_join.jaccard_join(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "class_id")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    stay = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(F.min(place)["row"].alias("_row"))
-    return rows.join(stay.select("_row"), "_row", "left_semi").select(*COLUMNS)
+    stay = rows.select("_row", "doc_id").distinct().join(classes.distinct(), "_row").groupBy("class_id").agg(F.min(place)["row"].alias("_row"))
+    return rows.join(stay.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
