@@ -17,18 +17,34 @@ def story_candidates(articles: DataFrame, existing: DataFrame, seconds: int = 3
 
     Pairs are found by an equi-join on sport, entity and a time slot, so an entity in any share of the articles is split
     by time. Of equal similarities the one with the smaller ordinal comes first. Rows without a date or entity match none.
+
+    Articles of the same sport, time, story title and entities are one class, and classes meet, not articles: all of a class
+    have the same candidates, of which it needs most + 1 (an article is none of its own), so no class gives more of its
+    members than that. Titles are compared once for each pair of different ones.
     """
-    slot = F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / (seconds * 1_000_000))
-    base = lambda df: df.where(F.col("published_at").isNotNull()).select("id", "sport", "published_at", "ordinal", F.explode(F.array_distinct("entity_ids")).alias("entity"), slot.alias("slot"))
-    left = base(articles).drop("ordinal").withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
-    right = base(existing).select("sport", "entity", "slot", F.col("id").alias("other"), F.col("published_at").alias("other_at"), "ordinal")
-    apart = F.abs(F.unix_micros(F.col("published_at").cast("timestamp")) - F.unix_micros(F.col("other_at").cast("timestamp")))
-    near = left.join(right, ["sport", "entity", "slot"]).where((apart <= seconds * 1_000_000) & (F.col("id") != F.col("other")))
-    # Titles meet the distinct pairs only.
-    pairs = near.select("id", "other", "ordinal").distinct()
-    titled = pairs.join(articles.select("id", story_title(F.col("title")).alias("t")), "id").join(existing.select(F.col("id").alias("other"), story_title(F.col("title")).alias("u")), "other")
-    found = titled.withColumn("similarity", title_similarity(F.col("t"), F.col("u"))).where(F.col("similarity") >= least)
-    return top_k(found, ["id"], most, F.col("similarity").desc(), F.col("ordinal")).select("id", "other", "similarity", "position")
+    micros = F.unix_micros(F.col("published_at").cast("timestamp"))
+    parts = F.struct("sport", micros.alias("at"), story_title(F.col("title")).alias("title"), F.array_sort(F.array_distinct("entity_ids")).alias("entities"))
+
+    def classed(rows: DataFrame) -> DataFrame:
+        told = rows.where(F.col("published_at").isNotNull()).withColumn("_of", parts)
+        return told.select("id", "ordinal", "_of.*").withColumn("class", F.md5(F.to_json(F.struct("sport", "at", "title", "entities")).cast("binary")))
+
+    def classes(rows: DataFrame) -> DataFrame:
+        slot = F.floor(F.col("at") / (seconds * 1_000_000)).alias("slot")
+        return rows.select("class", "sport", "at", "title", "entities").distinct().select("class", "sport", "at", "title", F.explode("entities").alias("entity"), slot)
+
+    new, old = classed(articles.withColumn("ordinal", F.lit(0))), classed(existing)
+    left = classes(new).withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
+    right = classes(old).select("sport", "entity", "slot", F.col("class").alias("other_class"), F.col("at").alias("other_at"), F.col("title").alias("other_title"))
+    near = left.join(right, ["sport", "entity", "slot"]).where(F.abs(F.col("at") - F.col("other_at")) <= seconds * 1_000_000)
+    pairs = near.select("class", "title", "other_class", "other_title").distinct()
+    alike = pairs.select("title", "other_title").distinct().withColumn("similarity", title_similarity(F.col("title"), F.col("other_title"))).where(F.col("similarity") >= least)
+    found = pairs.join(alike, ["title", "other_title"]).select("class", "other_class", "similarity")
+    first = top_k(old, ["class"], most + 1, F.col("ordinal"), F.col("id")).select(F.col("class").alias("other_class"), F.col("id").alias("other"), "ordinal")
+    order = [F.col("similarity").desc(), F.col("ordinal"), F.col("other")]
+    best = top_k(found.join(first, "other_class"), ["class"], most + 1, *order).select("class", "other", "ordinal", "similarity")
+    own = new.select("id", "class").join(best, "class").where(F.col("id") != F.col("other"))
+    return top_k(own, ["id"], most, *order).select("id", "other", "similarity", "position")
 
 
 def story_index(members: DataFrame, articles: DataFrame, most: int | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.operators import percolate
+import datetime as dt
+
+from newsloom.operators import percolate, stories
 
 
 def joined(df):
@@ -22,6 +24,17 @@ def joined(df):
     return rows, most(df._jdf.queryExecution().executedPlan())
 
 
+def test_equal_articles_are_one_class(spark):
+    noon = dt.datetime(2024, 1, 5, 12)
+    rows = [(k, "football", "Isak scores twice", noon, ["a", "b"], 900 - k) for k in range(900)] + [(1000, "football", "Isak scores once", noon + dt.timedelta(hours=3), ["b", None], 0)]
+    base = spark.createDataFrame(rows, "id int, sport string, title string, published_at timestamp, entity_ids array<string>, ordinal int")
+    found, most = joined(stories.story_candidates(base, base))
+    got = {}
+    for r in found:
+        got.setdefault(r["id"], {})[r["position"]] = r["other"]
+    assert most < 10_000 and len(got) == 901 and got[5] == {1: 899, 2: 898, 3: 897} and got[898] == {1: 899, 2: 897, 3: 896} and got[1000] == {1: 899, 2: 898, 3: 897}
+
+
 def test_articles_of_one_profile_look_up_devices_once(spark):
     df = spark.createDataFrame
     entities = df([(0, "league", "Serie", None, None), (1, "team", "Malmö", None, 0), (2, "player", "Isak", 1, 0)], "id int, type string, name string, team_id int, league_id int")
