@@ -150,19 +150,23 @@ def nearest(points: DataFrame, places: DataFrame, key: str, place: str, most_km:
     """points with the nearest place within most_km and its distance; no row for points without one.
 
     Both sides are dealt to cells of latitude and longitude that cover most_km, so a point meets the places of nine cells;
-    near the poles a band is one cell. Longitudes wrap around.
+    near the poles a band is one cell. Longitudes wrap around. Equal coordinates are compared once.
     """
     bands = max(cell_degrees, most_km / 110.0)
     # The cells of a band, by the latitude of its neighbours that is nearest to a pole.
     edge = (F.abs("_band") + 2) * bands
     count = F.when(edge >= 85, 1).otherwise(F.greatest(F.lit(1), F.floor(360 / (1.2 * most_km / (110 * F.cos(F.radians(edge))))))).cast("int")
     cell = lambda c: F.pmod(F.floor((F.col(c) + 180) / (360 / count)), count)
-    near = places.select(F.col(place), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    # Points at one spot have one nearest place, and of places at one spot the first is it: spots meet spots.
+    near = places.groupBy(F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).agg(F.min(F.struct(place)).alias("_place")).select("_lat", "_lng", F.col(f"_place.{place}").alias(place))
     near = near.withColumn("_band", F.explode(F.array(*[F.floor(F.col("_lat") / bands) + d for d in (-1, 0, 1)])))
     near = near.withColumn("_cell", F.explode(F.array_distinct(F.array(*[F.pmod(cell("_lng") + d, count) for d in (-1, 0, 1)]))))
-    joined = points.withColumn("_band", F.floor(F.col("lat") / bands)).withColumn("_cell", cell("lng")).join(near, ["_band", "_cell"])
-    km = haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))
-    return joined.withColumn("km", km).where(F.col("km") <= most_km).groupBy(key).agg(F.min_by(place, F.struct("km", place)).alias(place), F.min("km").alias("km"))
+    spots = points.select("lat", "lng").distinct()
+    joined = spots.withColumn("_band", F.floor(F.col("lat") / bands)).withColumn("_cell", cell("lng")).join(near, ["_band", "_cell"])
+    joined = joined.withColumn("_km", haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))).where(F.col("_km") <= most_km)
+    best = joined.groupBy("lat", "lng").agg(F.min(F.struct("_km", place)).alias("_best"))
+    met = points.select(key, "lat", "lng").join(best, ["lat", "lng"])
+    return met.groupBy(key).agg(F.min("_best").alias("_best")).select(key, F.col(f"_best.{place}").alias(place), F.col("_best._km").alias("km"))
 
 
 def merge_insert_ignore(target: DataFrame, source: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:

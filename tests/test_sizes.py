@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from newsloom.operators import percolate, stories
+from pyspark.sql import functions as F
+
+from newsloom.operators import percolate, relational, stories
 
 
 def joined(df):
@@ -24,6 +26,13 @@ def joined(df):
     return rows, most(df._jdf.queryExecution().executedPlan())
 
 
+def test_a_spot_is_compared_once(spark):
+    at = lambda d, key, n, step: d.range(n).select(F.col("id").alias(key), (F.col("id") % 2 * step).cast("double").alias("lat"), F.lit(10.0).alias("lng"))
+    rows, most = joined(relational.nearest(at(spark, "p", 2000, 20), at(spark, "q", 600, 20.1), "p", "q", 50))
+    assert {(r["p"] % 2, r["q"]) for r in rows} == {(0, 0), (1, 1)} and len(rows) == 2000 and most <= 2000
+    assert round({r["p"]: r["km"] for r in rows}[1], 2) == 11.12
+
+
 def test_equal_articles_are_one_class(spark):
     noon = dt.datetime(2024, 1, 5, 12)
     rows = [(k, "football", "Isak scores twice", noon, ["a", "b"], 900 - k) for k in range(900)] + [(1000, "football", "Isak scores once", noon + dt.timedelta(hours=3), ["b", None], 0)]
