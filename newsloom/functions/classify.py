@@ -78,8 +78,8 @@ def person_key(title: Column) -> Column:
 
 
 def substring_any(text: Column, terms: list[str]) -> Column:
-    """Any of the terms anywhere in the text, within words too."""
+    """Any of the terms anywhere in the text, within words too. Terms that hold another one are not looked for."""
     out = F.lit(False)
-    for term in terms:
+    for term in dict.fromkeys(t for t in terms if not any(o != t and o in t for o in terms)):
         out = out | F.contains(text, F.lit(term))
     return out

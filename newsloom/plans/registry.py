@@ -258,8 +258,8 @@ def p02_p16_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {norm_sql('text', chr(39) * 2 + '-')} AS n FROM documents) WHERE NOT (contains(n, 'queaux') OR contains(n, 'ingth') OR contains(n, 'golf'))")
 def p03_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = X.normalize_policy(F.col("text"))
-    return table(spark, sf_dir, "documents").where(~classify.substring_any(n, ["queaux", "ingth", "golf"])).select("doc_id")
+    rows = scoring.evaluated(table(spark, sf_dir, "documents").select("doc_id", "text"), {"n": X.normalize_policy(F.col("text"))})
+    return rows.where(~classify.substring_any(F.col("n"), ["queaux", "ingth", "golf"])).select("doc_id")
 
 
 @query(A + " SELECT source, doc_id FROM art QUALIFY row_number() OVER (PARTITION BY source ORDER BY ordinal) <= 80")
