@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions.classify import substring_any
-from newsloom.functions.text import normalize, normalize_policy, text
+from newsloom.functions.text import let, normalize, normalize_policy, text
 
 # Terms and patterns of the policies, as they are written before normalisation.
 OTHER_SPORTS = [
@@ -29,6 +29,7 @@ OTHER_SCOPE = [
     "frauen-bundesliga", "frauen bundesliga", "frauen", "femminile", "femenil", "femenino", "feminina", "feminine",
 ]
 OTHER_SCOPE_WORDS = r"\b(dam|damer|kvinna|kvinnor|kvinnlig|kvinnliga|woman|women|womens|ladies|female|f17|f19|u17 damer|u19 damer)\b"
+OTHER_SCOPE_STEMS = ["dam", "kvinn", "woman", "women", "ladies", "female", "f17", "f19"]
 VERIFIED_NAMES = ["nova selin"]
 VERIFIED_CONTEXT = r"\b(aik|fotboll|football)\b"
 CLUB_SOURCES = {
@@ -81,6 +82,8 @@ SOURCE_TERMS = {
     "hockey": ["hockeynews", "hockeysverige", "hockey", "shl", "hockeyallsvenskan", "nhl", "kalmar hc", "nybro vikings"],
 }
 OTHER = {"football": "hockey", "hockey": "football"}
+# Fixed value: up to so many single words are looked for one by one.
+FEW = 4
 
 
 def plain(term: str, keep: str = "") -> str:
@@ -96,11 +99,20 @@ def contains(said: Column, term: str) -> Column:
 
 
 def contains_any(said: Column, terms: Iterable[str]) -> Column:
-    """The same for many terms, with one pattern."""
+    """The same for many terms: a few are looked for one by one, more single words among the words of the text."""
     named = sorted({plain(t) for t in terms})
-    single, several = "|".join(t for t in named if " " not in t), "|".join(t for t in named if " " in t)
-    found = said.rlike(rf"(?:^| )(?:{single})(?: |$)") if single else F.lit(False)
-    return found | said.rlike(several) if several else found
+    single, several = [t for t in named if " " not in t], [t for t in named if " " in t]
+    found = any_of([contains(said, t) for t in single]) if len(single) <= FEW else F.arrays_overlap(F.split(said, " "), F.array(*map(F.lit, single)))
+    return found | substring_any(said, several) if several else found
+
+
+def count_of(said: Column, terms: Iterable[str]) -> Column:
+    """How many of the terms a normalised text has; terms that are written in two ways but equal count twice."""
+    named = [plain(t) for t in terms]
+    times = {n: sorted(t for t in set(named) if " " not in t and named.count(t) == n) for n in set(map(named.count, named))}
+    words = F.split(said, " ")
+    counts = [F.size(F.array_intersect(words, F.array(*map(F.lit, single)))) * n for n, single in times.items() if single]
+    return reduce(lambda a, b: a + b, counts + [contains(said, t).cast("int") for t in named if " " in t], F.lit(0))
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -116,19 +128,21 @@ def detection_text(title: Column, url: Column, summary: Column, source: Column,
 def other_scope(kept: Column) -> Column:
     """Women's and girls' sport, of a text normalised by the policy: terms anywhere, words, or a verified full name in its context."""
     names = any_of([kept.rlike(rf"(?:^|[^a-z0-9]){name.replace(' ', r'[\s-]+')}(?=$|[^a-z0-9])") for name in VERIFIED_NAMES])
-    return substring_any(kept, [t.lower() for t in OTHER_SCOPE]) | (kept.rlike(VERIFIED_CONTEXT) & names) | kept.rlike(OTHER_SCOPE_WORDS)
+    # Patterns are slow, so texts that hold none of what they need don't meet them.
+    names = substring_any(kept, [name.split(" ")[-1] for name in VERIFIED_NAMES]) & names & kept.rlike(VERIFIED_CONTEXT)
+    words = substring_any(kept, OTHER_SCOPE_STEMS) & kept.rlike(OTHER_SCOPE_WORDS)
+    return substring_any(kept, [t.lower() for t in OTHER_SCOPE]) | words | names
 
 
 def irrelevant(c: Column) -> Column:
     """Another sport anywhere in the text, within words too, or out of scope."""
-    kept = normalize_policy(c)
-    return other_scope(kept) | substring_any(kept, [plain(t, "'-") for t in OTHER_SPORTS])
+    return let(normalize_policy(c), lambda kept: other_scope(kept) | substring_any(kept, [plain(t, "'-") for t in OTHER_SPORTS]))
 
 
 def in_scope(title: Column, url: Column, summary: Column, tags: Column, source: Column, sport: Column) -> Column:
     """Stored rows of men's senior sport."""
     parts = F.concat(F.array(title, url, summary), F.coalesce(tags, F.array().cast("array<string>")), F.array(source, sport))
-    return ~other_scope(normalize_policy(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ")))
+    return ~let(normalize_policy(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ")), other_scope)
 
 
 def url_path(url: Column) -> Column:
@@ -180,12 +194,16 @@ def sport_of(said: Column) -> Column:
     out = F.when(said == "", F.lit(None).cast("string")).when(contains_any(said, EXCLUDED_SPORTS), F.lit(None).cast("string"))
     for sport in ("football", "hockey"):
         out = out.when(contains_any(said, [t for terms in LEAGUES[sport].values() for t in terms]), sport)
-    counts = {s: reduce(lambda a, b: a + b, [contains(said, t).cast("int") for t in terms]) for s, terms in DIRECT_SIGNALS.items()}
-    for sport, other in OTHER.items():
-        out = out.when((counts[sport] > 0) & (counts[other] == 0), sport)
-    for sport, other in OTHER.items():
-        out = out.when((counts[sport] >= 2) & (counts[sport] > counts[other]), sport)
-    return out.otherwise(F.lit(None).cast("string"))
+
+    def by_signals(n: Column) -> Column:
+        clear = F
+        for sport, other in OTHER.items():
+            clear = clear.when((n[sport] > 0) & (n[other] == 0), sport)
+        for sport, other in OTHER.items():
+            clear = clear.when((n[sport] >= 2) & (n[sport] > n[other]), sport)
+        return clear.otherwise(F.lit(None).cast("string"))
+
+    return out.otherwise(let(F.struct(*[count_of(said, terms).alias(s) for s, terms in DIRECT_SIGNALS.items()]), by_signals))
 
 
 def sport_resolution(detected: Column, verified: Column, feed_sport: Column, trusted: Column) -> Column:
