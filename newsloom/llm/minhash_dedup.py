@@ -3,8 +3,7 @@
 A document is the set of its distinct `shingle`-word windows, with A-Z in lower case; with fewer words, the whole
 sequence is the only one. Equal sets are taken once. A signature has `bands` x `rows` minima; sets whose minima agree in a
 whole band meet in a bucket, which a pair at the threshold misses with the chance (1 - threshold^rows)^bands, 6e-6 here.
-Buckets of more than `split` sets, which a passage that very many texts share can make, are split by all other bands: sets
-stay together that share two bands, which a pair at the threshold misses with a chance of 9e-5.
+That holds for buckets of any size: larger ones than `split` sets are compared in blocks, without another condition.
 
 Pairs of a bucket are compared by batches of `batch` minima, kept as bytes. After each batch the posterior of their
 agreement, under a flat prior, is Beta(matches + 1, misses + 1); a pair goes as soon as the chance that its similarity
@@ -122,28 +121,39 @@ def apart(group: dict[str, np.ndarray], batch: int, bars: tuple[int, ...]) -> It
             yield labels, i, others[at[np.argsort(-matches, kind="stable")]]
 
 
+def stars(nodes: np.ndarray, labels: Labels | None) -> list[tuple]:
+    """Edges that connect what was joined, from the smallest node of each part: the same in most buckets of a large class."""
+    if labels is None or not labels.edges:
+        return []
+    at = np.unique(np.array(labels.edges))
+    ids, of = nodes[at].astype(np.int64), labels.of[at]
+    order = np.lexsort((ids, of))
+    ids, of = ids[order], of[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    heads = np.repeat(ids[first], np.diff(np.append(first, len(of))))
+    return [(a, b) for a, b in zip(heads.tolist(), ids.tolist()) if a != b]
+
+
 def near_pairs(batch: int, bars: tuple[int, ...]) -> Callable[[dict[str, np.ndarray]], list[tuple]]:
-    """A spanning forest of the pairs of a group that stay."""
+    """Edges that connect the pairs of a group that stay."""
 
     def run(group: dict[str, np.ndarray]) -> list[tuple]:
-        edges: list = []
+        labels = None
         for labels, i, others in apart(group, batch, bars):
-            edges = labels.edges
             for j in others.tolist():
                 if labels.of[j] != labels.of[i]:
                     labels.join(i, j)
-        return [(group["node"][i], group["node"][j]) for i, j in edges]
+        return stars(group["node"], labels)
 
     return run
 
 
 def exact_pairs(batch: int, bars: tuple[int, ...], percent: int) -> Callable[[dict[str, np.ndarray]], list[tuple]]:
-    """A spanning forest of the pairs of a group whose full sets are similar enough."""
+    """Edges that connect the pairs of a group whose full sets are similar enough."""
 
     def run(group: dict[str, np.ndarray]) -> list[tuple]:
-        sets, edges = [np.frombuffer(t, np.uint64) for t in group["tokens"]], []
+        sets, labels = [np.frombuffer(t, np.uint64) for t in group["tokens"]], None
         for labels, i, others in apart(group, batch, bars):
-            edges = labels.edges
             for j in others.tolist():
                 if labels.of[j] == labels.of[i]:
                     continue
@@ -153,7 +163,7 @@ def exact_pairs(batch: int, bars: tuple[int, ...], percent: int) -> Callable[[di
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * common >= percent * (small + large - common):
                     labels.join(i, j)
-        return [(group["node"][i], group["node"][j]) for i, j in edges]
+        return stars(group["node"], labels)
 
     return run
 
@@ -238,12 +248,7 @@ def near_dedup(
     stands = materialized(stands.withColumn("node", F.monotonically_increasing_id()))
     banded = stands.select("node", F.explode("bands").alias("group"))
     buckets = materialized(several(banded))
-    met = banded.join(buckets.where(F.col("n") <= split), "group")
-    if not buckets.where(F.col("n") > split).isEmpty():
-        large = banded.join(buckets.where(F.col("n") > split).select("group"), "group").join(stands.select("node", "bands"), "node")
-        other = F.explode(F.filter("bands", lambda b: b != F.col("group"))).alias("other")
-        twice = large.select("node", "group", other).select("node", F.xxhash64(F.least("group", "other"), F.greatest("group", "other")).alias("group")).distinct()
-        met = met.unionByName(twice.join(several(twice), "group"))
+    met = banded.join(buckets, "group")
     signatures = stands.select("node", "signature")
     near = components(forest(met, signatures, near_pairs(batch, bars), split, anchors))
     near = near.select("node", F.col("root").alias("group"))

@@ -83,6 +83,23 @@ def test_chains_without_a_common_neighbour_are_connected(spark):
     assert {r[2] for r in got} == {0}
 
 
+def test_large_buckets_need_no_second_band(spark):
+    """With one band there is no other that texts of a bucket could share."""
+    base = prose(80)
+    texts = [(k, near(base, 1)) for k in range(20)] + [(50, prose(80))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one = lambda split: rows(M.near_dedup(docs, shingle=2, bands=1, rows=1, batch=1, split=split, anchors=1))
+    assert one(2) == one(16384) and len({r[2] for r in one(2)}) < 10
+
+
+def test_edges_are_stars():
+    labels = M.Labels(np.array([0, 1, 2, 2, 4, 5]))
+    for pair in ((3, 1), (2, 4)):
+        labels.join(*pair)
+    nodes = np.array([9, 8, 7, 6, 5, 4])
+    assert sorted(M.stars(nodes, labels)) == [(5, 6), (5, 7), (5, 8)] and M.stars(nodes, None) == []
+
+
 def test_null_shared_and_string_ids_and_no_rows(spark):
     a, b, c = prose(50), prose(50), prose(50)
     rows_in = [(None, a), (None, b), (7, b), (7, c), (8, c), (9, None), (None, None), (8, c)]
