@@ -53,3 +53,11 @@ def test_articles_of_one_profile_look_up_devices_once(spark):
     rows, most = joined(found)
     assert len(rows) == 6000 and {tuple(r["entity_ids"]) for r in rows} == {(2, 1, 0)} and {r["reason"] for r in rows} == {"tagged"} and sum(r["subscribed"] for r in rows) == 200
     assert most <= 6000
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    texts = spark.range(40).select("id", F.concat(F.repeat(F.lit("long "), 20_000), F.lit("aik")).alias("text"))
+    found = relational.phrase_join(texts, spark.createDataFrame([("AIK",)], "term string"))
+    assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20 and found.count() == 40
