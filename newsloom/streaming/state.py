@@ -38,7 +38,8 @@ def merged_sessions(sessions: Iterable[tuple], gap: int) -> list[tuple]:
 
 
 class EventSessions(StatefulProcessor):
-    """Open sessions of a key; a session is told when the watermark is over a gap past its last row."""
+    """Open sessions of a key; a session is told when the watermark is over a gap past its last row. A key has one timer, of
+    the session that ends first, which when it runs tells all that are over and is set anew for the rest."""
 
     STATE = "start long, last long, members long, sources array<string>, newest long, newest_id long"
 
@@ -54,20 +55,23 @@ class EventSessions(StatefulProcessor):
         known += [(r["_at"], r["_at"], 1, [r["_source"]] if r["_source"] is not None else [], r["_at"], r["_id"]) for r in rows]
         kept = merged_sessions(known, self.gap)
         self.open.put(kept)
-        for s in kept:
-            self.handle.registerTimer(-(-(s[1] + self.gap) // 1000))
+        self.wait_for(kept)
         yield from ()
 
+    def wait_for(self, sessions: list[tuple]) -> None:
+        """A timer for the first end. An earlier one, of a session that has grown since, only finds none over."""
+        self.handle.registerTimer(-(-(min(s[1] for s in sessions) + self.gap) // 1000))
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         known = [tuple(s) for s in self.open.get()]
-        over = [s for s in known if s[1] + self.gap <= passed]
-        if over:
-            rest = [s for s in known if s[1] + self.gap > passed]
-            if rest:
-                self.open.put(rest)
-            else:
-                self.open.clear()
+        over, rest = [s for s in known if s[1] + self.gap <= passed], [s for s in known if s[1] + self.gap > passed]
+        if over and rest:
+            self.open.put(rest)
+        elif over:
+            self.open.clear()
+        if rest:
+            self.wait_for(rest)
         for s in over:
             if s[2] > 1:
                 yield self.told(*key, s[0], s[2], len(s[3]), s[5], min(8, 2 * max(0, len(s[3]) - 1)))
