@@ -61,3 +61,14 @@ def test_texts_go_to_python_in_small_batches(spark):
     texts = spark.range(40).select("id", F.concat(F.repeat(F.lit("long "), 20_000), F.lit("aik")).alias("text"))
     found = relational.phrase_join(texts, spark.createDataFrame([("AIK",)], "term string"))
     assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20 and found.count() == 40
+
+
+def test_duplicate_members_join_urls_once(spark, monkeypatch):
+    """Which members have a url pair is read from the pairs, which are joined and written once."""
+    from newsloom.operators import graph
+    from newsloom.plans import registry
+
+    calls, joined = [], graph.same_urls
+    monkeypatch.setattr(graph, "same_urls", lambda *a, **k: calls.append(1) or joined(*a, **k))
+    got = registry.QUERIES["a03_duplicate_members"](spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 1 and len({r["id"] for r in got}) == len(got) == 527 and any(r["by_url"] for r in got)
