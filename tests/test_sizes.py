@@ -70,5 +70,5 @@ def test_duplicate_members_join_urls_once(spark, monkeypatch):
 
     calls, joined = [], graph.same_urls
     monkeypatch.setattr(graph, "same_urls", lambda *a, **k: calls.append(1) or joined(*a, **k))
-    got = registry.QUERIES["a03_duplicate_members"](spark, "/root/testdata/sf0.001").collect()
+    got = registry.QUERIES["a03_duplicate_members"](spark, "/root/testdata/sf0.01").collect()
     assert len(calls) == 1 and len({r["id"] for r in got}) == len(got) == 527 and any(r["by_url"] for r in got)
