@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from newsloom.llm import lm_scoring
@@ -57,3 +58,13 @@ def test_heavy_contexts_are_judged_by_the_sums_of_their_parts(spark, texts):
         for a, b in zip(rows, sorted(want), strict=True):
             assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5, abs=1e-4)
     assert sum(tree.kept) > 20
+
+
+def test_contexts_with_the_counts_of_their_suffix_are_not_sent():
+    """What ends at place 1 has the count that it has without its first word, so the context of place 2 is known."""
+    state = {
+        "places": np.arange(4, dtype=np.uint32), "lengths": np.array([4]), "held": np.array([False]), "hashes": np.array([1, 2, 3, 4], np.uint64) << np.uint64(60),
+        "n": np.array([5, 5, 5, 1]), "same": np.array([0, 1, 0, 0], np.uint8), "log_p": np.zeros(4),
+    }
+    e = lm_scoring.entries(state, 1, lm_scoring.Bars(2, 1, 1.0, 2.0, 1 << 20))
+    assert e.known.tolist() == [2] and e.at.tolist() == [1, 3] and len(e.routes) == len(e.n) == 2
