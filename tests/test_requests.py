@@ -120,3 +120,31 @@ def test_standing_queries_equal_every_pair(spark):
         mine = [(x, of[x][2]) for d, x, _ in sorted(favorites, key=lambda x: x[2]) if d == r["device"] and (r["item"], x) in want]
         assert r["entity_ids"] == [x for x, _ in mine] and r["names"] == list(dict.fromkeys(nm for _, nm in mine)) and r["subscribed"] == (r["device"] == "d1")
         assert r["reason"] == min((want[r["item"], x] for x, _ in mine), key=percolate.REASONS.index)
+
+
+def test_audience_has_every_pair_across_slices_and_parts(spark, monkeypatch):
+    """Null keys, repeated favourites, entities of several names, profiles of many articles and entities of many devices."""
+    rng = random.Random(9)
+    entities = [(e, "staff", n) for e in range(8) for n in ([f"n{e}", f"m{e}"] if e == 3 else [None] if e == 5 else ["same"] if e > 5 else [f"n{e}"])]
+    links = [(item, e) for item in [*range(60), None] for e in rng.choice([[0], [1, 3], [2, 5, 6, 7], [3]])] + [(1, 99)]
+    favorites = [(d, e, rng.choice([None, 1, 2, 3])) for d in [*(f"d{k}" for k in range(25)), None] for e in rng.choices([*range(8), None, 50], k=rng.randint(1, 9))]
+    df = spark.createDataFrame
+    ent = df([(e, k, n, None, None) for e, k, n in entities], "id int, type string, name string, team_id int, league_id int")
+    articles, ln = df([(k, "", None) for k in [*range(60), None]], "item int, title string, tags array<string>"), df(links, "item int, entity_id int")
+    # An article without a key is linked to nothing, but its title says terms.
+    articles = articles.withColumn("title", F.when(F.col("item").isNull(), "om n1 och same"))
+    f, s = df(favorites, "device string, entity_id int, ordinal int"), df([("d1", True), ("d1", True), ("d2", False), (None, True)], "device string, enabled boolean")
+    about = {k: {e: "tagged" for i, e in links if i == k and e < 8} for k in range(60)} | {None: {1: "text", 6: "text", 7: "text"}}
+    want = {}
+    for item, of in about.items():
+        for d in {x[0] for x in favorites}:
+            ids = list(dict.fromkeys(e for _, e in sorted((-1 if o is None else o, e) for x, e, o in favorites if x == d and e in of)))
+            names = list(dict.fromkeys(n for i in ids for n in sorted((n for e, _, n in entities if e == i), key=str)))
+            if ids:
+                want[d, item] = (ids, names, "tagged" if item is not None else "text", d == "d1")
+    for sizes in ({}, {"SLICE": 3, "PART": 2, "PARTS": 4}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(percolate, name, value)
+        rows = percolate.audience(articles, ln, f, ent, df([], "name string, alias string"), s).collect()
+        got = {(r["device"], r["item"]): (r["entity_ids"], r["names"], r["reason"], r["subscribed"]) for r in rows}
+        assert got == want and len(rows) == len(want)

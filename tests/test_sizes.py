@@ -55,6 +55,31 @@ def test_articles_of_one_profile_look_up_devices_once(spark):
     assert most <= 6000
 
 
+def test_devices_and_profiles_meet_without_a_shuffle_of_pairs(spark):
+    """A row for each profile and device is the result's business: what is shuffled is devices by favourite, and profiles by entity."""
+    df = spark.createDataFrame
+    pairs = [(a, b) for a in range(12) for b in range(a)]
+    entities = df([(e, "staff", f"name{e}", None, None) for e in range(12)], "id int, type string, name string, team_id int, league_id int")
+    articles = df([(k, "nyhet", None) for k in range(len(pairs))], "item int, title string, tags array<string>")
+    links = df([(k, e) for k, p in enumerate(pairs) for e in p], "item int, entity_id int")
+    favorites = df([(f"d{d}", e, e) for d in range(200) for e in range(12)], "device string, entity_id int, ordinal int")
+    found = percolate.audience(articles, links, favorites, entities, df([], "name string, alias string"), df([], "device string, enabled boolean"))
+    rows = found.collect()
+    assert {(r["device"], r["item"], tuple(r["entity_ids"])) for r in rows} == {(f"d{d}", k, (b, a)) for d in range(200) for k, (a, b) in enumerate(pairs)} and len(rows) == 13_200
+
+    def moved(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return moved(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return moved(plan.plan())
+        wrote = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        below = plan.children()
+        return max([wrote, *(moved(below.apply(k)) for k in range(below.size()))])
+
+    assert 0 < moved(found._jdf.queryExecution().executedPlan()) <= 2400
+
+
 def test_texts_go_to_python_in_small_batches(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.unset(key)
